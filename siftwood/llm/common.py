@@ -7,6 +7,7 @@ the loss of executors and cut lineage.
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -32,10 +33,24 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+@contextlib.contextmanager
+def _own_shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Frames made here remove their shuffle files when their action ends."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if was is None else spark.conf.set(key, was)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` written once to the shared folder, its lineage cut."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+    spark = df.sparkSession
+    shared_dir(spark)
+    with _own_shuffles_removed(spark):
+        return df.select("*").checkpoint()
 
 
 def stored(df: DataFrame) -> DataFrame:
@@ -44,7 +59,8 @@ def stored(df: DataFrame) -> DataFrame:
     by ``drop_stored``."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/siftwood-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with _own_shuffles_removed(spark):
+        df.select("*").write.parquet(path)
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
     out = spark.read.schema(df.schema).parquet(path)
@@ -58,17 +74,6 @@ def drop_stored(df: DataFrame) -> None:
     place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
-def free_shuffles(spark: SparkSession) -> None:
-    """Lets the context cleaner remove the shuffle files of frames that are gone.
-
-    Only disk use depends on it, never a result.
-    """
-    import gc
-
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, sharding, simhash, sketch
+from . import neardup_vectors, packing, sharding, simhash, sketch, toxicity
 from .common import read
 
 
@@ -16,6 +16,11 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"))
 
 
+def op4_neardup_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all embeddings with cosine 0.95 or more."""
+    return neardup_vectors.link(read(spark, sf_dir, "embeddings"))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 24 contiguous shards of near equal bytes."""
     placed = sharding.shard_by_bytes(read(spark, sf_dir, "documents"), 24)
@@ -28,6 +33,14 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_of(F.col("fingerprint")).alias("fingerprint"), "component_id", "kept")
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents, learnt from two of three folds of the labels."""
+    docs, held = read(spark, sf_dir, "documents"), toxicity.fold() == 1
+    model = toxicity.fit(toxicity.sample(docs, read(spark, sf_dir, "labels"), ~held))
+    found = toxicity.score(docs, model)
+    return found.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bottom-k sketches of all documents and of their edited texts."""
     rows = sketch.fingerprints(read(spark, sf_dir, "documents"))
@@ -47,8 +60,10 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_packing": op3_packing,
+    "op4_neardup_vectors": op4_neardup_vectors,
     "op5_sharding": op5_sharding,
     "op7_simhash": op7_simhash,
+    "op8_toxicity": op8_toxicity,
     "op10_fingerprints": op10_fingerprints,
 }
 

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checkpointed, free_shuffles, map_arrow, parts, stored
+from .common import checkpointed, map_arrow, parts, stored
 from .graph import components, forest
 
 BITS, RADIUS, WIDTH, SEED, PASSES = 64, 4, 4, 42, 8
@@ -140,8 +140,6 @@ def ball_links(fps: DataFrame, col: str, radius: int = RADIUS, passes: int = PAS
 
         sent = map_arrow(spread, emit, "part int, variants binary, masks binary")
         found.append(checkpointed(map_arrow(sent.repartition(reducers, "part"), meet, "a long, b long")))
-        del sent
-        free_shuffles(spark)
     out = found[0]
     for more in found[1:]:
         out = out.union(more)
