@@ -1 +1 @@
-"""See the package README."""
+"""Column functions: URLs, text, dates and page signals. All are native expressions."""

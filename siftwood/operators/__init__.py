@@ -1 +1 @@
-"""See the package README."""
+"""DataFrame operators. Tables that stand for lists carry an explicit ``position``."""

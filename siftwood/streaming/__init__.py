@@ -1 +1,39 @@
-"""See the package README."""
+"""Structured Streaming counterparts of the event operators."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+EVENTS = T.StructType([T.StructField("event_id", T.LongType()), T.StructField("ts", T.TimestampNTZType()), T.StructField("user_id", T.LongType()), T.StructField("event_type", T.StringType()), T.StructField("value", T.DoubleType()), T.StructField("props", T.StringType())])
+
+
+def events(spark: SparkSession, path: str, delay: str = "10 minutes") -> DataFrame:
+    """Event files (a pattern of theirs) as a stream with a watermark on ``ts``."""
+    rows = spark.readStream.schema(EVENTS).parquet(path)
+    return rows.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
+
+
+def tumbling(rows: DataFrame, size: str = "1 hour") -> DataFrame:
+    return rows.groupBy(F.window("ts", size).alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("start"), "event_type", "n", "total")
+
+
+def sliding(rows: DataFrame, size: str = "2 hours", step: str = "1 hour") -> DataFrame:
+    return rows.groupBy(F.window("ts", size, step).alias("w")).agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("start"), "n")
+
+
+def sessions(rows: DataFrame, gap: str = "30 minutes") -> DataFrame:
+    return rows.groupBy("user_id", F.session_window("ts", gap).alias("w")).agg(F.count(F.lit(1)).alias("n")).select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
+
+
+def first_seen(rows: DataFrame) -> DataFrame:
+    """Each user and type once within the watermark's delay."""
+    return rows.dropDuplicatesWithinWatermark(["user_id", "event_type"])
+
+
+def drained(spark: SparkSession, rows: DataFrame, name: str, mode: str = "complete") -> DataFrame:
+    """Runs a stream over what is there and returns the result as a batch table."""
+    query = rows.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.table(name)
