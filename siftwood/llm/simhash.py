@@ -27,6 +27,8 @@ from .graph import components, forest
 BITS, RADIUS, WIDTH, SEED, PASSES = 64, 4, 4, 42, 8
 #: Bytes of variants that one reducing task should hold.
 TASK_BYTES = 24_000_000
+#: Fingerprints whose variants one mapping task emits at a time.
+TASK_FPS = 4096
 
 
 def simhash(text: str | None, width: int = WIDTH) -> int:
@@ -92,26 +94,29 @@ def ball_links(fps: DataFrame, col: str, radius: int = RADIUS, passes: int = PAS
     of = _class(masks, passes)
     n = fps.count()
     reducers = max(parts(spark), math.ceil(n * len(masks) * 10 / passes / TASK_BYTES))
-    spread = checkpointed(fps.select(F.col(col).cast("long").alias("fp")).repartition(parts(spark), "fp"))
+    spread = checkpointed(fps.select(F.col(col).cast("long").alias("fp")).repartition(max(1, math.ceil(n / TASK_FPS))))
     found = []
     for turn in range(passes):
 
         def emit(batches: Iterator[pa.RecordBatch], turn: int = turn) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                own = batch.column(0).to_numpy().view(np.uint64)
-                group = _class(own, passes)
-                for g in range(passes):
-                    which = np.flatnonzero(of == turn ^ g)
-                    mine = own[group == g]
-                    step = max(1, 4_000_000 // len(which))
-                    for at in range(0, len(mine), step):
-                        variants = (mine[at : at + step, None] ^ masks[which][None, :]).ravel()
-                        numbers = np.tile(which.astype(np.uint16), len(mine[at : at + step]))
-                        part = _part(variants, reducers)
-                        order = np.argsort(part, kind="stable")
-                        cuts = np.flatnonzero(np.diff(part[order])) + 1
-                        rows = np.split(order, cuts)
-                        yield pa.RecordBatch.from_arrays([pa.array([int(part[r[0]]) for r in rows], pa.int32()), pa.array([variants[r].tobytes() for r in rows], pa.binary()), pa.array([numbers[r].tobytes() for r in rows], pa.binary())], ["part", "variants", "masks"])
+                for at in range(0, batch.num_rows, TASK_FPS):
+                    own = batch.column(0).to_numpy()[at : at + TASK_FPS].view(np.uint64)
+                    group = _class(own, passes)
+                    variants, numbers = [], []
+                    for g in range(passes):
+                        which = np.flatnonzero(of == turn ^ g)
+                        mine = own[group == g]
+                        variants.append((mine[:, None] ^ masks[which][None, :]).ravel())
+                        numbers.append(np.tile(which.astype(np.uint16), len(mine)))
+                    v, m = np.concatenate(variants), np.concatenate(numbers)
+                    del variants, numbers
+                    part = _part(v, reducers)
+                    order = np.argsort(part, kind="stable")
+                    v, m, part = v[order], m[order], part[order]
+                    starts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else []
+                    ends = [*starts[1:], len(part)]
+                    yield pa.RecordBatch.from_arrays([pa.array([int(part[x]) for x in starts], pa.int32()), pa.array([v[x:y].tobytes() for x, y in zip(starts, ends, strict=False)], pa.binary()), pa.array([m[x:y].tobytes() for x, y in zip(starts, ends, strict=False)], pa.binary())], ["part", "variants", "masks"])
 
         def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             v, m = [], []
