@@ -268,8 +268,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     rows = stored(docs.withColumn("_siftwood_row", F.monotonically_increasing_id()))
     groups = line_groups(rows, id_col, text_col, threshold, "_siftwood_row")
-    gone = checkpointed(groups.groupBy("row").agg(F.collect_list(F.when(~F.col("kept"), F.col("line_no"))).alias("_siftwood_gone"), F.max(F.col("kept").cast("int")).alias("_siftwood_any")).where(F.size("_siftwood_gone") > 0))
-    joined = rows.join(gone, F.col("_siftwood_row") == F.col("row"), "left").where("_siftwood_any is null or _siftwood_any = 1").select(*docs.columns, "_siftwood_gone")
+    gone = checkpointed(groups.groupBy(F.col("row").alias("_siftwood_row")).agg(F.collect_list(F.when(~F.col("kept"), F.col("line_no"))).alias("_siftwood_gone"), F.max(F.col("kept").cast("int")).alias("_siftwood_any")).where(F.size("_siftwood_gone") > 0))
+    joined = rows.join(gone, "_siftwood_row", "left").where("_siftwood_any is null or _siftwood_any = 1").select(*docs.columns, "_siftwood_gone")
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
