@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from siftwood import streaming
 from siftwood.functions import dates, signals, urls
 from siftwood.functions import text as X
-from siftwood.operators import dedupe, html, menu, rank, state
+from siftwood.operators import dedupe, html, menu, rank, retrieval, state
 from siftwood.sources import register, table
 
 NOW = "2024-02-01 00:00:00"
@@ -262,7 +262,7 @@ def decoy_bucket_filter(spark, sf_dir):
     return buckets.withColumn("w", witness).where(~((F.col("n") >= 4) & (F.col("coherence") < 0.25) & (F.col("w") >= 0.5))).select("source", F.round("coherence", 9).alias("coherence"), "n")
 
 
-same_sql("consensus_score", "SELECT text_key, engines, round(engines + 0.5 * (variants - 1), 3) AS score FROM (SELECT md5(text) AS text_key, count(DISTINCT source) AS engines, count(DISTINCT lang) AS variants FROM documents GROUP BY md5(text)) t WHERE engines > 1", "documents")
+same_sql("consensus_score", "SELECT text_key, engines, round(engines + 5e-1 * (variants - 1), 3) AS score FROM (SELECT md5(text) AS text_key, count(DISTINCT source) AS engines, count(DISTINCT lang) AS variants FROM documents GROUP BY md5(text)) t WHERE engines > 1", "documents")
 same_sql("preference_bands", "SELECT doc_id, CASE WHEN source IN ('src1', 'src2') THEN 0 WHEN source IN ('src0', 'src19') THEN 2 ELSE 1 END AS band, row_number() OVER (ORDER BY CASE WHEN source IN ('src1', 'src2') THEN 0 WHEN source IN ('src0', 'src19') THEN 2 ELSE 1 END, doc_id) AS position FROM documents", "documents")
 same_sql("candidate_ceiling", "SELECT text_key, first_id FROM (SELECT md5(text) AS text_key, min(doc_id) AS first_id FROM documents GROUP BY md5(text)) t ORDER BY first_id LIMIT 24", "documents")
 
@@ -333,7 +333,7 @@ same_sql("cooldown_backoff", "SELECT user_id, fails, least(30 * pow(2, fails - 1
 same_sql("cache_latest_by_key", "SELECT user_id, event_type, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS rn FROM events) t WHERE rn = 1", "events")
 same_sql("cache_evict_to_budget", "SELECT doc_id, source, running FROM (SELECT doc_id, source, sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS running FROM documents) t WHERE running <= 50000", "documents")
 same_sql("corpus_retention", "SELECT event_id, user_id FROM (SELECT event_id, user_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events WHERE ts >= TIMESTAMP '2024-01-11 00:00:00') t WHERE rn <= 20", "events")
-same_sql("engine_demotion", "SELECT user_id, round(yield, 9) AS yield, n FROM (SELECT user_id, avg(CASE WHEN event_type = 'purchase' THEN 1.0 ELSE 0.0 END) AS yield, count(*) AS n FROM events GROUP BY user_id) t WHERE n >= 10 AND yield < 0.25 * (SELECT max(y) FROM (SELECT avg(CASE WHEN event_type = 'purchase' THEN 1.0 ELSE 0.0 END) AS y FROM events GROUP BY user_id HAVING count(*) >= 10) m)", "events")
+same_sql("engine_demotion", "SELECT user_id, round(yield, 9) AS yield, n FROM (SELECT user_id, avg(CASE WHEN event_type = 'purchase' THEN 1e0 ELSE 0e0 END) AS yield, count(*) AS n FROM events GROUP BY user_id) t WHERE n >= 10 AND yield < 25e-2 * (SELECT max(y) FROM (SELECT avg(CASE WHEN event_type = 'purchase' THEN 1e0 ELSE 0e0 END) AS y FROM events GROUP BY user_id HAVING count(*) >= 10) m)", "events")
 same_sql("json_metric_rollup", "SELECT event_type, sum(CAST(get_json_object(props, '$.k') AS BIGINT)) AS k_sum, count(*) AS n FROM events GROUP BY event_type", "events", oracle="SELECT event_type, sum(CAST(json_extract_string(props, '$.k') AS BIGINT))::BIGINT AS k_sum, count(*) AS n FROM events GROUP BY event_type")
 same_sql("model_stats", "SELECT label, count(*) AS vectors, count(DISTINCT vec_id) AS sources FROM embeddings GROUP BY label", "embeddings")
 same_sql("job_state_counts", "SELECT event_type AS state, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY event_type", "events")
@@ -416,3 +416,95 @@ def join_range(spark, sf_dir):
     left = rows.where("event_type = 'error'").select("event_id", "user_id", F.col("at").alias("start"), F.explode(F.array(F.floor(F.col("at") / six), F.floor(F.col("at") / six) + 1)).alias("bucket"))
     right = rows.select("user_id", "at", F.floor(F.col("at") / six).alias("bucket"))
     return left.join(right, ["user_id", "bucket"]).where((F.col("at") >= F.col("start")) & (F.col("at") <= F.col("start") + six)).groupBy("event_id").agg(F.count(F.lit(1)).alias("near"))
+
+
+# --- evidence -----------------------------------------------------------------------------------
+
+
+@query("WITH d AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS i, count(*) OVER (PARTITION BY source) AS n FROM documents) SELECT doc_id, source FROM d WHERE n <= 7 OR i IN (round_even(0 * (n - 1) / 6.0, 0), round_even(1 * (n - 1) / 6.0, 0), round_even(2 * (n - 1) / 6.0, 0), round_even(3 * (n - 1) / 6.0, 0), round_even(4 * (n - 1) / 6.0, 0), round_even(5 * (n - 1) / 6.0, 0), round_even(6 * (n - 1) / 6.0, 0))")
+def distributed_sample(spark, sf_dir):
+    return retrieval.distributed(table(spark, sf_dir, "documents").select("doc_id", "source"), "source", "doc_id", 7)
+
+
+@query(r"WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS block FROM documents), p AS (SELECT *, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM l) SELECT doc_id, block::INTEGER AS block, start, start + length(line) AS stop, md5(line) AS line, CASE WHEN regexp_matches(line, '^#{1,6}\s+\S') THEN 'heading' WHEN regexp_matches(line, '^\s*([-*•]|\d+[.)])\s+') THEN 'list' WHEN regexp_matches(line, '^\s*\|.*\|\s*$') THEN 'table' ELSE 'paragraph' END AS kind FROM p WHERE trim(line) <> ''")
+def structure_blocks(spark, sf_dir):
+    return retrieval.blocks(table(spark, sf_dir, "documents")).select("doc_id", "block", "start", F.col("end").alias("stop"), F.md5("text").alias("line"), "kind")
+
+
+@query()
+def evidence_windows(spark, sf_dir):
+    """Windows of every document that mention most of a fixed question's terms."""
+    asked = F.array(*[F.lit(x) for x in ("the", "with", "which", "stupid", "reonth")])
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text"))
+    return docs.select("doc_id", F.posexplode(retrieval.evidence_windows(F.col("text"), asked)).alias("place", "w")).select("doc_id", "place", "w.offset", "w.matches")
+
+
+@query("WITH p AS (SELECT conv_id, turn, text, length(text) AS n FROM conversations), t AS (SELECT conv_id, turn, text, len(regexp_extract_all(replace(lower(text), 'ß', 'ss'), '[\\p{L}\\p{N}_-]+')) AS words, trim(regexp_replace(replace(lower(text), 'ß', 'ss'), '[^\\p{L}\\p{N}_]+', ' ', 'g')) AS plain FROM p), g AS (SELECT *, row_number() OVER (PARTITION BY conv_id, plain ORDER BY turn) AS rn FROM t WHERE words >= 6), f AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i, count(*) OVER (PARTITION BY conv_id) AS n FROM g WHERE rn = 1) SELECT conv_id, turn FROM f WHERE n <= 3 OR i IN (0, round_even((n - 1) / 2.0, 0), n - 1)")
+def representative_passages(spark, sf_dir):
+    return retrieval.representative(table(spark, sf_dir, "conversations"), "conv_id", "turn", "text", 3).select("conv_id", "turn")
+
+
+@query("WITH q AS (SELECT item_id, list_filter(list_distinct(regexp_extract_all(replace(lower(text), 'ß', 'ss'), '[\\p{L}\\p{N}_]+')), lambda x: x NOT IN (" + ", ".join(f"'{w}'" for w in X.STOP_WORDS) + ")) AS w FROM benchmark), d AS (SELECT doc_id, doc_id % (SELECT count(*) FROM benchmark) AS item_id, list_distinct(regexp_extract_all(replace(lower(text), 'ß', 'ss'), '[\\p{L}\\p{N}_]+')) AS w FROM documents) SELECT doc_id, CASE WHEN len(q.w) > 0 AND len(list_intersect(q.w, d.w)) >= least(2, len(q.w)) THEN 'query_terms' ELSE 'unconfirmed' END AS support FROM d JOIN q USING (item_id)")
+def support_status(spark, sf_dir):
+    """Support of each document for the benchmark item that its id falls to."""
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id"), X.terms(F.col("text")).alias("asked"))
+    n = items.count()
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.pmod("doc_id", F.lit(n)).alias("item_id"), "text")
+    return docs.join(items, "item_id").select("doc_id", retrieval.support(F.array(F.lit("minilm")), F.col("asked"), F.col("text")).alias("support"))
+
+
+@query()
+def crawl_frontier(spark, sf_dir):
+    """Hosts and paths reachable from the pages in two steps over their links."""
+    pages = table(spark, sf_dir, "pages")
+    own = pages.select("page_id", F.concat(urls.authority(F.col("url"))).alias("src"))
+    links = html.extract(pages).join(own, "page_id").select("src", F.explode("links").alias("l")).select("src", F.col("l.href").alias("dst")).distinct()
+    return retrieval.frontier(links, own.select(F.col("src").alias("node")), 2)
+
+
+@query("WITH a AS (SELECT user_id AS host, event_id, value, event_type <> 'error' AS ok FROM events), r AS (SELECT *, row_number() OVER (PARTITION BY host ORDER BY ok DESC, CASE WHEN ok THEN event_id END, value DESC, event_id) AS rn FROM a) SELECT host, ok AS accepted, event_id FROM r WHERE rn = 1")
+def first_acceptable_attempt(spark, sf_dir):
+    """The first attempt of each host that worked, else the one with most text."""
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("host"), "event_id", "value", (F.col("event_type") != "error").alias("ok"))
+    best = F.min_by("event_id", F.struct((~F.col("ok")).alias("bad"), F.when(F.col("ok"), F.col("event_id").cast("double")).otherwise(-F.col("value")).alias("o"), F.col("event_id").alias("e")))
+    return rows.groupBy("host").agg(F.bool_or("ok").alias("accepted"), best.alias("event_id"))
+
+
+@query(_URL_CTE + "SELECT host, max(page_id) AS page_id, count(*) AS versions FROM k GROUP BY host")
+def latest_version_per_host(spark, sf_dir):
+    rows = table(spark, sf_dir, "pages").select("page_id", urls.host(F.col("url")).alias("host"))
+    counted = rows.withColumn("versions", F.count(F.lit(1)).over(Window.partitionBy("host")))
+    return state.latest(counted, ["host"], [F.desc("page_id")]).select("host", "page_id", "versions")
+
+
+@query(_URL_CTE + "SELECT k.page_id, coalesce(d.lang, 'unread') AS read_as, k.host FROM k LEFT JOIN (SELECT doc_id AS page_id, lang FROM documents WHERE doc_id % 3 = 0) d USING (page_id)")
+def search_and_read(spark, sf_dir):
+    """Pages with what was read of them, where something was."""
+    found = table(spark, sf_dir, "pages").select("page_id", F.lit("unread").alias("read_as"), urls.host(F.col("url")).alias("host"))
+    read = table(spark, sf_dir, "documents").where("doc_id % 3 = 0").select(F.col("doc_id").alias("page_id"), F.col("lang").alias("read_as"))
+    return retrieval.merge_read(found, read, "page_id", ["read_as"])
+
+
+same_sql("changed_and_stale", "SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, CASE WHEN a.doc_id IS NULL THEN 'new' WHEN b.doc_id IS NULL THEN 'stale' WHEN a.h = b.h THEN 'same' ELSE 'changed' END AS state FROM (SELECT doc_id, md5(text) AS h FROM documents WHERE doc_id % 5 <> 0) a FULL OUTER JOIN (SELECT doc_id, md5(CASE WHEN doc_id % 7 = 0 THEN concat(text, '.') ELSE text END) AS h FROM documents WHERE doc_id % 4 <> 0) b ON a.doc_id = b.doc_id", "documents")
+same_sql("model_gaps", "SELECT DISTINCT e.label FROM embeddings e WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = e.vec_id AND l.quality = 1) AND e.label >= 0", "embeddings", "labels")
+same_sql("keyset_page", "SELECT doc_id, lang FROM documents WHERE doc_id > 100 ORDER BY doc_id LIMIT 50", "documents")
+same_sql("retry_failed_items", "SELECT event_id, row_number() OVER (ORDER BY event_id) AS place FROM events WHERE event_type = 'error'", "events")
+same_sql("fan_back_by_key", "SELECT o.o_orderkey, f.first_key FROM orders o JOIN (SELECT o_custkey, min(o_orderkey) AS first_key FROM orders GROUP BY o_custkey) f ON o.o_custkey = f.o_custkey", "orders")
+same_sql("capacity_by_namespace", "SELECT user_id, count(*) AS active, count(*) >= 2 AS at_capacity FROM events WHERE event_type = 'signup' GROUP BY user_id", "events")
+same_sql("health_verdict", "SELECT CASE WHEN bool_and(share < 0.5) THEN 'ok' WHEN bool_or(share < 0.5) THEN 'degraded' ELSE 'down' END AS verdict FROM (SELECT user_id, avg(CASE WHEN event_type = 'error' THEN 1e0 ELSE 0e0 END) AS share FROM events GROUP BY user_id) t", "events")
+same_sql("observation_freshness", "SELECT user_id, CASE WHEN max(ts) >= TIMESTAMP '2024-01-29 23:00:00' THEN 'current' WHEN max(ts) >= TIMESTAMP '2024-01-28 00:00:00' THEN 'stale' ELSE 'unknown' END AS freshness FROM events GROUP BY user_id", "events")
+same_sql("byte_totals", "SELECT source, sum(octet_length(text)) AS bytes FROM documents GROUP BY source", "documents", oracle="SELECT source, sum(strlen(text))::BIGINT AS bytes FROM documents GROUP BY source")
+same_sql("domain_stats_worst", "SELECT user_id, round(avg(CASE WHEN event_type = 'error' THEN 0e0 ELSE 1e0 END), 9) AS success, count(*) AS n FROM events GROUP BY user_id ORDER BY success, user_id LIMIT 20", "events")
+same_sql("garbage_text_layer", "SELECT doc_id, length(text) - length(replace(text, '%%%', '')) >= 30 AS garbage FROM documents", "documents")
+same_sql("order_for_reading", "SELECT doc_id, row_number() OVER (ORDER BY CASE WHEN quality = 0 THEN 1 ELSE 0 END, doc_id) AS position FROM labels", "labels")
+same_sql("join_theta", "SELECT a.n_nationkey AS a, b.n_nationkey AS b FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey", "nation")
+same_sql("exists_newer_version", "SELECT o_orderkey FROM orders a WHERE EXISTS (SELECT 1 FROM orders b WHERE b.o_custkey = a.o_custkey AND b.o_orderdate > a.o_orderdate)", "orders")
+same_sql("reading_gap", "SELECT doc_id, CASE WHEN length(text) = 0 THEN 'empty' WHEN length(text) < 350 THEN 'thin' WHEN length(text) < 600 THEN 'short' ELSE 'ok' END AS gap FROM documents", "documents")
+same_sql("csv_safe_cells", "SELECT doc_id, CASE WHEN regexp_like(ltrim(text), '^[=+@-]') THEN 1 ELSE 0 END AS escaped FROM documents", "documents", oracle="SELECT doc_id, CASE WHEN regexp_matches(ltrim(text), '^[=+@-]') THEN 1 ELSE 0 END AS escaped FROM documents")
+
+
+@query("SELECT DISTINCT user_id, event_type FROM events")
+def stream_first_seen(spark, sf_dir):
+    """Each user and event type once within the watermark's delay."""
+    rows = streaming.first_seen(streaming.events(spark, f"{sf_dir}/events*.parquet", "40 days"))
+    return streaming.drained(spark, rows.select("user_id", "event_type"), "stream_first_seen", "append")
