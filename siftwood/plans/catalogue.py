@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from siftwood import streaming
 from siftwood.functions import dates, signals, urls
 from siftwood.functions import text as X
-from siftwood.operators import dedupe, html, menu, rank, retrieval, state
+from siftwood.operators import dedupe, html, menu, rank, retrieval, selectors, state
 from siftwood.sources import register, table
+from siftwood.streaming import state as stream_state
 
 NOW = "2024-02-01 00:00:00"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -508,3 +509,25 @@ def stream_first_seen(spark, sf_dir):
     """Each user and event type once within the watermark's delay."""
     rows = streaming.first_seen(streaming.events(spark, f"{sf_dir}/events*.parquet", "40 days"))
     return streaming.drained(spark, rows.select("user_id", "event_type"), "stream_first_seen", "append")
+
+
+@query()
+def selector_fields(spark, sf_dir):
+    specs = {"heading": ("article h1", None), "language": ("html", "lang"), "menu": ("nav li a", "href"), "advert": ("div.ad", None)}
+    return selectors.fields(table(spark, sf_dir, "pages"), specs)
+
+
+@query("WITH s AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events) SELECT event_type, round(sum(value * pow(0.9, n - i) * CASE WHEN i = 1 THEN 1.0 ELSE 0.1 END), 6) AS average, count(*) AS n FROM s GROUP BY event_type")
+def stream_moving_average(spark, sf_dir):
+    """The moving average as a stream keeps it: the last row of each key."""
+    rows = stream_state.moving_averages(streaming.events(spark, f"{sf_dir}/events*.parquet"), "event_type", "value", "ts")
+    told = streaming.drained(spark, rows, "stream_averages", "update")
+    return state.latest(told, ["event_type"], [F.desc("n")]).select("event_type", F.round("average", 6).alias("average"), "n")
+
+
+@query("WITH s AS (SELECT user_id, event_type = 'error' AS f, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS back FROM events), l AS (SELECT user_id, coalesce(min(CASE WHEN NOT f THEN back END) - 1, count(*)) AS streak FROM s GROUP BY user_id) SELECT user_id, streak, CASE WHEN streak > 0 THEN least(3600, 300 * pow(2, streak - 1))::BIGINT ELSE 0 END AS rest_seconds FROM l")
+def stream_cooldowns(spark, sf_dir):
+    """Failures in a row and the rest they ask for, as a stream keeps them."""
+    rows = streaming.events(spark, f"{sf_dir}/events*.parquet").withColumn("failed", F.col("event_type") == "error")
+    told = streaming.drained(spark, stream_state.cooldowns(rows, "user_id", "ts", "failed"), "stream_cooldowns", "update")
+    return told.select("user_id", "streak", "rest_seconds")
