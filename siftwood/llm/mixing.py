@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import checkpointed
+
 OTHER, MISSING = "<other>", "<none>"
 #: Categories of a marginal that get a target of their own by default; the rest share one.
 CATEGORIES, TEMPER, SEED = 1_000, 0.7, "mix-1"
@@ -101,7 +103,7 @@ def mix(docs: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = Non
     spark = docs.sparkSession
     rows = with_cells(docs, id_col, text_col, source_col, lang_col, topic)
     targets = dict(targets or {})
-    grouped = rows.groupBy("_source", "_lang", "_topic").agg(F.sum("_tokens").alias("_t"))
+    grouped = checkpointed(rows.groupBy("_source", "_lang", "_topic").agg(F.sum("_tokens").alias("_t")))  # the texts are read here and where rows are marked
     for name in MARGINS:
         if name not in targets:
             totals = grouped.groupBy(f"_{name}").agg(F.sum("_t").alias("t"))
