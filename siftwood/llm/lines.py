@@ -5,10 +5,9 @@ shingles. Lines that share a band are candidates; their exact Jaccard
 likeness decides. Lines are united by distributed union-find and one line of
 each component is kept.
 
-In a band bucket every line is first paired with the bucket's leading line
-only. Pairs inside a component need no test, so a second step tests just the
-pairs of a bucket whose lines are still in different components, all of them.
-That gives the components that testing all pairs would give.
+All pairs of a band bucket are compared in the task that holds the bucket, by
+counting shared shingles; pairs don't leave it, only a spanning forest of the
+links found does. Large buckets are divided so that every two divisions meet.
 """
 
 from __future__ import annotations
@@ -24,10 +23,12 @@ from pyspark.sql import types as T
 
 from .brown import part_of
 from .common import checkpointed, drop_stored, map_arrow, parts, stored
-from .graph import components
+from .graph import components, forest
 
 SHINGLE, BANDS, ROWS, THRESHOLD, SEED = 8, 20, 6, 0.8, 42
 CHUNK_CHARS, CHUNK_LINES = 2_000_000, 50_000
+#: Lines of a bucket that one task compares at a time.
+BUCKET = 2048
 EMPTY = np.uint64(2**32)
 
 
@@ -93,8 +94,8 @@ def line_id(line: str) -> int:
 
 
 def bucketed(docs: DataFrame, text_col: str) -> DataFrame:
-    """(bucket, k, lead): the lines of every band bucket of two or more; buckets
-    of the same lines are one. ``lead`` marks one line of each."""
+    """(bucket, k): the lines of every band bucket of two or more; buckets of the
+    same lines are one."""
     reducers = parts(docs.sparkSession)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,37 +174,93 @@ def bucketed(docs: DataFrame, text_col: str) -> DataFrame:
         take[once] = True
         take &= size > 1
         rows = np.repeat(take, size)
-        lead = np.zeros(len(keys), dtype=bool)
-        lead[starts] = True
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(name, size)[rows].view(np.int64)), pa.array(ks[rows].view(np.int64)), pa.array(lead[rows])], ["bucket", "k", "lead"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(name, size)[rows].view(np.int64)), pa.array(ks[rows].view(np.int64))], ["bucket", "k"])
 
     asks = map_arrow(docs.select(F.col(text_col).alias("text")), ask, "part int, keys binary, ks binary")
-    return stored(map_arrow(asks.repartition(reducers, "part"), meet, "bucket long, k long, lead boolean").distinct())
+    return stored(map_arrow(asks.repartition(reducers, "part"), meet, "bucket long, k long").distinct())
 
 
-def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b) whose exact Jaccard likeness is at least the threshold."""
+def alike(texts: list[str], threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers (i, j) of all pairs of texts whose exact Jaccard likeness is at
+    least the threshold.
+
+    Of many texts, shared shingles are counted by products of 0/1 matrices;
+    shingles of one text only can't be shared and aren't in them.
+    """
+    sets = [shingles(t) for t in texts]
+    sizes = np.array([len(x) for x in sets])
+    if len(texts) <= 8:
+        found = []
+        for i, x in enumerate(sets):
+            for j in range(i + 1, len(sets)):
+                small, large = min(sizes[i], sizes[j]), max(sizes[i], sizes[j])
+                if small >= threshold * large:
+                    both = len(x & sets[j])
+                    if both >= threshold * (sizes[i] + sizes[j] - both):
+                        found.append((i, j))
+        pairs = np.array(found, dtype=np.int64).reshape(-1, 2)
+        return pairs[:, 0], pairs[:, 1]
+    often: dict[str, int] = {}
+    for x in sets:
+        for g in x:
+            often[g] = often.get(g, 0) + 1
+    column = {g: i for i, g in enumerate(g for g, n in often.items() if n > 1)}
+    rows, cols = [], []
+    for i, x in enumerate(sets):
+        own = [column[g] for g in x if g in column]
+        rows.append(np.full(len(own), i))
+        cols.append(np.array(own, dtype=np.int64))
+    row, col = np.concatenate(rows), np.concatenate(cols)
+    both = np.zeros((len(sets), len(sets)), dtype=np.float32)
+    order = np.argsort(col, kind="stable")
+    row, col = row[order], col[order]
+    for lo in range(0, len(column), 4096):  # columns at a time, so that memory is bounded
+        a, b = np.searchsorted(col, [lo, lo + 4096])
+        part = np.zeros((len(sets), min(4096, len(column) - lo)), dtype=np.float32)
+        part[row[a:b], col[a:b] - lo] = 1
+        both += part @ part.T
+    i, j = np.nonzero(np.triu(both >= threshold * (sizes[:, None] + sizes[None, :] - both) - 1e-4, 1))
+    n = np.rint(both[i, j]).astype(np.int64)
+    sure = n >= threshold * (sizes[i] + sizes[j] - n)
+    return i[sure], j[sure]
+
+
+def verified(members: DataFrame, threshold: float) -> DataFrame:
+    """Links (a, b) that connect all pairs of a bucket that are alike, of rows
+    (bucket, k, line): every pair of a bucket is compared where the bucket is,
+    and only a spanning forest leaves the task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        links: list[tuple[np.ndarray, np.ndarray]] = []
+        held = 0
+        now, ks, texts = None, [], []
+
+        def close() -> None:
+            nonlocal held
+            if len(ks) > 1:
+                i, j = alike(texts, threshold)
+                own = np.array(ks, dtype=np.int64)
+                links.append(forest(own[i], own[j]))
+                held += len(links[-1][0])
+
         for batch in batches:
-            known: dict[int, set[str]] = {}
-            a, b, s, t = (c.to_pylist() for c in batch.columns)
-            ok = []
-            for i in range(batch.num_rows):
-                x, y = known.get(a[i]), known.get(b[i])
-                if x is None:
-                    x = known[a[i]] = shingles(s[i])
-                if y is None:
-                    y = known[b[i]] = shingles(t[i])
-                both = len(x & y) if min(len(x), len(y)) >= threshold * max(len(x), len(y)) else 0
-                ok.append(both >= threshold * (len(x) + len(y) - both))
-                if len(known) > 4_000:
-                    known.clear()
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok)) for c in batch.columns[:2]], ["a", "b"])
-
-    with_a = pairs.join(texts.select(F.col("k").alias("a"), F.col("line").alias("s")), "a")
-    both = with_a.join(texts.select(F.col("k").alias("b"), F.col("line").alias("t")), "b").select("a", "b", "s", "t")
-    return checkpointed(map_arrow(both, run, "a long, b long"))
+            for bucket, k, line in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if bucket != now:
+                    close()
+                    now, ks, texts = bucket, [], []
+                ks.append(k)
+                texts.append(line)
+            if held > 200_000:
+                a, b = forest(*(np.concatenate(x) for x in zip(*links, strict=True)))
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+                links, held = [], 0
+        close()
+        if links:
+            a, b = forest(*(np.concatenate(x) for x in zip(*links, strict=True)))
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    dealt = members.repartition(parts(members.sparkSession), "bucket").sortWithinPartitions("bucket")
+    return checkpointed(map_arrow(dealt.select("bucket", "k", "line"), run, "a long, b long"))
 
 
 def exploded(docs: DataFrame, text_col: str, *cols: str) -> DataFrame:
@@ -212,26 +269,22 @@ def exploded(docs: DataFrame, text_col: str, *cols: str) -> DataFrame:
 
 
 def line_components(docs: DataFrame, text_col: str, threshold: float = THRESHOLD) -> DataFrame:
-    """(node, root) of lines that are alike, by ``line_id``."""
+    """(node, root) of lines that are alike, by ``line_id``.
+
+    A bucket of more than ``BUCKET`` lines is divided by hash, and every two of
+    its divisions are one bucket, so all its pairs are still compared.
+    """
     buckets = bucketed(docs, text_col)
     wanted = checkpointed(buckets.select("k").distinct())
     lines = docs.select(F.explode(F.split(text_col, "\n")).alias("line")).withColumn("k", F.xxhash64("line"))
     texts = stored(lines.join(wanted, "k", "left_semi").groupBy("k").agg(F.min("line").alias("line")))
-    lead = checkpointed(buckets.where("lead").select("bucket", F.col("k").alias("a")))
-    first = checkpointed(buckets.where("not lead").select("bucket", F.col("k").alias("b")).join(lead, "bucket").select("a", "b").distinct())
-    links = verified(first, texts, threshold)
+    large = checkpointed(buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BUCKET).select("bucket", F.ceil(F.col("n") / BUCKET).alias("c")))
+    own, other = F.pmod(F.xxhash64("k"), F.col("c")), F.explode(F.sequence(F.lit(0).cast("long"), F.col("c") - 1)).alias("j")
+    divided = buckets.join(large, "bucket").select("bucket", "k", own.alias("i"), other).select(F.xxhash64("bucket", F.least("i", "j"), F.greatest("i", "j")).alias("bucket"), "k").distinct()
+    members = buckets.join(large, "bucket", "left_anti").union(divided)
+    links = verified(members.join(texts, "k"), threshold)
     roots = checkpointed(components(links, "a", "b"))
-    placed = stored(buckets.join(roots.withColumnRenamed("node", "k"), "k", "left").select("bucket", "k", F.coalesce("root", "k").alias("root")))
-    main = placed.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("m"), F.count(F.lit(1)).alias("several"))
-    main = checkpointed(main.where("several > 1").select("bucket", F.col("m.root").alias("main")))
-    outside = checkpointed(placed.join(main, "bucket").where("root != main").select("bucket", F.col("k").alias("a"), F.col("root").alias("of_a")))
-    more = placed.join(outside, "bucket").where("root != of_a").select(F.least("a", "k").alias("a"), F.greatest("a", "k").alias("b")).distinct()
-    tested = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = checkpointed(more.join(tested, ["a", "b"], "left_anti"))
-    if not more.isEmpty():
-        roots = components(links.union(verified(more, texts, threshold)), "a", "b")
-    roots = checkpointed(roots)
-    for table in (buckets, texts, placed):
+    for table in (buckets, texts):
         drop_stored(table)
     return roots
 
