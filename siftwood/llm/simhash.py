@@ -57,7 +57,7 @@ def with_fingerprint(docs: DataFrame, text_col: str = "text", width: int = WIDTH
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.array([simhash(x, width) for x in batch.column(at).to_pylist()], dtype=np.uint64).view(np.int64)
+            fps = np.array([simhash(x.as_py(), width) for x in batch.column(at)], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fps)], [*batch.schema.names, into])
 
     schema = T.StructType([*docs.schema.fields, T.StructField(into, T.LongType())])
@@ -181,7 +181,7 @@ def _narrow(docs: DataFrame, width: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.array([simhash(x, width) for x in batch.column(1).to_pylist()], dtype=np.uint64).view(np.int64)
+            fps = np.array([simhash(x.as_py(), width) for x in batch.column(1)], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], ["_id", "_fp"])
 
     schema = T.StructType([docs.schema["_id"], T.StructField("_fp", T.LongType())])

@@ -188,7 +188,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = Model(**shared.value).scorer()
         for batch in batches:
-            scores = pa.array([of(x) for x in batch.column(at).to_pylist()], pa.float64())
+            scores = pa.array([of(x.as_py()) for x in batch.column(at)], pa.float64())
             if keep_columns:
                 yield pa.RecordBatch.from_arrays([*batch.columns, scores], [*batch.schema.names, into])
             else:
