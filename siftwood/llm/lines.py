@@ -94,8 +94,8 @@ def line_id(line: str) -> int:
 
 
 def bucketed(docs: DataFrame, text_col: str) -> DataFrame:
-    """(bucket, k): the lines of every band bucket of two or more; buckets of the
-    same lines are one."""
+    """(bucket, k, lead): the lines of every band bucket of two or more; buckets of
+    the same lines are one. ``lead`` is one line of the bucket."""
     reducers = parts(docs.sparkSession)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,52 +174,59 @@ def bucketed(docs: DataFrame, text_col: str) -> DataFrame:
         take[once] = True
         take &= size > 1
         rows = np.repeat(take, size)
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(name, size)[rows].view(np.int64)), pa.array(ks[rows].view(np.int64))], ["bucket", "k"])
+        lead = np.minimum.reduceat(ks, starts)
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(name, size)[rows].view(np.int64)), pa.array(ks[rows].view(np.int64)), pa.array(np.repeat(lead, size)[rows].view(np.int64))], ["bucket", "k", "lead"])
 
     asks = map_arrow(docs.select(F.col(text_col).alias("text")), ask, "part int, keys binary, ks binary")
-    return stored(map_arrow(asks.repartition(reducers, "part"), meet, "bucket long, k long").distinct())
+    return stored(map_arrow(asks.repartition(reducers, "part"), meet, "bucket long, k long, lead long").distinct())
+
+
+def hashed(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(text number, hash) of the distinct shingles of each text, in order of both.
+
+    Shingles are told apart by 64-bit hashes; a text no longer than a shingle is one.
+    """
+    padded = [x if len(x) >= SHINGLE else x + "\0" * (SHINGLE - len(x)) for x in texts]
+    chars = np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    sizes = np.array([len(x) for x in padded])
+    h = np.zeros(len(chars) - SHINGLE + 1, dtype=np.uint64)
+    for j in range(SHINGLE):
+        h = h * np.uint64(0x100000001B3) + chars[j : len(chars) - SHINGLE + 1 + j]
+    each = sizes - SHINGLE + 1
+    own = np.repeat(np.arange(len(texts)), each)
+    at = np.repeat(np.cumsum(sizes) - sizes - (np.cumsum(each) - each), each) + np.arange(each.sum())
+    h = mix(h[at])
+    order = np.lexsort((h, own))
+    h, own = h[order], own[order]
+    new = np.ones(len(h), dtype=bool)
+    new[1:] = (h[1:] != h[:-1]) | (own[1:] != own[:-1])
+    return own[new], h[new]
 
 
 def alike(texts: list[str], threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """Numbers (i, j) of all pairs of texts whose exact Jaccard likeness is at
     least the threshold.
 
-    Of many texts, shared shingles are counted by products of 0/1 matrices;
-    shingles of one text only can't be shared and aren't in them.
+    Shared shingles are counted by products of 0/1 matrices; shingles of one
+    text only can't be shared and aren't in them.
     """
-    sets = [shingles(t) for t in texts]
-    sizes = np.array([len(x) for x in sets])
-    if len(texts) <= 8:
-        found = []
-        for i, x in enumerate(sets):
-            for j in range(i + 1, len(sets)):
-                small, large = min(sizes[i], sizes[j]), max(sizes[i], sizes[j])
-                if small >= threshold * large:
-                    both = len(x & sets[j])
-                    if both >= threshold * (sizes[i] + sizes[j] - both):
-                        found.append((i, j))
-        pairs = np.array(found, dtype=np.int64).reshape(-1, 2)
-        return pairs[:, 0], pairs[:, 1]
-    often: dict[str, int] = {}
-    for x in sets:
-        for g in x:
-            often[g] = often.get(g, 0) + 1
-    column = {g: i for i, g in enumerate(g for g, n in often.items() if n > 1)}
-    rows, cols = [], []
-    for i, x in enumerate(sets):
-        own = [column[g] for g in x if g in column]
-        rows.append(np.full(len(own), i))
-        cols.append(np.array(own, dtype=np.int64))
-    row, col = np.concatenate(rows), np.concatenate(cols)
-    both = np.zeros((len(sets), len(sets)), dtype=np.float32)
+    own, h = hashed(texts)
+    sizes = np.bincount(own, minlength=len(texts))
+    _, column, often = np.unique(h, return_inverse=True, return_counts=True)
+    shared = often[column] > 1
+    row, col = own[shared], column[shared]
     order = np.argsort(col, kind="stable")
     row, col = row[order], col[order]
-    for lo in range(0, len(column), 4096):  # columns at a time, so that memory is bounded
+    if len(col):  # numbered without gaps
+        col = np.concatenate([[0], np.cumsum(col[1:] != col[:-1])])
+    width = int(col[-1]) + 1 if len(col) else 0
+    both = np.zeros((len(texts), len(texts)), dtype=np.float32)
+    for lo in range(0, width, 4096):  # columns at a time, so that memory is bounded
         a, b = np.searchsorted(col, [lo, lo + 4096])
-        part = np.zeros((len(sets), min(4096, len(column) - lo)), dtype=np.float32)
+        part = np.zeros((len(texts), min(4096, width - lo)), dtype=np.float32)
         part[row[a:b], col[a:b] - lo] = 1
         both += part @ part.T
-    i, j = np.nonzero(np.triu(both >= threshold * (sizes[:, None] + sizes[None, :] - both) - 1e-4, 1))
+    i, j = np.nonzero(np.triu(both > 0, 1))
     n = np.rint(both[i, j]).astype(np.int64)
     sure = n >= threshold * (sizes[i] + sizes[j] - n)
     return i[sure], j[sure]
@@ -227,21 +234,35 @@ def alike(texts: list[str], threshold: float) -> tuple[np.ndarray, np.ndarray]:
 
 def verified(members: DataFrame, threshold: float) -> DataFrame:
     """Links (a, b) that connect all pairs of a bucket that are alike, of rows
-    (bucket, k, line): every pair of a bucket is compared where the bucket is,
-    and only a spanning forest leaves the task."""
+    (bucket, k, lead, line): every pair of a bucket is compared where the bucket
+    is, and only a spanning forest leaves the task. Buckets with the same lead
+    are in one task; one whose lines are connected already needs no comparison."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         links: list[tuple[np.ndarray, np.ndarray]] = []
         held = 0
         now, ks, texts = None, [], []
+        up: dict[int, int] = {}
+
+        def top(k: int) -> int:
+            while (above := up.get(k, k)) != k:
+                up[k] = up.get(above, above)
+                k = above
+            return k
 
         def close() -> None:
             nonlocal held
-            if len(ks) > 1:
+            if len(ks) > 1 and len({top(k) for k in ks}) > 1:
                 i, j = alike(texts, threshold)
                 own = np.array(ks, dtype=np.int64)
                 links.append(forest(own[i], own[j]))
                 held += len(links[-1][0])
+                for x, y in zip(links[-1][0].tolist(), links[-1][1].tolist(), strict=True):
+                    x, y = top(x), top(y)
+                    if x != y:
+                        up[x] = y
+            if len(up) > 1_000_000:  # what is forgotten is compared again
+                up.clear()
 
         for batch in batches:
             for bucket, k, line in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -259,7 +280,7 @@ def verified(members: DataFrame, threshold: float) -> DataFrame:
             a, b = forest(*(np.concatenate(x) for x in zip(*links, strict=True)))
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-    dealt = members.repartition(parts(members.sparkSession), "bucket").sortWithinPartitions("bucket")
+    dealt = members.repartition(parts(members.sparkSession), "lead").sortWithinPartitions("lead", "bucket")
     return checkpointed(map_arrow(dealt.select("bucket", "k", "line"), run, "a long, b long"))
 
 
@@ -280,8 +301,8 @@ def line_components(docs: DataFrame, text_col: str, threshold: float = THRESHOLD
     texts = stored(lines.join(wanted, "k", "left_semi").groupBy("k").agg(F.min("line").alias("line")))
     large = checkpointed(buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BUCKET).select("bucket", F.ceil(F.col("n") / BUCKET).alias("c")))
     own, other = F.pmod(F.xxhash64("k"), F.col("c")), F.explode(F.sequence(F.lit(0).cast("long"), F.col("c") - 1)).alias("j")
-    divided = buckets.join(large, "bucket").select("bucket", "k", own.alias("i"), other).select(F.xxhash64("bucket", F.least("i", "j"), F.greatest("i", "j")).alias("bucket"), "k").distinct()
-    members = buckets.join(large, "bucket", "left_anti").union(divided)
+    divided = buckets.join(large, "bucket").select("bucket", "k", own.alias("i"), other).select(F.xxhash64("bucket", F.least("i", "j"), F.greatest("i", "j")).alias("bucket"), "k").distinct().withColumn("lead", F.col("bucket"))
+    members = buckets.join(large, "bucket", "left_anti").select("bucket", "k", "lead").union(divided)
     links = verified(members.join(texts, "k"), threshold)
     roots = checkpointed(components(links, "a", "b"))
     for table in (buckets, texts):
