@@ -1,9 +1,9 @@
-"""Embedding near-duplicates by sorted projection passes.
+"""Embedding near-duplicates by passes of random-hyperplane buckets.
 
-In each pass every vector gets the concatenation of its signs on random
-hyperplanes as a key; vectors are ordered by key, and each is compared with
-those at most ``window`` places behind it. Pairs at or above the cosine
-threshold, verified in double precision, are united over all passes.
+In each pass every vector gets its signs on random hyperplanes as a key, and
+all vectors of one key are compared with each other, however many they are.
+Pairs at or above the cosine threshold, verified in double precision, are
+united over all passes; a pair is counted in the first pass it meets in.
 """
 
 from __future__ import annotations
@@ -16,30 +16,51 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, map_arrow, stored
+from .common import checkpointed, map_arrow, parts, stored
 from .graph import components
 
-THRESHOLD, WINDOW, KEY_BITS, RECALL, SEED = 0.95, 96, 62, 0.995, 20240229
-#: Vectors of one ordered run; runs end windows, so they are long against the window.
-RUN = 16_384
+THRESHOLD, RECALL, SEED = 0.95, 0.995, 20240229
+#: Comparisons that cost as much as bringing one vector to its bucket once more.
+CARRIED = 8_192
+#: Numbers in a division of a bucket; a task holds two divisions.
+DIVISION = 1 << 20
 
 
-def passes_for(n: int, threshold: float = THRESHOLD, window: int = WINDOW, recall: float = RECALL) -> int:
-    """Passes after which a pair at the threshold has met with probability ``recall``.
+def passes_for(bits: int, threshold: float = THRESHOLD, recall: float = RECALL) -> int:
+    """Passes after which a pair at the threshold has shared a key with probability ``recall``.
 
-    A pair agrees on a sign with probability 1 - angle / pi, and lies in one
-    window if it agrees on the signs that leave about half a window of ``n``
-    vectors. The number grows with ``n``; no pair is out of reach.
+    A pair agrees on a sign with probability 1 - angle / pi and meets if it
+    agrees on all ``bits``, whatever the other vectors are.
     """
-    agree = 1 - math.acos(threshold) / math.pi
-    bits = max(0.0, math.log2(max(n, 1) / (window / 2)))
-    met = agree**bits
-    return 4 if met > 0.999 else max(4, math.ceil(math.log(1 - recall) / math.log(1 - met)))
+    met = (1 - math.acos(threshold) / math.pi) ** bits
+    return 1 if met >= recall else math.ceil(math.log(1 - recall) / math.log(1 - met))
 
 
-def link(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = THRESHOLD, window: int = WINDOW, recall: float = RECALL) -> DataFrame:
+def bits_for(n: int, threshold: float = THRESHOLD, recall: float = RECALL, carried: float = CARRIED) -> int:
+    """Signs in a key that make the passes cheapest over ``n`` vectors; with none,
+    the one pass compares all pairs."""
+    return min(range(63), key=lambda bits: passes_for(bits, threshold, recall) * (n / 2**bits / 2 + carried))
+
+
+def _unite(up: np.ndarray, x: np.ndarray, y: np.ndarray) -> None:
+    """Joins the sets of ``x`` and ``y`` in ``up``, where each place names the smallest of its set."""
+    while True:
+        low, high = np.minimum(up[x], up[y]), np.maximum(up[x], up[y])
+        open_ = low != high
+        if not open_.any():
+            return
+        np.minimum.at(up, high[open_], low[open_])
+        while (up[up] != up).any():
+            up[:] = up[up]
+
+
+def link(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = THRESHOLD, recall: float = RECALL, bits: int | None = None, division: int = DIVISION) -> DataFrame:
     """One row a vector: vec_id, n_links, component_id, kept.
 
+    Every pair at the threshold is found with probability ``recall`` or more,
+    in groups and regions of any density, and every pair at all where keys have
+    no ``bits`` (by default up to about 100,000 vectors). Crowded buckets are divided so
+    that every two divisions meet; only counts and spanning forests leave a task.
     Equal vectors are one class (pre-aggregated, its copies linked by
     definition), so a vector that a third of all rows repeat costs one row.
     Null, empty and zero vectors and those with null or non-finite components
@@ -54,63 +75,103 @@ def link(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddin
     rows = vectors.select(F.col(id_col).alias("vec_id"), valid.alias("_ok"), F.when(valid, numbers).alias("_v"))
     classes = stored(rows.where("_ok").groupBy("_v").agg(F.min("vec_id").alias("first"), F.count(F.lit(1)).alias("n")).withColumn("cls", F.monotonically_increasing_id()))
     n = classes.count()
+    bits = bits_for(n, threshold, recall) if bits is None else bits
+    turns = passes_for(bits, threshold, recall)
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(2)
+            sizes = np.diff(lists.offsets.to_numpy())
+            flat = lists.flatten().to_numpy(zero_copy_only=False)
+            starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+            keys = np.zeros((len(sizes), turns), dtype=np.int64)
+            for d in np.unique(sizes):
+                own = np.flatnonzero(sizes == d)
+                m = flat[starts[own][:, None] + np.arange(d)]
+                # scaled first, so that no sum of products overflows
+                m = m / np.abs(m).max(axis=1, keepdims=True)
+                for turn in range(turns):
+                    planes = np.random.default_rng([SEED, turn, int(d)]).standard_normal((int(d), bits))
+                    keys[own, turn] = (m @ planes > 0) @ (1 << np.arange(bits, dtype=np.int64))
+            told = pa.ListArray.from_arrays(pa.array(np.arange(len(sizes) + 1, dtype=np.int32) * turns), pa.array(keys.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists, pa.array(sizes.astype(np.int32)), told], ["cls", "n", "v", "dim", "keys"])
+
+    def compare(batches: Iterator[pa.RecordBatch], turn: int) -> Iterator[pa.RecordBatch]:
+        """One row for each vector with a link that no earlier pass met: the rows
+        it is linked with, and the smallest class of its set in the bucket."""
+
+        def linked(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+            rows = pa.Table.from_batches(held).combine_chunks()
+            ids, copies, place = (rows.column(c).to_numpy() for c in ("cls", "n", "part"))
+            m = rows.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
+            keys = rows.column("keys").combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
+            order = np.argsort(ids)
+            ids, copies, place, m, keys = ids[order], copies[order], place[order], m[order], keys[order]
+            m = m / np.abs(m).max(axis=1, keepdims=True)
+            m /= np.linalg.norm(m, axis=1, keepdims=True)
+            up, counts = np.arange(len(ids)), np.zeros(len(ids), dtype=np.int64)
+            lo, hi = rows.column("lo")[0].as_py(), rows.column("hi")[0].as_py()
+            left, right = np.flatnonzero(place == lo), np.flatnonzero(place == hi)
+            for i in range(0, len(left), 512):
+                for j in range(i if lo == hi else 0, len(right), 2048):
+                    ahead, behind = left[i : i + 512], right[j : j + 2048]
+                    cosine = m[ahead] @ m[behind].T
+                    x, y = np.nonzero(cosine >= threshold - 1e-9)
+                    close = cosine[x, y] < threshold + 1e-9
+                    x, y = ahead[x], behind[y]
+                    sure = np.ones(len(x), dtype=bool)
+                    at = np.flatnonzero(close)
+                    for k in range(0, len(at), 8192):
+                        some = at[k : k + 8192]
+                        sure[some] = np.einsum("ij,ij->i", m[x[some]], m[y[some]]) >= threshold
+                    if lo == hi:
+                        sure &= x < y
+                    x, y = x[sure], y[sure]
+                    for earlier in range(turn):
+                        fresh = keys[x, earlier] != keys[y, earlier]
+                        x, y = x[fresh], y[fresh]
+                    np.add.at(counts, x, copies[y])
+                    np.add.at(counts, y, copies[x])
+                    _unite(up, x, y)
+            some = np.flatnonzero(counts)
+            return pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(ids[up[some]]), pa.array(counts[some])], ["cls", "low", "m"])
+
+        held: list[pa.RecordBatch] = []
+        now = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            marks = np.stack([batch.column(c).to_numpy() for c in ("dim", "key", "lo", "hi")])
+            cuts = [0, *(np.flatnonzero((marks[:, 1:] != marks[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
+            for start, end in zip(cuts[:-1], cuts[1:], strict=True):
+                mark = tuple(marks[:, start])
+                if held and mark != now:
+                    yield linked(held)
+                    held = []
+                now = mark
+                held.append(batch.slice(start, end - start))
+        if held:
+            yield linked(held)
+
+    keys = map_arrow(classes.select("cls", "n", "_v"), keyed, "cls long, n long, v array<double>, dim int, keys array<long>")
     found = None
-    for turn in range(passes_for(n, threshold, window, recall)):
-
-        def keyed(batches: Iterator[pa.RecordBatch], turn: int = turn) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                lists = batch.column(1)
-                sizes = np.diff(lists.offsets.to_numpy())
-                flat = lists.flatten().to_numpy(zero_copy_only=False)
-                starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-                key = np.zeros(len(sizes), dtype=np.int64)
-                for d in np.unique(sizes):
-                    own = np.flatnonzero(sizes == d)
-                    m = flat[starts[own][:, None] + np.arange(d)]
-                    planes = np.random.default_rng([SEED, turn, int(d)]).standard_normal((int(d), KEY_BITS))
-                    # scaled first, so that no sum of products overflows
-                    signs = (m / np.abs(m).max(axis=1, keepdims=True)) @ planes > 0
-                    key[own] = signs @ (1 << np.arange(KEY_BITS - 1, -1, -1, dtype=np.int64))
-                yield pa.RecordBatch.from_arrays([batch.column(0), lists, pa.array(sizes.astype(np.int32)), pa.array(key)], ["cls", "v", "dim", "key"])
-
-        def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            last: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-            for batch in batches:
-                for at in range(0, batch.num_rows, 4096):
-                    part = batch.slice(at, 4096)
-                    dims, ids = part.column(2).to_numpy(), part.column(0).to_numpy()
-                    flat = part.column(1).flatten().to_numpy(zero_copy_only=False)
-                    starts = np.concatenate([[0], np.cumsum(dims)[:-1]]).astype(np.int64)
-                    for d in np.unique(dims):
-                        own = np.flatnonzero(dims == d)
-                        m = flat[starts[own][:, None] + np.arange(d)]
-                        m = m / np.abs(m).max(axis=1, keepdims=True)
-                        m /= np.linalg.norm(m, axis=1, keepdims=True)
-                        name = ids[own]
-                        if int(d) in last:
-                            m, name = np.concatenate([last[int(d)][0], m]), np.concatenate([last[int(d)][1], name])
-                        pairs: list[np.ndarray] = []
-                        for i in range(0, len(m), 512):
-                            block, ahead = m[i : i + 512], m[i : i + 512 + window]
-                            x, y = np.nonzero(block @ ahead.T >= threshold - 1e-9)
-                            near = (y > x) & (y - x <= window)
-                            pairs.append(np.stack([x[near] + i, y[near] + i]))
-                        x, y = np.concatenate(pairs, axis=1) if pairs else np.zeros((2, 0), dtype=np.int64)
-                        exact = np.einsum("ij,ij->i", m[x], m[y]) >= threshold
-                        a, b = name[x[exact]], name[y[exact]]
-                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
-                        last[int(d)] = (m[-window:], name[-window:])
-
-        keys = map_arrow(classes.select("cls", "_v"), keyed, "cls long, v array<double>, dim int, key long")
-        runs = keys.repartitionByRange(max(1, n // RUN), "dim", "key", "cls").sortWithinPartitions("dim", "key", "cls")
-        met = checkpointed(map_arrow(runs, compare, "a long, b long").distinct())
+    for turn in range(turns):
+        rows_now = keys.withColumn("key", F.element_at("keys", turn + 1))
+        room = F.greatest(F.floor(F.lit(division) / F.col("dim")), F.lit(1))
+        crowds = checkpointed(rows_now.select("dim", "key").groupBy("dim", "key").agg(F.count(F.lit(1)).alias("c")).withColumn("divisions", F.ceil(F.col("c") / room).cast("int")).where("divisions > 1"))
+        carried = n + int(crowds.agg(F.sum(F.col("c") * (F.col("divisions") - 1))).first()[0] or 0)
+        # which division a vector is in differs from pass to pass
+        own = F.pmod(F.xxhash64("cls", F.lit(turn)), F.col("divisions")).cast("int")
+        placed = rows_now.join(F.broadcast(crowds.drop("c")), ["dim", "key"], "left").withColumn("divisions", F.coalesce("divisions", F.lit(1))).withColumn("part", own)
+        placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("divisions") - 1)))
+        placed = placed.select("cls", "n", "v", "dim", "keys", "key", "part", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"))
+        by = ["dim", "key", "lo", "hi"]
+        runs = placed.repartition(max(parts(spark), carried // CARRIED), *by).sortWithinPartitions(*by)
+        met = checkpointed(map_arrow(runs, lambda batches, turn=turn: compare(batches, turn), "cls long, low long, m long"))
         found = met if found is None else found.union(met)
-    links = checkpointed(found.distinct())
     sizes = classes.select("cls", "n", "first")
-    # every class counts the rows of the classes it is linked with
-    both = links.select(F.col("a").alias("cls"), F.col("b").alias("other")).union(links.select("b", "a"))
-    counted = both.join(sizes.select(F.col("cls").alias("other"), F.col("n").alias("m")), "other").groupBy("cls").agg(F.sum("m").alias("m"))
-    linked = components(links, "a", "b").withColumnRenamed("node", "cls")
+    counted = found.groupBy("cls").agg(F.sum("m").alias("m"))
+    linked = components(found, "cls", "low").withColumnRenamed("node", "cls")
     rooted = checkpointed(sizes.join(counted, "cls", "left").join(linked, "cls", "left").select("cls", "first", (F.col("n") - 1 + F.coalesce("m", F.lit(0))).alias("n_links"), F.coalesce("root", "cls").alias("root")))
     heads = checkpointed(rooted.groupBy("root").agg(F.min("first").alias("component_id")))
     labels = checkpointed(rooted.join(heads, "root").select("cls", "n_links", "component_id"))

@@ -272,6 +272,26 @@ def test_vectors(spark):
         assert (got[v]["n_links"], got[v]["component_id"], got[v]["kept"]) == (n[i], least[root[i]], v == least[root[i]])
 
 
+def test_dense_vectors(spark):
+    """Near copies and a dense cone below the threshold: every link, by all pairs and by divided buckets."""
+    rng = np.random.default_rng(11)
+    middle, axis = rng.standard_normal(16), rng.standard_normal(16)
+    copies = middle + 1e-6 * rng.standard_normal((700, 16))
+    scaled = copies[:100] * rng.uniform(0.1, 9, (100, 1))
+    cone = axis / np.linalg.norm(axis) + 0.11 * rng.standard_normal((900, 16))
+    m = np.concatenate([copies, scaled, cone, rng.standard_normal((200, 16))])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "vec_id long, embedding array<double>").repartition(5)
+    m = m / np.linalg.norm(m, axis=1, keepdims=True)
+    near = np.triu(m @ m.T >= 0.95, 1)
+    root = parts_of(len(m), list(zip(*(x.tolist() for x in np.nonzero(near)), strict=True)))
+    n = near.sum(axis=0) + near.sum(axis=1)
+    for more in ({}, {"division": 16 * 150}):
+        got = {r["vec_id"]: r for r in neardup_vectors.link(df, **more).collect()}
+        assert [(got[i]["n_links"], got[i]["component_id"]) for i in range(len(m))] == [(n[i], root[i]) for i in range(len(m))]
+    got = {r["vec_id"]: r["n_links"] for r in neardup_vectors.link(df, bits=4, division=16 * 150).collect()}
+    assert all(got[i] <= n[i] for i in got) and sum(got.values()) >= 0.99 * n.sum() and all(got[i] == n[i] for i in range(800))
+
+
 def test_no_vectors(spark):
     assert neardup_vectors.link(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
