@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from siftwood import sources
 from siftwood.operators import dedupe, html, menu, rank, state
+from siftwood.plans import catalogue
 
 
 def test_collapse_keeps_the_first_and_lists_eight(spark):
@@ -35,6 +36,18 @@ def test_near_pairs_are_all_pairs(spark):
     assert got == want and want
 
 
+def test_near_duplicates_name_every_copy(spark, tmp_path):
+    rng = random.Random(8)
+    one, two = ([f"w{rng.randrange(10**6)}" for _ in range(120)] for _ in range(2))
+    near = [*one[:119], "changed"]
+    texts = [one, two, one, near, near, *[two] * 30]
+    spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = catalogue.QUERIES["near_duplicates_jaccard"](spark, str(tmp_path)).collect()
+    copies = {(r["a"], r["b"]) for r in rows if r["likeness"] == 1}
+    assert copies == {(0, 2), (3, 4)} | {(1, i) for i in range(5, 35)}
+    assert [(r["a"], r["b"]) for r in rows if r["likeness"] < 1] == [(0, 3)] and len(rows) == 33
+
+
 def test_bm25(spark):
     docs = spark.createDataFrame([(1, "apple pear apple"), (2, "pear plum"), (3, "plum")], "doc_id long, text string")
     asked = spark.createDataFrame([(7, "apple pear pear")], "query_id long, text string")
