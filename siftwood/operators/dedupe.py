@@ -30,9 +30,11 @@ def exact_duplicates(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return own.groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
 
 
-def fingerprints(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def fingerprints(docs: DataFrame, id_col: str, text_col: str, least: int = 1, most: int | None = None) -> DataFrame:
+    """(doc_id, s): distinct shingles of the whole text, or of its first ``most``
+    words; texts of fewer than ``least`` words, and those without any, have none."""
     own = docs.select(F.col(id_col).alias("doc_id"), X.words(F.col(text_col)).alias("w"))
-    cut = own.where(F.size("w") >= X.LEAST_WORDS).select("doc_id", F.slice("w", 1, X.MOST_WORDS).alias("w"))
+    cut = own.where(F.size("w") >= max(least, 1)).select("doc_id", (F.col("w") if most is None else F.slice("w", 1, most)).alias("w"))
     return cut.select("doc_id", X.shingles(F.col("w")).alias("s"))
 
 

@@ -16,13 +16,14 @@ def postings(docs: DataFrame, id_col: str, body: Column) -> DataFrame:
     return own.select("doc_id", F.size("w").alias("len"), F.explode("w").alias("term")).where(F.length("term") > 2).groupBy("doc_id", "len", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def bm25(docs: DataFrame, queries: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def bm25(docs: DataFrame, queries: DataFrame, id_col: str = "doc_id", text_col: str = "text", head: int | None = None) -> DataFrame:
     """(query_id, doc_id, score) of the documents that share a term with a query.
 
     ``queries`` has query_id and text; a term that a query repeats counts as
-    often. All queries are one join of their terms with the postings.
+    often. All queries are one join of their terms with the postings. Whole
+    texts are scored, or their first ``head`` characters.
     """
-    body = F.substring(F.col(text_col), 1, HEAD)
+    body = F.col(text_col) if head is None else F.substring(F.col(text_col), 1, head)
     n_docs = docs.agg(F.count(F.lit(1)).alias("n"), F.greatest(F.avg(F.size(X.tokens(body))), F.lit(1.0)).alias("avg")).first()
     asked = queries.select("query_id", F.explode(X.tokens(F.col("text"))).alias("term")).where(F.length("term") > 2).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
     found = postings(docs, id_col, body).join(asked.select("term").distinct(), "term", "left_semi")

@@ -11,7 +11,6 @@ from siftwood import streaming
 from siftwood.functions import dates, signals, urls
 from siftwood.functions import text as X
 from siftwood.operators import dedupe, html, menu, rank, retrieval, selectors, state
-from siftwood.session import checkpointed
 from siftwood.sources import register, table
 from siftwood.streaming import state as stream_state
 
@@ -112,14 +111,14 @@ s AS (SELECT q.item_id AS query_id, p.doc_id, round(sum(ln(1 + (n - df + 0.5) /
 
 def _bm25(spark, sf_dir) -> DataFrame:
     asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    return rank.bm25(table(spark, sf_dir, "documents"), asked)
+    return rank.bm25(table(spark, sf_dir, "documents"), asked, head=rank.HEAD)
 
 
 @query(_BM25 + "SELECT doc_id, score FROM s WHERE query_id = (SELECT min(item_id) FROM benchmark) ORDER BY score DESC, doc_id LIMIT 20")
 def bm25_topk(spark, sf_dir):
     asked = table(spark, sf_dir, "benchmark")
     first = asked.orderBy("item_id").limit(1).select(F.col("item_id").alias("query_id"), "text")
-    return rank.bm25(table(spark, sf_dir, "documents"), first).select("doc_id", "score").orderBy(F.desc("score"), "doc_id").limit(20)
+    return rank.bm25(table(spark, sf_dir, "documents"), first, head=rank.HEAD).select("doc_id", "score").orderBy(F.desc("score"), "doc_id").limit(20)
 
 
 @query(_BM25 + ", r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS place FROM s) SELECT query_id, doc_id, score, place FROM r WHERE place <= 10")
@@ -168,7 +167,7 @@ def rrf_hybrid(spark, sf_dir):
     """Reciprocal-rank fusion of the lexical and the vector top 100."""
     by = lambda df, i, s: df.orderBy(F.desc(s), i).limit(100).withColumn("rank", F.row_number().over(Window.orderBy(F.desc(s), i))).select(F.col(i).alias("id"), "rank")
     first = table(spark, sf_dir, "benchmark").orderBy("item_id").limit(1).select(F.col("item_id").alias("query_id"), "text")
-    lexical = by(rank.bm25(table(spark, sf_dir, "documents"), first), "doc_id", "score")
+    lexical = by(rank.bm25(table(spark, sf_dir, "documents"), first, head=rank.HEAD), "doc_id", "score")
     vector = by(_similar(spark, sf_dir), "vec_id", "cosine")
     return rank.reciprocal_rank_fusion(lexical.union(vector)).withColumn("score", F.round("score", 9))
 
@@ -199,7 +198,7 @@ def near_duplicates_jaccard(spark, sf_dir):
     A fingerprint goes by its smallest doc_id; each other document that has it
     is a row (a, b) of likeness 1, which no pair of different fingerprints has.
     """
-    prints = checkpointed(dedupe.fingerprints(table(spark, sf_dir, "documents"), "doc_id", "text"))
+    prints = dedupe.fingerprints(table(spark, sf_dir, "documents"), "doc_id", "text")
     members = dedupe.shingle_representatives(prints).where("doc_id <> id").select(F.col("id").alias("a"), F.col("doc_id").alias("b"), F.lit(1.0).alias("likeness"))
     return dedupe.near_pairs(prints).select("a", "b", F.round("likeness", 9).alias("likeness")).union(members)
 

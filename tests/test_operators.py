@@ -59,6 +59,20 @@ def test_bm25(spark):
     assert got == {1: round(part(2, 1, 3) + 2 * part(1, 2, 3), 6), 2: round(2 * part(1, 2, 2), 6)}
 
 
+def test_whole_texts_are_read(spark):
+    rng = random.Random(4)
+    start, one, two = ([f"w{rng.randrange(10**6)}" for _ in range(n)] for n in (700, 700, 700))
+    texts = [start + one, start + two, ["few", "words"], ["few", "words"], [], None]
+    docs = spark.createDataFrame([(i, None if t is None else " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    prints = dedupe.fingerprints(docs, "doc_id", "text")
+    assert {r["doc_id"] for r in prints.collect()} == {0, 1, 2, 3}
+    assert dedupe.near_pairs(prints).count() == 0
+    assert {(r["doc_id"], r["id"]) for r in dedupe.shingle_representatives(prints).collect()} == {(0, 0), (1, 1), (2, 2), (3, 2)}
+    asked = spark.createDataFrame([(7, one[-1])], "query_id long, text string")
+    assert [r["doc_id"] for r in rank.bm25(docs, asked).collect()] == [0]
+    assert rank.bm25(docs, asked, head=600).count() == 0
+
+
 def test_moving_average_and_streaks(spark):
     rows = [(1, i, float(v)) for i, v in enumerate([3, 1, 4, 1, 5, 9])]
     events = spark.createDataFrame(rows, "k long, i long, value double")
