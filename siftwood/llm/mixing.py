@@ -74,6 +74,36 @@ def rake(cells: Mapping[tuple[str, ...], float], targets: tuple[Mapping[str, flo
     return {k: float(f / (w / weight.sum())) for k, f, w in zip(names, fitted, weight, strict=True)}
 
 
+def kept_share(cells: Mapping[tuple[str, ...], float], targets: tuple[Mapping[str, float], ...], factors: dict[tuple[str, ...], float], keep: float) -> tuple[dict[tuple[str, ...], float], float]:
+    """Factors and the common number that keep the share ``keep`` of the tokens with no probability above one.
+
+    Where the targets can't be met with so many tokens kept, they are drawn
+    towards the shares the cells have (share^(1 - x) * target^x) just as far as
+    they can be met, so that the expected mix meets them exactly.
+    """
+    every = sum(cells.values())
+    cells = {k: cells[k] for k in factors}
+    keep = min(1.0, keep * every / sum(cells.values()))
+    own = []
+    for i in range(len(targets)):
+        totals: dict[str, float] = {}
+        for k, v in cells.items():
+            totals[k[i]] = totals.get(k[i], 0.0) + v
+        own.append({x: (t / sum(totals.values()), targets[i][x]) for x, t in totals.items()})
+    fits = lambda found: keep * max(found.values()) <= 1 + 1e-9
+    if not fits(factors):
+        low, high = 0.0, 1.0
+        factors = dict.fromkeys(cells, 1.0)
+        for _ in range(24):
+            x = (low + high) / 2
+            tried = rake(cells, tuple({name: share ** (1 - x) * aim**x for name, (share, aim) in margin.items()} for margin in own))
+            if fits(tried):
+                low, factors = x, tried
+            else:
+                high = x
+    return factors, keep
+
+
 def with_cells(docs: DataFrame, id_col: str, text_col: str, source_col: str, lang_col: str, topic: Column | None) -> DataFrame:
     label = lambda c: F.coalesce(c.cast("string"), F.lit(MISSING))
     return docs.withColumns({"_tokens": n_tokens(F.col(text_col)), "_source": label(F.col(source_col)), "_lang": label(F.col(lang_col)), "_topic": label(topic_of(F.col(text_col)) if topic is None else topic)})
@@ -95,8 +125,9 @@ def mix(docs: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = Non
     aggregated before the shuffle reach it. ``_weight`` is the cell's factor,
     ``_probability`` the factor times a common number: without ``keep`` the
     largest at which none passes one, so the expected mix meets the targets
-    exactly; with ``keep`` the one that keeps this share of the tokens in
-    expectation, probabilities held at one. A null label is "<none>", a null
+    exactly; with ``keep`` this share of the tokens in expectation (all that
+    have a target, if those are fewer), with targets drawn towards the shares that are there where they
+    can't be met so (``kept_share``). A null label is "<none>", a null
     text has no tokens; a row whose cell has no weight (only texts without
     tokens) has probability 0. Equal ids are kept or dropped together.
     """
@@ -117,16 +148,11 @@ def mix(docs: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = Non
         listed = spark.createDataFrame([(k,) for k in known] or [(OTHER,)], "_k string")
         folded = folded.join(F.broadcast(listed), F.col(f"_{name}") == F.col("_k"), "left").withColumn(f"_{name}", F.coalesce("_k", F.lit(OTHER))).drop("_k")
     cells = {(r["_source"], r["_lang"], r["_topic"]): float(r["t"]) for r in folded.groupBy("_source", "_lang", "_topic").agg(F.sum("_t").alias("t")).collect()}
-    factors = rake(cells, tuple(targets[n] for n in MARGINS))
+    wanted = tuple(targets[n] for n in MARGINS)
+    factors = rake(cells, wanted)
     common = 1 / max(factors.values()) if factors else 0.0
     if keep is not None and factors:
-        aim, low, high = keep * sum(cells.values()), 0.0, 1 / min(factors.values())
-        for _ in range(200):
-            common = (low + high) / 2
-            if sum(min(1.0, common * f) * cells[k] for k, f in factors.items()) < aim:
-                low = common
-            else:
-                high = common
+        factors, common = kept_share(cells, wanted, factors, keep)
     schema = T.StructType([T.StructField(c, T.StringType()) for c in ("_s", "_l", "_o")] + [T.StructField("_weight", T.DoubleType()), T.StructField("_probability", T.DoubleType())])
     table = spark.createDataFrame([(*k, f, min(1.0, common * f)) for k, f in factors.items()], schema)
     for name in MARGINS:

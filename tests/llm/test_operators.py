@@ -455,6 +455,19 @@ def test_mix(spark, docs, rows):
     assert all(not r["_sampled"] for r in own if r["_source"] != "s1")
 
 
+def test_keep_leaves_the_marginals_met(spark):
+    texts = [("big", "en", 900), ("big", "fr", 60), ("small", "en", 30), ("small", "fr", 10)]
+    docs = spark.createDataFrame([(i, "w " * n, s, g) for i, (s, g, n) in enumerate(texts)], "doc_id long, text string, source string, lang string")
+    got = mixing.mix(docs, keep=0.75, topic=F.lit("t")).collect()
+    total = sum(r["_tokens"] for r in got)
+    assert max(r["_probability"] for r in got) <= 1 + 1e-9
+    assert sum(r["_tokens"] * r["_probability"] for r in got) / total == pytest.approx(0.75, abs=1e-6)
+    for r in got:  # one number for all: the mix kept is the mix weighted
+        assert r["_probability"] == pytest.approx(0.75 * r["_weight"], rel=1e-6)
+    small = sum(r["_tokens"] * r["_probability"] for r in got if r["_source"] == "small") / (0.75 * total)
+    assert 0.04 < small < mixing.tempered({"big": 960, "small": 40})["small"]
+
+
 # --- 10 -------------------------------------------------------------------------------------
 
 
