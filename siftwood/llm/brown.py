@@ -5,16 +5,14 @@ the product of class transitions and word emissions, both smoothed.
 
 Tokens never travel as rows. The corpus is cut into blocks of whole documents
 whose words are numbered locally; a block asks for its distinct words only, in
-packed arrays dealt by word hash, and the reducers, which hold every word's
-counts over the whole corpus, answer the blocks that asked. Statistics come
-from all training tokens.
-
-* Core words, whose share of the training tokens is ``CORE_SHARE`` or more (so
-  there are at most ``1 / CORE_SHARE`` of them, whatever the corpus), take part
-  in every sweep: a sweep counts the classes to the left and right of each, and
-  moves each to the class that raises the class model's likelihood most.
-* All other words get their class by the same gain, to first order, once the
-  core has settled.
+packed arrays dealt by word hash, and the reducers, which see every word of
+theirs over the whole corpus, answer the blocks that asked. The blocks stay where
+they are, dealt by number; only asks and answers are shuffled.
+
+Every word takes part in every sweep: its reducer sums the classes to the left
+and right of all its occurrences and moves it to the class that raises the class
+model's likelihood most, until a sweep raises it no more. No word list is
+broadcast or collected; the driver holds the class bigrams.
 """
 
 from __future__ import annotations
@@ -22,7 +20,7 @@ from __future__ import annotations
 import math
 import zlib
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import count
 
 import numpy as np
@@ -32,12 +30,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_stored, map_arrow, parts, stored
+from .common import checkpointed, drop_stored, map_arrow, parts, stored
 
-CLASSES, SWEEPS, CORE_SHARE, FOLDS = 64, 4, 4e-6, 10
+CLASSES, FOLDS = 64, 10
+#: Sweeps end when one raises the likelihood by less than this share of the rise so far, or after so many.
+SETTLED, SWEEPS = 0.01, 16
 END, REST = 0, CLASSES - 1
-#: Tokens after which a block is closed, and distinct words of one reducing task.
-BLOCK_TOKENS, TASK_WORDS = 3_000_000, 250_000
+#: Tokens or distinct words after which a block is closed, and asked words of one reducing task.
+BLOCK_TOKENS, BLOCK_WORDS, TASK_WORDS = 1_000_000, 60_000, 400_000
+#: Counts up to which gains are looked up, and distinct words that are moved at a time.
+SMALL, CHUNK = 48, 1024
 
 
 def held_out(doc_id) -> bool:
@@ -61,8 +63,10 @@ BLOCKS = "block long, n_train long, n_words long, doc_ids array<long>, lengths a
 
 
 def blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Whole documents in blocks; local word 0 is the end token. ``words`` joins
-    the other words by blanks, ``counts`` has their training counts."""
+    """Whole documents in blocks; local word 0 is the end token. ``ids`` has two
+    bytes a token, or four where a block has too many words for that. ``words``
+    joins the other words by blanks, ``counts`` has their training counts."""
+    closing = BLOCK_TOKENS, BLOCK_WORDS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = TaskContext.get().partitionId() << 24
@@ -75,10 +79,11 @@ def blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             nonlocal first
             names, ids = state["names"], np.concatenate(state["ids"])
             lengths, held = np.array(state["lengths"], dtype=np.int32), np.array(state["held"])
-            train = ids[~np.repeat(held, lengths)]
-            counts = np.bincount(train, minlength=len(names) + 1)[1:].astype("<u4")
+            counts = np.bincount(ids[~np.repeat(held, lengths)], minlength=len(names) + 1)[1:].astype("<u4")
             wids = np.fromiter(map(xxhash.xxh64_intdigest, names), dtype=np.uint64, count=len(names))
-            row = [[first], [len(train)], [len(names)], [state["docs"]], [lengths], [held], [ids.tobytes()], [wids.tobytes()], [b" ".join(names)], [counts.tobytes()]]
+            small = ids.astype("<u2") if len(names) < 65_535 else ids
+            n_train = int(lengths[~held].sum())
+            row = [[first], [n_train], [len(names)], [state["docs"]], [lengths], [held], [small.tobytes()], [wids.tobytes()], [b" ".join(names)], [counts.tobytes()]]
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.bool_()), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
             first += 1
             fresh()
@@ -95,7 +100,7 @@ def blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 state["lengths"].append(len(ids))
                 state["held"].append(held_out(doc))
                 state["tokens"] += len(ids)
-                if state["tokens"] >= BLOCK_TOKENS:
+                if state["tokens"] >= closing[0] or len(state["names"]) >= closing[1]:
                     yield closed()
         if state["docs"]:
             yield closed()
@@ -103,9 +108,9 @@ def blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return map_arrow(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), run, BLOCKS)
 
 
-def word_counts(cut: DataFrame, reducers: int, least: int) -> DataFrame:
+def word_counts(cut: DataFrame, reducers: int) -> DataFrame:
     """Answers (block, part, counts), and from each reducer its vocabulary's
-    figures and core words (block null)."""
+    figures and most frequent words (block null)."""
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -119,249 +124,258 @@ def word_counts(cut: DataFrame, reducers: int, least: int) -> DataFrame:
         names: dict = defaultdict(count().__next__)
         asked = []
         for batch in batches:
-            for block, part, words, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                own = words.split()
-                asked.append((block, part, np.fromiter(map(names.__getitem__, own), dtype=np.int64, count=len(own)), np.frombuffer(counts, "<u4")))
+            for block, part, words, counts in zip(*batch.columns, strict=True):
+                own = words.as_py().split()
+                asked.append((block.as_py(), part.as_py(), np.fromiter(map(names.__getitem__, own), dtype=np.int32, count=len(own)), np.frombuffer(counts.as_py(), "<u4")))
         total = np.zeros(len(names), dtype=np.int64)
         for _, _, own, counts in asked:
             total[own] += counts
-        schema = pa.schema([("block", pa.int64()), ("part", pa.int32()), ("counts", pa.binary()), ("v", pa.int64()), ("n1", pa.int64()), ("n2", pa.int64()), ("core", pa.list_(pa.struct([("wid", pa.int64()), ("n", pa.int64())])))])
+        schema = pa.schema([("block", pa.int64()), ("part", pa.int32()), ("counts", pa.binary()), ("v", pa.int64()), ("n1", pa.int64()), ("n2", pa.int64()), ("lead", pa.list_(pa.struct([("wid", pa.int64()), ("n", pa.int64())])))])
         for block, part, own, _ in asked:
-            yield pa.RecordBatch.from_pylist([{"block": block, "part": part, "counts": total[own].tobytes(), "v": 0, "n1": 0, "n2": 0, "core": None}], schema)
+            yield pa.RecordBatch.from_pylist([{"block": block, "part": part, "counts": total[own].tobytes(), "v": 0, "n1": 0, "n2": 0, "lead": None}], schema)
         if asked:
-            core = [{"wid": int(np.uint64(xxhash.xxh64_intdigest(w)).view(np.int64)), "n": int(n)} for w, n in zip(names, total.tolist(), strict=True) if n >= least]
-            yield pa.RecordBatch.from_pylist([{"block": None, "part": asked[0][1], "counts": None, "v": int((total > 0).sum()), "n1": int((total == 1).sum()), "n2": int((total == 2).sum()), "core": core}], schema)
+            at = np.argsort(-total, kind="stable")[: 4 * CLASSES]
+            listed = list(names)
+            found = sorted((-int(total[i]), int(np.uint64(xxhash.xxh64_intdigest(listed[i])).view(np.int64))) for i in at.tolist() if total[i])
+            lead = [{"wid": wid, "n": -n} for n, wid in found[:CLASSES]]
+            yield pa.RecordBatch.from_pylist([{"block": None, "part": asked[0][1], "counts": None, "v": int((total > 0).sum()), "n1": int((total == 1).sum()), "n2": int((total == 2).sum()), "lead": lead}], schema)
 
     asks = map_arrow(cut.select("block", "wids", "words", "counts"), ask, "block long, part int, words binary, counts binary")
-    return map_arrow(asks.repartition(reducers, "part"), answer, "block long, part int, counts binary, v long, n1 long, n2 long, core array<struct<wid:long,n:long>>")
+    return map_arrow(asks.repartition(reducers, "part"), answer, "block long, part int, counts binary, v long, n1 long, n2 long, lead array<struct<wid:long,n:long>>")
 
 
-def core_index(wids: np.ndarray, core: np.ndarray) -> np.ndarray:
-    """Places of ``wids`` in the sorted ``core``, -1 for others."""
-    if not len(core):
-        return np.full(len(wids), -1, dtype=np.int64)
-    at = np.minimum(np.searchsorted(core, wids), len(core) - 1)
-    return np.where(core[at] == wids, at, -1)
+class Block:
+    """A row of the blocks' table: local ids, lengths, which documents are held out, word hashes."""
 
+    def __init__(self, row: Callable[[str], pa.Scalar]) -> None:
+        self.number = row("block").as_py()
+        self.doc_ids, self.held_list = row("doc_ids"), row("held")
+        self.lengths = row("lengths").values.to_numpy().astype(np.int64)
+        self.held = row("held").values.to_numpy(zero_copy_only=False)
+        blob = row("ids").as_buffer()
+        self.ids = np.frombuffer(blob, "<u2" if blob.size == 2 * self.lengths.sum() else "<u4")
+        self.wids = np.frombuffer(row("wids").as_buffer(), np.uint64)
 
-def local_classes(wids: np.ndarray, core: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(core place, class) of a block's local words, the end token first."""
-    at = core_index(wids, core)
-    return np.concatenate([[-1], at]), np.concatenate([[END], np.where(at >= 0, classes[at] if len(core) else REST, REST)]).astype(np.uint8)
+    def training(self) -> tuple[np.ndarray, np.ndarray]:
+        """Local ids of the training tokens and of those before them; documents end
+        with the end token, so before a document's first stands an end token."""
+        now = self.ids[~np.repeat(self.held, self.lengths)]
+        return now, np.concatenate([np.zeros(1, now.dtype), now[:-1]]) if len(now) else now
 
 
-def training(batch: pa.RecordBatch, i: int) -> np.ndarray:
-    """Local ids of a block's training tokens; documents end with the end token,
-    so the token before a document's first is an end token."""
-    lengths, held = np.array(batch.column("lengths")[i].as_py(), dtype=np.int64), np.array(batch.column("held")[i].as_py(), dtype=bool)
-    ids = np.frombuffer(batch.column("ids")[i].as_buffer(), "<u4")
-    return ids[~np.repeat(held, lengths)]
+HEAVY = ("block", "doc_ids", "lengths", "held", "ids", "wids")
 
 
-def gain(x: np.ndarray) -> np.ndarray:
-    return x * np.log(np.maximum(x, 1e-12))
+def with_classes(base: DataFrame, answers: DataFrame | None, leads: np.ndarray, reducers: int, f: Callable[[Block, np.ndarray], pa.Table], schema: str) -> DataFrame:
+    """``f`` of every block and the classes of its local words: the first ones, in
+    which each of the ``leads`` has its own and all others one, or those answered."""
+    if answers is None:
+        order = np.argsort(leads)
 
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    block = Block(lambda c, i=i, batch=batch: batch.column(c)[i])
+                    cls = np.full(len(block.wids) + 1, REST, dtype=np.uint8)
+                    if len(leads):
+                        at = np.minimum(np.searchsorted(leads[order], block.wids), len(leads) - 1)
+                        known = leads[order][at] == block.wids
+                        cls[1:][known] = order[at[known]] + 1
+                    cls[0] = END
+                    yield from f(block, cls).combine_chunks().to_batches()
 
-def exchange(left: np.ndarray, right: np.ndarray, own: np.ndarray, m: np.ndarray) -> np.ndarray:
-    """The class of each word that raises the class model's log-likelihood most,
-    each word taken out of its own class first. ``left`` and ``right`` count the
-    classes beside a word, ``m`` the class bigrams."""
-    out = np.empty(len(own), dtype=np.uint8)
-    rows, cols = m.sum(axis=1), m.sum(axis=0)
-    options = np.arange(1, REST + 1)
-    for at in range(0, len(own), 128):
-        l, r, a = left[at : at + 128].astype(float), right[at : at + 128].astype(float), own[at : at + 128]
-        n_l, n_r = l.sum(axis=1), r.sum(axis=1)
-        score = (gain(m[None] + r[:, None, :]) - gain(m)[None]).sum(axis=2) + (gain(m.T[None] + l[:, None, :]) - gain(m.T)[None]).sum(axis=2)
-        score -= gain(rows[None] + n_r[:, None]) - gain(rows)[None] + gain(cols[None] + n_l[:, None]) - gain(cols)[None]
-        i = np.arange(len(a))
-        stay = (gain(m[a]) - gain(np.maximum(m[a] - r, 0))).sum(axis=1) + (gain(m.T[a]) - gain(np.maximum(m.T[a] - l, 0))).sum(axis=1)
-        stay -= gain(rows[a]) - gain(np.maximum(rows[a] - n_r, 0)) + gain(cols[a]) - gain(np.maximum(cols[a] - n_l, 0))
-        score[i, a] = stay
-        best = options[np.argmax(score[:, 1:], axis=1)]
-        out[at : at + 128] = np.where(score[i, best] > score[i, a] + 1e-9, best, a)
-    return out
+        return map_arrow(base.select(*HEAVY), run, schema)
 
+    def met(left: pa.Table, right: pa.Table) -> pa.Table:
+        block = Block(lambda c: left.column(c)[0])
+        cls = np.full(len(block.wids) + 1, REST, dtype=np.uint8)
+        cls[0] = END
+        told = {p.as_py(): c for p, c in zip(right.column("part"), right.column("classes"), strict=True)}
+        for p, x in dealt(block.wids, reducers):
+            cls[x + 1] = np.frombuffer(told[p].as_buffer(), np.uint8)
+        return f(block, cls)
 
-def likelihood(m: np.ndarray) -> float:
-    return float(gain(m).sum() - gain(m.sum(axis=0)).sum() - gain(m.sum(axis=1)).sum())
+    told = answers.where("block is not null").select("block", "part", "classes")
+    return base.select(*HEAVY).groupBy("block").cogroup(told.groupBy("block")).applyInArrow(met, schema)
 
 
-def sweep(cut: DataFrame, core: np.ndarray, classes: np.ndarray) -> tuple[DataFrame, np.ndarray, int, DataFrame]:
-    """Class counts beside all core words (q, counts: runs of core words), the class
-    bigrams, the words in a run, and the stored table that holds them."""
-    spark = cut.sparkSession
-    shared = spark.sparkContext.broadcast((core, classes))
-    step = max(256, -(-len(core) // parts(spark)))
+def bigrams(base: DataFrame, answers: DataFrame | None, leads: np.ndarray, reducers: int) -> np.ndarray:
+    """Class bigrams of all training tokens."""
 
-    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        core, classes = shared.value
-        beside, m = np.zeros((len(core) + 1) * 2 * CLASSES, dtype=np.uint32), np.zeros(CLASSES * CLASSES, dtype=np.int64)
-        seen = False
-        for batch in batches:
-            for i in range(batch.num_rows):
-                seen = True
-                at, cls = local_classes(np.frombuffer(batch.column("wids")[i].as_buffer(), np.uint64), core, classes)
-                ids = training(batch, i)
-                for lo in range(0, len(ids), 1_000_000):
-                    now = ids[lo : lo + 1_000_000]
-                    before = np.concatenate([ids[lo - 1 : lo] if lo else [0], now[:-1]]).astype(np.int64)
-                    c, p = cls[now].astype(np.int64), cls[before].astype(np.int64)
-                    m += np.bincount(p * CLASSES + c, minlength=len(m))
-                    for k, code in ((at[now], p), (at[before], c + CLASSES)):
-                        inside = k >= 0
-                        codes, n = np.unique(k[inside] * 2 * CLASSES + code[inside], return_counts=True)
-                        beside[codes] += n.astype(np.uint32)
-        if seen:
-            rows = [(lo // step, beside[lo * 2 * CLASSES : min(lo + step, len(core)) * 2 * CLASSES].tobytes()) for lo in range(0, len(core), step)]
-            rows.append((-1, m.tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in rows], pa.int32()), pa.array([b for _, b in rows], pa.binary())], ["q", "counts"])
+    def tally(block: Block, cls: np.ndarray) -> pa.Table:
+        now, before = block.training()
+        m = np.bincount(cls[before].astype(np.int64) * CLASSES + cls[now], minlength=CLASSES * CLASSES)
+        return pa.table({"m": pa.array([m.astype(np.int64).tobytes()], pa.binary())})
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
+        total = np.zeros(CLASSES * CLASSES, dtype=np.int64)
         for batch in batches:
-            for q, counts in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                x = np.frombuffer(counts.as_buffer(), np.int64 if q < 0 else np.uint32)
-                sums[q] = sums[q] + x if q in sums else x.astype(np.int64)
-        for q, x in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([q], pa.int32()), pa.array([x.tobytes()], pa.binary())], ["q", "counts"])
-
-    told = map_arrow(cut.select("wids", "lengths", "held", "ids"), tally, "q int, counts binary")
-    summed = stored(map_arrow(told.repartition(parts(spark), "q"), add, "q int, counts binary"))
-    found = summed.where("q < 0").first()
-    m = np.frombuffer(found["counts"], np.int64).reshape(CLASSES, CLASSES) if found else np.zeros((CLASSES, CLASSES), dtype=np.int64)
-    return summed.where("q >= 0"), m, step, summed
-
-
-def cluster(cut: DataFrame, core: np.ndarray, n: np.ndarray, sweeps: int) -> tuple[np.ndarray, np.ndarray, list[float]]:
-    """Classes of the core words (sorted by word hash), class bigrams and the
-    likelihood after each sweep. The most frequent words start a class each."""
-    classes = np.full(len(core), REST, dtype=np.uint8)
-    lead = np.lexsort((core, -n))[: REST - 1]
-    classes[lead] = np.arange(1, len(lead) + 1)
-    best, history = None, []
-    for turn in range(sweeps + 1):
-        beside, m, step, table = sweep(cut, core, classes)
-        history.append(likelihood(m.astype(float)))
-        if best is None or history[-1] >= best[0]:
-            best = (history[-1], classes, m)
-        if turn < sweeps and len(core):
-            had = classes
-
-            def move(batches: Iterator[pa.RecordBatch], had: np.ndarray = had, m: np.ndarray = m, step: int = step, turn: int = turn) -> Iterator[pa.RecordBatch]:
-                for batch in batches:
-                    for q, counts in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                        x = np.frombuffer(counts.as_buffer(), np.int64).reshape(-1, 2, CLASSES)
-                        own = had[q * step : q * step + len(x)]
-                        new = exchange(x[:, 0], x[:, 1], own, m.astype(float))
-                        # words move at once, so after the first sweep only every other one does
-                        may = (np.arange(len(x)) + turn) % 2 == 0 if turn else np.ones(len(x), dtype=bool)
-                        yield pa.RecordBatch.from_arrays([pa.array([q], pa.int32()), pa.array([np.where(may, new, own).astype(np.uint8).tobytes()], pa.binary())], ["q", "classes"])
-
-            classes = had.copy()
-            # at most 1 / CORE_SHARE words, a byte each
-            for row in map_arrow(beside, move, "q int, classes binary").collect():
-                new = np.frombuffer(row["classes"], np.uint8)
-                classes[row["q"] * step : row["q"] * step + len(new)] = new
-        drop_stored(table)
-    return best[1], best[2], history
+            for x in batch.column(0):
+                total += np.frombuffer(x.as_buffer(), np.int64)
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["i", "n"])
 
+    told = map_arrow(with_classes(base, answers, leads, reducers, tally, "m binary"), add, "i long, n long")
+    m = np.zeros(CLASSES * CLASSES, dtype=np.int64)
+    for row in told.groupBy("i").agg(F.sum("n").alias("n")).collect():  # CLASSES squared rows
+        m[row["i"]] = row["n"]
+    return m.reshape(CLASSES, CLASSES)
 
-def rest_classes(cut: DataFrame, core: np.ndarray, classes: np.ndarray, m: np.ndarray, reducers: int) -> DataFrame:
-    """Answers (block, part, classes) for the words outside the core, by the
-    exchange gain to first order, from the classes beside all their occurrences."""
-    shared = cut.sparkSession.sparkContext.broadcast((core, classes))
 
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        core, classes = shared.value
-        for batch in batches:
-            for i in range(batch.num_rows):
-                wids = np.frombuffer(batch.column("wids")[i].as_buffer(), np.uint64)
-                at, cls = local_classes(wids, core, classes)
-                ids = training(batch, i)
-                before = np.concatenate([[0], ids[:-1]]).astype(np.int64) if len(ids) else ids.astype(np.int64)
-                c, p = cls[ids], cls[before]
-                other = at < 0
-                other[0] = False
-                x, y = other[ids], other[before]
-                codes, n = np.unique(np.concatenate([ids[x].astype(np.int64) * 2 * CLASSES + p[x], before[y] * 2 * CLASSES + CLASSES + c[y]]), return_counts=True)
-                word = codes // (2 * CLASSES)
-                lo, hi = np.searchsorted(word, np.arange(len(wids) + 1)), np.searchsorted(word, np.arange(len(wids) + 1), side="right")
-                rare = np.flatnonzero(other) - 1
-                out = []
-                for q, own in dealt(wids[rare], reducers):
-                    local = rare[own] + 1
-                    each = hi[local] - lo[local]
-                    take = np.repeat(lo[local] - np.concatenate([[0], np.cumsum(each)[:-1]]), each) + np.arange(each.sum())
-                    out.append((q, wids[rare[own]].tobytes(), each.astype("<u4").tobytes(), (codes[take] % (2 * CLASSES)).astype(np.uint8).tobytes(), n[take].astype("<u4").tobytes()))
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array([batch.column("block")[i].as_py()] * len(out), pa.int64()), pa.array([o[0] for o in out], pa.int32()), *[pa.array([o[k] for o in out], pa.binary()) for k in range(1, 5)]], ["block", "part", "wids", "each", "codes", "counts"])
+def gain(x: np.ndarray) -> np.ndarray:
+    return x * np.log(np.maximum(x, 1e-12))
+
 
+def likelihood(m: np.ndarray) -> float:
     m = m.astype(float)
-    # of adding a word to class b: ln N(b, c) beside the right, ln N(c, b) beside the left
-    log = np.log(m + 0.05)
-    rows, cols = np.log(m.sum(axis=1) + 1.0), np.log(m.sum(axis=0) + 1.0)
-    weight = np.concatenate([log - cols[None, :], log.T - rows[None, :]])  # [left c | right c] x b
+    return float(gain(m).sum() - gain(m.sum(axis=0)).sum() - gain(m.sum(axis=1)).sum())
+
+
+class Exchange:
+    """The class of each word that raises the class model's likelihood most, the
+    word taken out of its own class first.
+
+    Entries are (word, code, count): code c counts class c to the word's left,
+    code CLASSES + c to its right. Only counts above zero change the likelihood,
+    so a word costs as much as it has entries; gains of small counts are looked up.
+    """
+
+    def __init__(self, m: np.ndarray) -> None:
+        m = m.astype(float)
+        self.m = np.concatenate([m, m.T])  # code x class of the word
+        self.rows, self.cols = m.sum(axis=1), m.sum(axis=0)
+        n = np.arange(SMALL + 1, dtype=float)
+        self.table = gain(self.m[:, None, :] + n[None, :, None]) - gain(self.m)[:, None, :]
+        self.row_table = gain(self.rows[None] + n[:, None]) - gain(self.rows)[None]
+        self.col_table = gain(self.cols[None] + n[:, None]) - gain(self.cols)[None]
+
+    @staticmethod
+    def _looked(table: np.ndarray, base: np.ndarray, n: np.ndarray) -> np.ndarray:
+        out = table[np.minimum(n, SMALL)]
+        large = np.flatnonzero(n > SMALL)
+        out[large] = gain(base[None] + n[large, None]) - gain(base)[None]
+        return out
+
+    def best(self, starts: np.ndarray, code: np.ndarray, n: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """New classes of the words whose entries begin at ``starts``."""
+        worth = self.table[code, np.minimum(n, SMALL)]
+        large = np.flatnonzero(n > SMALL)
+        base = self.m[code[large]]
+        worth[large] = gain(base + n[large, None]) - gain(base)
+        score = np.add.reduceat(worth, starts, axis=0)
+        left = np.add.reduceat(np.where(code < CLASSES, n, 0), starts)
+        right = np.add.reduceat(np.where(code >= CLASSES, n, 0), starts)
+        score -= self._looked(self.row_table, self.rows, right) + self._looked(self.col_table, self.cols, left)
+        each = np.diff(np.append(starts, len(code)))
+        here = self.m[code, np.repeat(own, each)]
+        stay = np.add.reduceat(gain(here) - gain(np.maximum(here - n, 0)), starts)
+        stay -= gain(self.rows[own]) - gain(np.maximum(self.rows[own] - right, 0)) + gain(self.cols[own]) - gain(np.maximum(self.cols[own] - left, 0))
+        i = np.arange(len(own))
+        score[i, own] = stay
+        found = np.argmax(score[:, 1:], axis=1) + 1
+        return np.where(score[i, found] > stay + 1e-9, found, own).astype(np.uint8)
+
+
+def sweep(base: DataFrame, answers: DataFrame | None, leads: np.ndarray, reducers: int, m: np.ndarray, turn: int) -> DataFrame:
+    """Answers (block, part, classes) after one exchange of every word, and from
+    each reducer the number of its words in each class (block null).
+
+    Words move at once, so after the first sweep half of them do, by hash and turn.
+    """
+
+    def ask(block: Block, cls: np.ndarray) -> pa.Table:
+        now, before = block.training()
+        n_words = len(block.wids)
+        codes = np.concatenate([now.astype(np.int64) * 2 * CLASSES + cls[before], before.astype(np.int64) * 2 * CLASSES + CLASSES + cls[now]])
+        if n_words < 65_535:
+            every = np.bincount(codes, minlength=(n_words + 1) * 2 * CLASSES)
+            every[: 2 * CLASSES] = 0  # the end token isn't moved
+            codes = np.flatnonzero(every)
+            n = every[codes]
+        else:
+            codes, n = np.unique(codes[codes >= 2 * CLASSES], return_counts=True)
+        lo = np.searchsorted(codes, np.arange(1, n_words + 2) * 2 * CLASSES)
+        part = part_of(block.wids, reducers)
+        order = np.argsort(part, kind="stable")
+        each = np.diff(lo)[order]
+        ends = np.cumsum(each)
+        take = np.repeat(lo[:-1][order] - (ends - each), each) + np.arange(int(ends[-1]) if len(ends) else 0)
+        code, n = (codes[take] % (2 * CLASSES)).astype(np.uint8), n[take].astype("<u4")
+        wids, own, part, each = block.wids[order], cls[1:][order], part[order], each.astype(np.uint8)
+        cuts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if n_words else np.zeros(0, dtype=np.int64)
+        spans = list(zip(cuts.tolist(), [*cuts[1:].tolist(), n_words], strict=False))
+        entry = np.concatenate([[0], ends])
+        return pa.table(
+            [
+                pa.array([block.number] * len(spans), pa.int64()),
+                pa.array([int(part[a]) for a, _ in spans], pa.int32()),
+                pa.array([wids[a:b].tobytes() for a, b in spans], pa.binary()),
+                pa.array([own[a:b].tobytes() for a, b in spans], pa.binary()),
+                pa.array([each[a:b].tobytes() for a, b in spans], pa.binary()),
+                pa.array([code[entry[a] : entry[b]].tobytes() for a, b in spans], pa.binary()),
+                pa.array([n[entry[a] : entry[b]].tobytes() for a, b in spans], pa.binary()),
+            ],
+            names=["block", "part", "wids", "own", "each", "codes", "counts"],
+        )
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        asked = [row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
-        if not asked:
+        got = [b for b in batches if b.num_rows]
+        if not got:
             return
-        _, place = np.unique(np.concatenate([np.frombuffer(a[2], np.uint64) for a in asked]), return_inverse=True)
-        score = np.zeros((int(place.max()) + 1, CLASSES), dtype=np.float32)
+        held = pa.Table.from_batches(got)
+        flat = lambda c, kind: np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in held.column(c)])
+        wids, first = flat("wids", np.uint64), flat("own", np.uint8)
+        words, place = np.unique(wids, return_inverse=True)
+        del wids
+        own = np.zeros(len(words), dtype=np.int64)
+        own[place] = first
+        key = np.repeat(place, flat("each", np.uint8)) * (2 * CLASSES) + flat("codes", np.uint8)
+        order = np.argsort(key)
+        key, n = key[order], flat("counts", "<u4")[order].astype(np.int64)
+        del order
+        new = own.astype(np.uint8)
+        known = np.zeros(len(words), dtype=bool)
+        if len(key):
+            begins = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            key, n = key[begins], np.add.reduceat(n, begins)
+            word, code = key // (2 * CLASSES), key % (2 * CLASSES)
+            starts = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+            listed = word[starts]
+            known[listed] = True
+            ends = np.append(starts[1:], len(word))
+            exchange = Exchange(m)
+            for at in range(0, len(starts), CHUNK):
+                lo, hi = starts[at], ends[min(at + CHUNK, len(starts)) - 1]
+                new[listed[at : at + CHUNK]] = exchange.best(starts[at : at + CHUNK] - lo, code[lo:hi], n[lo:hi], own[listed[at : at + CHUNK]])
+        if turn:
+            stays = ((words >> np.uint64(7)) & np.uint64(1)) == turn % 2
+            new[stays] = own[stays]
         at = 0
-        ends = []
-        for a in asked:
-            each = np.frombuffer(a[3], "<u4").astype(np.int64)
-            codes, n = np.frombuffer(a[4], np.uint8), np.frombuffer(a[5], "<u4")
-            word = np.repeat(place[at : at + len(each)], each)
-            for lo in range(0, len(word), 200_000):
-                s = slice(lo, lo + 200_000)
-                # entries are in order of word, so runs of a word are summed at once
-                own, v = word[s], weight[codes[s]] * n[s, None]
-                starts = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-                score[own[starts]] += np.add.reduceat(v, starts, axis=0)
-            ends.append((at, at + len(each)))
-            at += len(each)
-        best = (np.argmax(score[:, 1:], axis=1) + 1).astype(np.uint8)
-        for a, (lo, hi) in zip(asked, ends, strict=True):
-            yield pa.RecordBatch.from_arrays([pa.array([a[0]], pa.int64()), pa.array([a[1]], pa.int32()), pa.array([best[place[lo:hi]].tobytes()], pa.binary())], ["block", "part", "classes"])
-
-    asks = map_arrow(cut.select("block", "wids", "lengths", "held", "ids"), ask, "block long, part int, wids binary, each binary, codes binary, counts binary")
-    return map_arrow(asks.repartition(reducers, "part"), answer, "block long, part int, classes binary")
-
-
-FINAL = "block long, doc_ids array<long>, lengths array<int>, held array<boolean>, ids binary, classes binary, counts binary, bigrams binary, class_words binary"
-
-
-def join_answers(cut: DataFrame, counts: DataFrame, rest: DataFrame, core: np.ndarray, classes: np.ndarray, reducers: int) -> DataFrame:
-    """Each block with the class and corpus count of its local words, its class
-    bigrams, and for the vocabulary's class sizes its words' shares."""
-    shared = cut.sparkSession.sparkContext.broadcast((core, classes))
-    told = counts.where("block is not null").select("block", "part", F.lit(0).alias("kind"), F.col("counts").alias("blob")).union(rest.select("block", "part", F.lit(1), "classes"))
-
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        core, classes = shared.value
-        batch = left.combine_chunks().to_batches()[0]
-        wids = np.frombuffer(batch.column("wids")[0].as_buffer(), np.uint64)
-        at, cls = local_classes(wids, core, classes)
-        n = np.zeros(len(wids) + 1, dtype=np.int64)
-        answers = {(k, p): b for p, k, b in zip(right.column("part").to_pylist(), right.column("kind").to_pylist(), right.column("blob").to_pylist(), strict=True)}
-        for p, x in dealt(wids, reducers):
-            n[x + 1] = np.frombuffer(answers[0, p], np.int64)
-        rare = np.flatnonzero(at[1:] < 0)
-        for p, x in dealt(wids[rare], reducers):
-            cls[rare[x] + 1] = np.frombuffer(answers[1, p], np.uint8)
-        ids = training(batch, 0)
-        before = np.concatenate([[0], ids[:-1]]).astype(np.int64) if len(ids) else ids.astype(np.int64)
-        m = np.bincount(cls[before].astype(np.int64) * CLASSES + cls[ids], minlength=CLASSES * CLASSES).astype(np.int64)
-        # a word's share of itself: its count here over its count in all, so that shares add up to distinct words
-        here = np.bincount(ids, minlength=len(n))
-        share = np.bincount(cls, weights=np.where(n > 0, here / np.maximum(n, 1), 0.0), minlength=CLASSES)
-        return pa.table([batch.column("block"), batch.column("doc_ids"), batch.column("lengths"), batch.column("held"), batch.column("ids"), *[pa.array([x.tobytes()], pa.binary()) for x in (cls, n, m, share)]], schema=schema)
-
-    schema = pa.schema([("block", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int32())), ("held", pa.list_(pa.bool_())), *[(c, pa.binary()) for c in ("ids", "classes", "counts", "bigrams", "class_words")]])
-    return cut.select("block", "doc_ids", "lengths", "held", "ids", "wids").groupBy("block").cogroup(told.groupBy("block")).applyInArrow(run, FINAL)
+        for i in range(held.num_rows):
+            size = held.column("own")[i].as_buffer().size
+            yield pa.RecordBatch.from_arrays([pa.array([held.column("block")[i].as_py()], pa.int64()), pa.array([held.column("part")[i].as_py()], pa.int32()), pa.array([new[place[at : at + size]].tobytes()], pa.binary())], ["block", "part", "classes"])
+            at += size
+        sizes = np.bincount(new[known], minlength=CLASSES).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([held.column("part")[0].as_py()], pa.int32()), pa.array([sizes.tobytes()], pa.binary())], ["block", "part", "classes"])
+
+    asks = with_classes(base, answers, leads, reducers, ask, "block long, part int, wids binary, own binary, each binary, codes binary, counts binary")
+    return checkpointed(map_arrow(asks.repartition(reducers, "part"), answer, "block long, part int, classes binary"))
+
+
+def cluster(base: DataFrame, leads: np.ndarray, reducers: int, sweeps: int) -> tuple[DataFrame | None, np.ndarray, list[float]]:
+    """Answers with the classes of the most likely sweep, their bigrams, and the
+    likelihood after each sweep."""
+    answers, best, history = None, None, []
+    for turn in range(sweeps + 1):
+        m = bigrams(base, answers, leads, reducers)
+        history.append(likelihood(m))
+        if best is None or history[-1] > best[0]:
+            best = history[-1], answers, m
+        risen = best[0] - history[0]
+        if turn == sweeps or turn > 2 and history[-1] - history[-3] < SETTLED * risen or turn > 1 and risen <= 0:
+            break
+        answers = sweep(base, answers, leads, reducers, m, turn)
+    return best[1], best[2], history
 
 
 class Scorer:
@@ -371,23 +385,24 @@ class Scorer:
     every word's count, and a class gives its discounts to the unknown word;
     so probabilities over the known words and the unknown one add up to one
     after every token. After an unknown word the classes are weighed by the
-    discounts they gave.
+    discounts they gave. Where no class has words, an empty one stands for the
+    unknown word.
     """
 
     def __init__(self, m: np.ndarray, words: np.ndarray, d: float, smooth: float = 5.0) -> None:
         m = m.astype(float)
         size = m.sum(axis=0)  # every training token has a token before it, at first an end token
-        share = (size + 0.1 * (size > 0)) / (size + 0.1 * (size > 0)).sum()
-        move = (m + smooth * share) / (m.sum(axis=1, keepdims=True) + smooth)
-        lost = d * words
-        lost[END] = 0.0
-        unknown = np.where(size > 0, lost / np.maximum(size, 1), 0.0)
-        given = lost / lost.sum() if lost.sum() else share
-        move = np.concatenate([move, (given @ move)[None]])
+        words = np.where(np.arange(CLASSES) == END, 0.0, words)
+        weight = size + 0.1 * (size > 0)
+        unknown = np.where(size > 0, d * words / np.maximum(size, 1), 0.0)
+        given = d * words
+        if not words.any():
+            weight[REST], unknown[REST], given[REST] = 0.1, 1.0, 1.0
+        move = (m + smooth * weight / weight.sum()) / (m.sum(axis=1, keepdims=True) + smooth)
+        move = np.concatenate([move, ((given / given.sum()) @ move)[None]])
         with np.errstate(divide="ignore"):
             self.move, self.size = np.log10(move), np.log10(np.maximum(size, 1))
-            # with no discount to give, the unknown word gets what a count of 0.1 would
-            self.unknown = np.log10(np.maximum(move @ unknown, 0.1 / (size.sum() + 1)))
+            self.unknown = np.log10(move @ unknown)
         self.d = d
 
     def tokens(self, ids: np.ndarray, cls: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -402,60 +417,96 @@ class Scorer:
         return np.where(known[now], self.move[s, cls[now]] + emit[now], self.unknown[s])
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sweeps: int = SWEEPS) -> DataFrame:
+def discount(n1: int, n2: int) -> float:
+    """What is taken from every count: by words seen once and twice, never nothing."""
+    return min(0.9, max(0.1, n1 / (n1 + 2 * n2) if n1 else 0.1))
+
+
+def _class_words(answers: DataFrame | None, leads: np.ndarray, v: int) -> np.ndarray:
+    """Distinct training words of each class, the end token aside."""
+    out = np.zeros(CLASSES)
+    if answers is None:
+        out[1 : len(leads) + 1] = 1
+        out[REST] += v - len(leads)
+        return out
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(CLASSES, dtype=np.int64)
+        for batch in batches:
+            for x in batch.column(0):
+                total += np.frombuffer(x.as_buffer(), np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(CLASSES)), pa.array(total)], ["i", "n"])
+
+    for row in map_arrow(answers.where("block is null").select("classes"), add, "i long, n long").groupBy("i").agg(F.sum("n").alias("n")).collect():
+        out[row["i"]] = row["n"]
+    return out
+
+
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sweeps: int = SWEEPS, with_words: bool = False) -> DataFrame:
     """Scores every whole text by a class model of the rows that aren't held out.
 
     Texts are lower-cased A-Z and cut at ASCII white space, an end token after
     each; null texts are empty. Returns one row for each row: doc_id, held_out,
     n_tokens, n_known, train_tokens, base_score (add-0.1 unigrams), score (log10
-    probability by the class model), perplexity. Without training rows every
-    text is surely unknown: both scores are 0. No rows: no rows. Rows that
-    share an id are scored each.
+    probability by the class model), perplexity; ``with_words`` adds the class of
+    every token of the text (``classes``, bytes; the end token's is 0, a word
+    without training occurrences has any). Without training rows every text is
+    surely unknown: both scores are 0. No rows: no rows. Rows that share an id
+    are scored each. Classes go by 64-bit hashes of words, counts by the words.
     """
     spark = docs.sparkSession
     cut = stored(blocks(docs, id_col, text_col))
     sums = cut.agg(F.sum("n_train").alias("n"), F.sum("n_words").alias("words"), F.sum(F.size(F.filter("held", lambda x: ~x))).alias("ends")).first()
     total, ends = int(sums["n"] or 0), int(sums["ends"] or 0)
     reducers = max(parts(spark), math.ceil(int(sums["words"] or 0) / TASK_WORDS))
-    counts = stored(word_counts(cut, reducers, max(1, math.ceil(total * CORE_SHARE))))
-    vocabulary = counts.where("block is null").agg(F.sum("v").alias("v"), F.sum("n1").alias("n1"), F.sum("n2").alias("n2")).first()
+    counts = stored(word_counts(cut, reducers))
+    figures = counts.where("block is null")
+    vocabulary = figures.agg(F.sum("v").alias("v"), F.sum("n1").alias("n1"), F.sum("n2").alias("n2")).first()
     v, n1, n2 = (int(vocabulary[k] or 0) for k in ("v", "n1", "n2"))
+    first = figures.select(F.explode("lead").alias("x")).select("x.wid", "x.n").orderBy(F.desc("n"), "wid").limit(REST - 1).collect()
+    leads = np.array([r["wid"] for r in first], dtype=np.int64).view(np.uint64)
+    # dealt by block once, so that joining answers doesn't move the blocks
+    base = checkpointed(cut.select(*HEAVY).repartition(parts(spark), "block").sortWithinPartitions("block"))
+    drop_stored(cut)
+    answers, m, _ = cluster(base, leads, reducers, sweeps if total else 0)
+    model = Scorer(m, _class_words(answers, leads, v), discount(n1, n2)) if total else None
     v += ends > 0
-    listed = counts.where("block is null").select(F.explode("core").alias("x")).select("x.wid", "x.n").toPandas()  # at most 1 / CORE_SHARE words
-    wid = listed["wid"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(wid)
-    core, core_n = wid[order], listed["n"].to_numpy(np.int64)[order]
-    classes, m, _ = cluster(cut, core, core_n, sweeps)
-    rest = stored(rest_classes(cut, core, classes, m, reducers))
-    final = stored(join_answers(cut, counts, rest, core, classes, reducers))
-    for table in (cut, counts, rest):
-        drop_stored(table)
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b = np.zeros(CLASSES * CLASSES, dtype=np.int64), np.zeros(CLASSES)
-        for batch in batches:
-            for x, y in zip(batch.column(0), batch.column(1), strict=True):
-                a, b = a + np.frombuffer(x.as_buffer(), np.int64), b + np.frombuffer(y.as_buffer(), np.float64)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(a))), pa.array(a), pa.array(np.pad(b, (0, len(a) - len(b))))], ["i", "n", "words"])
-
-    summed = map_arrow(final.select("bigrams", "class_words"), add, "i long, n long, words double").groupBy("i").agg(F.sum("n").alias("n"), F.sum("words").alias("words")).collect()  # CLASSES squared rows
-    bigrams, words = np.zeros(CLASSES * CLASSES, dtype=np.int64), np.zeros(CLASSES * CLASSES)
-    for row in summed:
-        bigrams[row["i"]], words[row["i"]] = row["n"], row["words"]
-    model = Scorer(bigrams.reshape(CLASSES, CLASSES), words[:CLASSES], n1 / (n1 + 2 * n2) if n1 else 0.0)
     floor = math.log10(total + 0.1 * (v + 1)) if total else 0.0
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                ids = np.frombuffer(batch.column("ids")[i].as_buffer(), "<u4")
-                cls, n = np.frombuffer(batch.column("classes")[i].as_buffer(), np.uint8), np.frombuffer(batch.column("counts")[i].as_buffer(), np.int64).copy()
-                n[END] = ends
-                lengths = np.array(batch.column("lengths")[i].as_py(), dtype=np.int64)
-                starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-                known = np.add.reduceat((n[ids] > 0).astype(np.int64), starts)
-                base = np.add.reduceat((np.log10(n + 0.1) - floor)[ids], starts) if total else np.zeros(len(lengths))
-                own = np.add.reduceat(model.tokens(ids, cls, n), starts) if total else np.zeros(len(lengths))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_ids").flatten() if batch.num_rows == 1 else pa.array(batch.column("doc_ids")[i].as_py(), pa.int64()), pa.array(batch.column("held")[i].as_py(), pa.bool_()), pa.array(lengths), pa.array(known), pa.array(np.full(len(lengths), total)), pa.array(base), pa.array(own), pa.array(np.power(10.0, np.minimum(300.0, -own / lengths)))], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity"])
-
-    return map_arrow(final.select("doc_ids", "lengths", "held", "ids", "classes", "counts"), run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double")
+    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double" + ", classes binary" * with_words
+
+    def told(block: Block, cls: np.ndarray, n: np.ndarray) -> pa.Table:
+        ids, lengths = block.ids, block.lengths
+        n[END] = ends
+        starts = np.cumsum(lengths) - lengths
+        known = np.add.reduceat((n[ids] > 0).astype(np.int64), starts)
+        plain = np.add.reduceat((np.log10(n + 0.1) - floor)[ids], starts) if total else np.zeros(len(lengths))
+        own = np.add.reduceat(model.tokens(ids, cls, n), starts) if total else np.zeros(len(lengths))
+        out = [pa.array(block.doc_ids.values), pa.array(block.held_list.values), pa.array(lengths), pa.array(known), pa.array(np.full(len(lengths), total)), pa.array(plain), pa.array(own), pa.array(np.power(10.0, np.minimum(300.0, -own / lengths)))]
+        if with_words:
+            out.append(pa.array([x.tobytes() for x in np.split(cls[ids], starts[1:])], pa.binary()))
+        return pa.table(out, names=[c.split()[0] for c in schema.split(", ")])
+
+    first_classes = np.sort(leads), np.argsort(leads)
+
+    def met(left: pa.Table, right: pa.Table) -> pa.Table:
+        block = Block(lambda c: left.column(c)[0])
+        cls, n = np.full(len(block.wids) + 1, REST, dtype=np.uint8), np.zeros(len(block.wids) + 1, dtype=np.int64)
+        if answered:
+            pass
+        elif len(leads):
+            at = np.minimum(np.searchsorted(first_classes[0], block.wids), len(leads) - 1)
+            same = first_classes[0][at] == block.wids
+            cls[1:][same] = first_classes[1][at[same]] + 1
+        cls[0] = END
+        said = {(k.as_py(), p.as_py()): b for p, k, b in zip(right.column("part"), right.column("kind"), right.column("blob"), strict=True)}
+        for p, x in dealt(block.wids, reducers):
+            n[x + 1] = np.frombuffer(said[0, p].as_buffer(), np.int64)
+            if answered:
+                cls[x + 1] = np.frombuffer(said[1, p].as_buffer(), np.uint8)
+        return told(block, cls, n)
+
+    answered = answers is not None
+    blobs = counts.where("block is not null").select("block", "part", F.lit(0).alias("kind"), F.col("counts").alias("blob"))
+    if answered:
+        blobs = blobs.union(answers.where("block is not null").select("block", "part", F.lit(1), "classes"))
+    return base.groupBy("block").cogroup(blobs.groupBy("block")).applyInArrow(met, schema)

@@ -145,25 +145,117 @@ def test_brown_counts(docs, rows):
         assert math.isfinite(near[0]["score"]) and near[0]["score"] <= 1e-9
 
 
-def test_brown_is_a_distribution():
+@pytest.mark.parametrize("d", [0.1, 0.6, 0.9])
+@pytest.mark.parametrize("some", [True, False])
+def test_brown_is_a_distribution(d, some):
     rng = np.random.default_rng(4)
     c = brown.CLASSES
-    m = rng.integers(0, 50, (c, c)).astype(float)
+    m = rng.integers(0, 50, (c, c)).astype(float) if some else np.zeros((c, c))
     m[7] = m[:, 7] = 0
+    m[brown.END, brown.END] = 3
     size = m.sum(axis=0)
-    words = np.where(size > 0, 5.0, 0.0)
+    words = np.where(size > 0, 5.0, 0.0) if some else np.zeros(c)
     words[brown.END] = 1
-    model = brown.Scorer(m, words, 0.6)
+    model = brown.Scorer(m, words, d)
     for state in (0, 3, 7, c):
         known = 0.0
         for k in range(c):
             if size[k]:
                 # words of a class share its size; discounts are taken from each of them
-                emitted = (size[k] - (0 if k == brown.END else 0.6 * words[k])) / size[k]
+                emitted = (size[k] - (0 if k == brown.END else d * words[k])) / size[k]
                 known += 10 ** model.move[state, k] * emitted
         assert known + 10 ** model.unknown[state] == pytest.approx(1, abs=1e-6)
 
 
+def brown_slowly(rows, classes):
+    """Log10 probability of each row's text by plain counts, given each token's class."""
+    count, size, pair, members = collections.Counter(), collections.Counter(), collections.Counter(), collections.defaultdict(set)
+    for (doc, text), cls in zip(rows, classes, strict=True):
+        if not brown.held_out(doc):
+            before = 0
+            for w, c in zip(toks(text), cls, strict=True):
+                count[w] += 1
+                size[c] += 1
+                pair[before, c] += 1
+                before = c
+                if w is not None:
+                    members[c].add(w)
+    seen = collections.Counter(n for w, n in count.items() if w is not None)
+    d = brown.discount(seen[1], seen[2])
+    weight = {c: n + 0.1 for c, n in size.items()}
+    whole = sum(weight.values())
+    after = collections.Counter()
+    for (b, _), n in pair.items():
+        after[b] += n
+    move = lambda b, c: (pair[b, c] + 5 * weight[c] / whole) / (after[b] + 5)
+    lost = {c: d * len(members[c]) for c in members}
+    given = sum(lost.values())
+    step = lambda b, c: move(b, c) if b != "?" else sum(lost[x] / given * move(x, c) for x in lost)
+    out = []
+    for (_, text), cls in zip(rows, classes, strict=True):
+        total, before = 0.0, 0
+        for w, c in zip(toks(text), cls, strict=True):
+            if count[w]:
+                total += math.log10(step(before, c) * (count[w] - (0 if w is None else d)) / size[c])
+                before = c
+            else:
+                total += math.log10(sum(step(before, x) * lost[x] / size[x] for x in lost))
+                before = "?"
+        out.append(total)
+    return out
+
+
+def test_brown_score_is_the_class_models(spark, docs, rows, monkeypatch):
+    """Against plain counts, with blocks, reducers and chunks small enough that all are several."""
+    for more in ({}, {"BLOCK_TOKENS": 300, "BLOCK_WORDS": 40, "TASK_WORDS": 100, "CHUNK": 8, "SMALL": 3}):
+        for name, value in more.items():
+            monkeypatch.setattr(brown, name, value)
+        got = brown.score(docs, sweeps=3, with_words=True).collect()
+        texts = collections.defaultdict(list)
+        for r in rows:
+            texts[r["doc_id"], len(toks(r["text"]))].append(r["text"])
+        told = [(r["doc_id"], texts[r["doc_id"], r["n_tokens"]][0]) for r in got]
+        classes = [list(r["classes"]) for r in got]
+        assert len({c for x in classes for c in x}) > 20
+        one: dict = {}
+        for (_, text), cls in zip(told, classes, strict=True):
+            for w, c in zip(toks(text), cls, strict=True):
+                assert one.setdefault(w, c) == c
+        assert [r["score"] for r in got] == pytest.approx(brown_slowly(told, classes), rel=1e-9, abs=1e-9)
+    assert brown.score(docs, sweeps=0).count() == len(rows)
+
+
+def test_exchange_raises_the_likelihood():
+    """Each word's move, alone, doesn't lower the likelihood, and gains found are the real ones."""
+    rng = np.random.default_rng(2)
+    words = rng.integers(1, 200, 20_000)
+    words = words[np.concatenate([[True], words[1:] != words[:-1]])]
+    c = brown.CLASSES
+    cls = rng.integers(1, c, 200)
+    cls[0] = 0
+    pairs = np.bincount(cls[words[:-1]] * c + cls[words[1:]], minlength=c * c).reshape(c, c)
+    exchange, before = brown.Exchange(pairs), brown.likelihood(pairs)
+    for w in range(1, 60):
+        left, right = np.bincount(cls[words[:-1][words[1:] == w]], minlength=c), np.bincount(cls[words[1:][words[:-1] == w]], minlength=c)
+        code = np.concatenate([np.flatnonzero(left), c + np.flatnonzero(right)])
+        n = np.concatenate([left, right])[code]
+        new = exchange.best(np.array([0]), code, n, cls[[w]])[0]
+        moved = cls.copy()
+        moved[w] = new
+        after = brown.likelihood(np.bincount(moved[words[:-1]] * c + moved[words[1:]], minlength=c * c).reshape(c, c))
+        assert after >= before - 2
+
+
+def test_brown_sweeps_until_it_settles(spark):
+    rng = random.Random(5)
+    sets = [[f"{a}{i}" for i in range(40)] for a in "abcd"]
+    texts = [" ".join(rng.choice(sets[(i + j) % 4]) for j in range(80)) for i in range(200)]
+    cut = brown.checkpointed(brown.blocks(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "doc_id", "text"))
+    leads = np.array(sorted(xxhash.xxh64_intdigest(w.encode()) for w in sets[0] + sets[1][:20]), dtype=np.uint64)
+    _, m, history = brown.cluster(cut, leads, 4, brown.SWEEPS)
+    assert history[0] < max(history) == pytest.approx(brown.likelihood(m)) and len(history) < brown.SWEEPS
+
+
 def test_brown_beats_unigrams_on_held_out_text(spark):
     rng = random.Random(8)
     sets = [[f"{a}{i}" for i in range(60)] for a in "abc"]
