@@ -365,7 +365,8 @@ def test_vectors(spark):
 
 
 def test_dense_vectors(spark):
-    """Near copies and a dense cone below the threshold: every link, by all pairs and by divided buckets."""
+    """Near copies and a dense cone below the threshold: every link in one window, and
+    where orders, blocks, crowds and divisions are several."""
     rng = np.random.default_rng(11)
     middle, axis = rng.standard_normal(16), rng.standard_normal(16)
     copies = middle + 1e-6 * rng.standard_normal((700, 16))
@@ -377,11 +378,34 @@ def test_dense_vectors(spark):
     near = np.triu(m @ m.T >= 0.95, 1)
     root = parts_of(len(m), list(zip(*(x.tolist() for x in np.nonzero(near)), strict=True)))
     n = near.sum(axis=0) + near.sum(axis=1)
-    for more in ({}, {"division": 16 * 150}):
+    got = {r["vec_id"]: r for r in neardup_vectors.link(df, window=2000).collect()}
+    assert [(got[i]["n_links"], got[i]["component_id"]) for i in range(len(m))] == [(n[i], root[i]) for i in range(len(m))]
+    for more in ({"window": 256}, {"window": 64, "division": 16 * 150}):
         got = {r["vec_id"]: r for r in neardup_vectors.link(df, **more).collect()}
-        assert [(got[i]["n_links"], got[i]["component_id"]) for i in range(len(m))] == [(n[i], root[i]) for i in range(len(m))]
-    got = {r["vec_id"]: r["n_links"] for r in neardup_vectors.link(df, bits=4, division=16 * 150).collect()}
-    assert all(got[i] <= n[i] for i in got) and sum(got.values()) >= 0.99 * n.sum() and all(got[i] == n[i] for i in range(800))
+        assert all(got[i]["n_links"] <= n[i] for i in got) and sum(r["n_links"] for r in got.values()) >= 0.998 * n.sum()
+        assert all(got[i]["n_links"] == n[i] and got[i]["component_id"] == root[i] for i in range(800))
+
+
+def test_windows_cross_blocks(spark, monkeypatch):
+    """Neighbours in the order that different blocks hold are met, and once."""
+    monkeypatch.setattr(neardup_vectors, "BLOCK", 64)
+    monkeypatch.setattr(neardup_vectors, "TASK_ROWS", 100)
+    rng = np.random.default_rng(5)
+    m = np.concatenate([v + 0.02 * rng.standard_normal((9, 12)) for v in rng.standard_normal((60, 12))])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)] + [(1000 + i, [1.0, float(i)]) for i in range(90)], "vec_id long, embedding array<double>")
+    m = m / np.linalg.norm(m, axis=1, keepdims=True)
+    n = (m @ m.T >= 0.95).sum(axis=0) - 1
+    got = {r["vec_id"]: r["n_links"] for r in neardup_vectors.link(df, window=64).collect()}
+    assert sum(got[i] for i in range(len(m))) >= 0.998 * n.sum() and all(got[i] <= n[i] for i in range(len(m)))
+    flat = np.array([[1.0, i] for i in range(90)])
+    flat /= np.linalg.norm(flat, axis=1, keepdims=True)
+    assert sum(got[1000 + i] for i in range(90)) >= 0.998 * ((flat @ flat.T >= 0.95).sum() - 90)
+
+
+def test_vectors_with_odd_ids(spark):
+    rows = [(None, [1.0, 2.0]), (5, [1.0, 2.0]), (5, [1.0, 2.0]), (5, [2.0, 4.0]), (None, None)]
+    got = sorted(repr((r["vec_id"], r["n_links"], r["component_id"])) for r in neardup_vectors.link(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect())
+    assert got == sorted(map(repr, [(None, 3, 5), (5, 3, 5), (5, 3, 5), (5, 3, 5), (None, 0, None)]))
 
 
 def test_no_vectors(spark):
