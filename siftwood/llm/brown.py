@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, drop_stored, map_arrow, parts, stored
+from .common import checkpointed, collected, dealt_by, drop_stored, map_arrow, parts, stored
 
 CLASSES, FOLDS = 64, 10
 #: Sweeps end when one raises the likelihood by less than this share of the rise so far, or after so many.
@@ -217,7 +217,7 @@ def bigrams(base: DataFrame, answers: DataFrame | None, leads: np.ndarray, reduc
 
     told = map_arrow(with_classes(base, answers, leads, reducers, tally, "m binary"), add, "i long, n long")
     m = np.zeros(CLASSES * CLASSES, dtype=np.int64)
-    for row in told.groupBy("i").agg(F.sum("n").alias("n")).collect():  # CLASSES squared rows
+    for row in collected(told.groupBy("i").agg(F.sum("n").alias("n"))):  # CLASSES squared rows
         m[row["i"]] = row["n"]
     return m.reshape(CLASSES, CLASSES)
 
@@ -466,7 +466,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sweep
     first = figures.select(F.explode("lead").alias("x")).select("x.wid", "x.n").orderBy(F.desc("n"), "wid").limit(REST - 1).collect()
     leads = np.array([r["wid"] for r in first], dtype=np.int64).view(np.uint64)
     # dealt by block once, so that joining answers doesn't move the blocks
-    base = checkpointed(cut.select(*HEAVY).repartition(parts(spark), "block").sortWithinPartitions("block"))
+    base = dealt_by(cut.select(*HEAVY), "block")
     drop_stored(cut)
     answers, m, _ = cluster(base, leads, reducers, sweeps if total else 0)
     model = Scorer(m, _class_words(answers, leads, v), discount(n1, n2)) if total else None

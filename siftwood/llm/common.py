@@ -8,6 +8,8 @@ the loss of executors and cut lineage.
 from __future__ import annotations
 
 import contextlib
+import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -23,11 +25,14 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; ``checkpoint()`` uses it as well."""
+    """The folder all executors share; ``checkpoint()`` uses it as well. A
+    temporary one is made only where Spark runs in this machine alone."""
     sc = spark.sparkContext
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not found:
-        found = sc.getCheckpointDir() or f"file://{tempfile.mkdtemp(prefix='siftwood-')}"
+        if not re.fullmatch(r"local(\[[^,\]]*(,[^\]]*)?\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        found = f"file://{tempfile.mkdtemp(prefix='siftwood-')}"
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(found)
     return found.rstrip("/")
@@ -53,6 +58,25 @@ def checkpointed(df: DataFrame) -> DataFrame:
         return df.select("*").checkpoint()
 
 
+def collected(df: DataFrame) -> list:
+    """The rows of a small result; what was shuffled for them is removed."""
+    with _own_shuffles_removed(df.sparkSession):
+        return df.select("*").collect()
+
+
+def dealt_by(df: DataFrame, key: str) -> DataFrame:
+    """``df`` checkpointed, dealt by ``key`` and in order of it: joins and groups by
+    the key don't move it again. (Adaptive plans don't tell how they are dealt.)"""
+    spark = df.sparkSession
+    setting = "spark.sql.adaptive.enabled"
+    was = spark.conf.get(setting)
+    spark.conf.set(setting, "false")
+    try:
+        return checkpointed(df.repartition(parts(spark), key).sortWithinPartitions(key))
+    finally:
+        spark.conf.set(setting, was)
+
+
 def stored(df: DataFrame) -> DataFrame:
     """``df`` as a compressed Parquet table in the shared folder, so that later
     reads fetch only the columns they need; removed when the session ends, or
@@ -126,5 +150,25 @@ def quantile_bounds(df: DataFrame, key: str, buckets: int) -> list[int]:
     return sorted(set(found or []))
 
 
+def _memory_returned() -> None:
+    """Gives freed memory back to the system, so that an idle worker holds little."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
-    return df.mapInArrow(f, schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from f(batches)
+        _memory_returned()
+
+    return df.mapInArrow(run, schema)
+
+
+def free_prefix(columns: list[str], names: list[str]) -> str:
+    """Underscores that, before any of ``names``, make none of ``columns``."""
+    prefix = "_"
+    taken = {c.lower() for c in columns}
+    while any((prefix + n).lower() in taken for n in names):
+        prefix += "_"
+    return prefix

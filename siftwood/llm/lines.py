@@ -7,7 +7,8 @@ each component is kept.
 
 All pairs of a band bucket are compared in the task that holds the bucket, by
 counting shared shingles; pairs don't leave it, only a spanning forest of the
-links found does. Large buckets are divided so that every two divisions meet.
+links found does. Buckets of many lines or characters are divided so that every
+two divisions meet.
 """
 
 from __future__ import annotations
@@ -27,9 +28,12 @@ from .graph import components, forest
 
 SHINGLE, BANDS, ROWS, THRESHOLD, SEED = 8, 20, 6, 0.8, 42
 CHUNK_CHARS, CHUNK_LINES = 2_000_000, 50_000
-#: Lines of a bucket that one task compares at a time.
-BUCKET = 2048
+#: Lines and characters of a bucket's division; a task compares two at a time.
+BUCKET, BUCKET_CHARS = 1024, 4_000_000
+#: Rows of buckets with one lead that are dealt to one task.
+LEAD_ROWS = 4096
 EMPTY = np.uint64(2**32)
+BLANK = " \t\r\x0b\x0c"
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -94,25 +98,25 @@ def line_id(line: str) -> int:
 
 
 def bucketed(docs: DataFrame, text_col: str) -> DataFrame:
-    """(bucket, k, lead): the lines of every band bucket of two or more; buckets of
-    the same lines are one. ``lead`` is one line of the bucket."""
+    """(bucket, k, lead, chars): the lines of every band bucket of two or more; buckets
+    of the same lines are one. ``lead`` is one line of the bucket."""
     reducers = parts(docs.sparkSession)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         count = 0
 
         def sent() -> pa.RecordBatch:
-            keys, ks = np.concatenate([a for a, _ in held]), np.concatenate([b for _, b in held])
+            keys, ks, sizes = (np.concatenate(x) for x in zip(*held, strict=True))
             part = part_of(keys, reducers)
             order = np.argsort(part, kind="stable")
             cuts = np.flatnonzero(np.diff(part[order])) + 1
             rows = np.split(order, cuts)
-            return pa.RecordBatch.from_arrays([pa.array([int(part[r[0]]) for r in rows], pa.int32()), pa.array([keys[r].tobytes() for r in rows], pa.binary()), pa.array([ks[r].tobytes() for r in rows], pa.binary())], ["part", "keys", "ks"])
+            return pa.RecordBatch.from_arrays([pa.array([int(part[r[0]]) for r in rows], pa.int32()), pa.array([keys[r].tobytes() for r in rows], pa.binary()), pa.array([ks[r].tobytes() for r in rows], pa.binary()), pa.array([sizes[r].tobytes() for r in rows], pa.binary())], ["part", "keys", "ks", "sizes"])
 
         def add(lines: list[str], ids: list[int]) -> None:
-            held.append((band_keys(lines).ravel(), np.repeat(np.array(ids, dtype=np.uint64), BANDS)))
+            held.append((band_keys(lines).ravel(), np.repeat(np.array(ids, dtype=np.uint64), BANDS), np.repeat(np.array([len(x) for x in lines], dtype=np.uint32), BANDS)))
 
         lines: list[str] = []
         ids: list[int] = []
@@ -120,7 +124,7 @@ def bucketed(docs: DataFrame, text_col: str) -> DataFrame:
         for batch in batches:
             for text in batch.column(0):
                 for line in (text.as_py() or "").split("\n"):
-                    if not line.strip():
+                    if not line.strip(BLANK):
                         continue
                     k = line_id(line)
                     if k in seen:  # a line of this task already; asking twice would only be more work
@@ -143,42 +147,59 @@ def bucketed(docs: DataFrame, text_col: str) -> DataFrame:
         if held:
             yield sent()
 
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b = [], []
-        for batch in batches:
-            a += [np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column(1)]
-            b += [np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column(2)]
-        if not a:
-            return
-        keys, ks = np.concatenate(a), np.concatenate(b)
-        del a, b
-        order = np.argsort(keys)
-        keys, ks = keys[order], ks[order]
-        same = keys[1:] == keys[:-1]
-        several = np.zeros(len(keys), dtype=bool)
-        several[1:] |= same
-        several[:-1] |= same
-        keys, ks = keys[several], ks[several]
-        order = np.lexsort((mix(ks), keys))
-        keys, ks = keys[order], ks[order]
-        new = np.ones(len(keys), dtype=bool)
-        new[1:] = (keys[1:] != keys[:-1]) | (ks[1:] != ks[:-1])
-        keys, ks = keys[new], ks[new]
-        if not len(keys):
-            return
+    asks = map_arrow(docs.select(F.col(text_col).alias("text")), ask, "part int, keys binary, ks binary, sizes binary")
+    return stored(map_arrow(asks.repartition(reducers, "part"), meet, "bucket long, k long, lead long, chars long").distinct())
+
+
+def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (part, keys, ks, sizes) of packed arrays -> (bucket, k, lead, chars) of
+    every key that two or more have; keys of the same members are one bucket,
+    named by its members. With a fifth column, components of the members, keys
+    whose members are of one component already make no bucket."""
+    a, b, c, d = [], [], [], []
+    for batch in batches:
+        if batch.num_columns > 4:
+            d += [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column(4)]
+        a += [np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column(1)]
+        b += [np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column(2)]
+        c += [np.frombuffer(x.as_buffer(), np.uint32) for x in batch.column(3)]
+    if not a:
+        return
+    keys, ks, sizes = np.concatenate(a), np.concatenate(b), np.concatenate(c)
+    component = np.concatenate(d) if d else None
+    del a, b, c, d
+    order = np.argsort(keys)
+    sorted_keys = keys[order]
+    same = sorted_keys[1:] == sorted_keys[:-1]
+    several = np.zeros(len(keys), dtype=bool)
+    several[1:] |= same
+    several[:-1] |= same
+    keys, order = sorted_keys[several], order[several]
+    del sorted_keys
+    ks, sizes = ks[order], sizes[order]
+    if component is not None and len(keys):
+        component = component[order]
         starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-        size = np.diff(np.append(starts, len(keys)))
-        name = mix(np.add.reduceat(mix(ks ^ np.uint64(0xD1B54A32D192ED03)), starts) + size.astype(np.uint64))
-        _, once = np.unique(name, return_index=True)
-        take = np.zeros(len(starts), dtype=bool)
-        take[once] = True
-        take &= size > 1
-        rows = np.repeat(take, size)
-        lead = np.minimum.reduceat(ks, starts)
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(name, size)[rows].view(np.int64)), pa.array(ks[rows].view(np.int64)), pa.array(np.repeat(lead, size)[rows].view(np.int64))], ["bucket", "k", "lead"])
-
-    asks = map_arrow(docs.select(F.col(text_col).alias("text")), ask, "part int, keys binary, ks binary")
-    return stored(map_arrow(asks.repartition(reducers, "part"), meet, "bucket long, k long, lead long").distinct())
+        apart = np.minimum.reduceat(component, starts) != np.maximum.reduceat(component, starts)
+        rows = np.repeat(apart, np.diff(np.append(starts, len(keys))))
+        keys, ks, sizes = keys[rows], ks[rows], sizes[rows]
+    order = np.lexsort((mix(ks), keys))
+    keys, ks, sizes = keys[order], ks[order], sizes[order]
+    new = np.ones(len(keys), dtype=bool)
+    new[1:] = (keys[1:] != keys[:-1]) | (ks[1:] != ks[:-1])
+    keys, ks, sizes = keys[new], ks[new], sizes[new]
+    if not len(keys):
+        return
+    starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    size = np.diff(np.append(starts, len(keys)))
+    name = mix(np.add.reduceat(mix(ks ^ np.uint64(0xD1B54A32D192ED03)), starts) + size.astype(np.uint64))
+    _, once = np.unique(name, return_index=True)
+    take = np.zeros(len(starts), dtype=bool)
+    take[once] = True
+    take &= size > 1
+    rows = np.repeat(take, size)
+    lead = np.minimum.reduceat(ks, starts)
+    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(name, size)[rows].view(np.int64)), pa.array(ks[rows].view(np.int64)), pa.array(np.repeat(lead, size)[rows].view(np.int64)), pa.array(sizes[rows].astype(np.int64))], ["bucket", "k", "lead", "chars"])
 
 
 def hashed(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -203,15 +224,14 @@ def hashed(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return own[new], h[new]
 
 
-def alike(texts: list[str], threshold: float) -> tuple[np.ndarray, np.ndarray]:
+def alike(n_texts: int, own: np.ndarray, h: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """Numbers (i, j) of all pairs of texts whose exact Jaccard likeness is at
-    least the threshold.
+    least the threshold; ``own`` and ``h`` are their distinct shingles, as ``hashed`` has them.
 
     Shared shingles are counted by products of 0/1 matrices; shingles of one
     text only can't be shared and aren't in them.
     """
-    own, h = hashed(texts)
-    sizes = np.bincount(own, minlength=len(texts))
+    sizes = np.bincount(own, minlength=n_texts)
     _, column, often = np.unique(h, return_inverse=True, return_counts=True)
     shared = often[column] > 1
     row, col = own[shared], column[shared]
@@ -220,10 +240,10 @@ def alike(texts: list[str], threshold: float) -> tuple[np.ndarray, np.ndarray]:
     if len(col):  # numbered without gaps
         col = np.concatenate([[0], np.cumsum(col[1:] != col[:-1])])
     width = int(col[-1]) + 1 if len(col) else 0
-    both = np.zeros((len(texts), len(texts)), dtype=np.float32)
-    for lo in range(0, width, 4096):  # columns at a time, so that memory is bounded
-        a, b = np.searchsorted(col, [lo, lo + 4096])
-        part = np.zeros((len(texts), min(4096, width - lo)), dtype=np.float32)
+    both = np.zeros((n_texts, n_texts), dtype=np.float32)
+    for lo in range(0, width, 2048):  # columns at a time, so that memory is bounded
+        a, b = np.searchsorted(col, [lo, lo + 2048])
+        part = np.zeros((n_texts, min(2048, width - lo)), dtype=np.float32)
         part[row[a:b], col[a:b] - lo] = 1
         both += part @ part.T
     i, j = np.nonzero(np.triu(both > 0, 1))
@@ -232,11 +252,12 @@ def alike(texts: list[str], threshold: float) -> tuple[np.ndarray, np.ndarray]:
     return i[sure], j[sure]
 
 
-def verified(members: DataFrame, threshold: float) -> DataFrame:
+def verified(members: DataFrame, threshold: float, shingled=hashed) -> DataFrame:
     """Links (a, b) that connect all pairs of a bucket that are alike, of rows
     (bucket, k, lead, line): every pair of a bucket is compared where the bucket
     is, and only a spanning forest leaves the task. Buckets with the same lead
-    are in one task; one whose lines are connected already needs no comparison."""
+    are in one task; one whose lines are connected already needs no comparison.
+    ``shingled`` gives the distinct shingles of lines."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         links: list[tuple[np.ndarray, np.ndarray]] = []
@@ -253,7 +274,7 @@ def verified(members: DataFrame, threshold: float) -> DataFrame:
         def close() -> None:
             nonlocal held
             if len(ks) > 1 and len({top(k) for k in ks}) > 1:
-                i, j = alike(texts, threshold)
+                i, j = alike(len(texts), *shingled(texts), threshold)
                 own = np.array(ks, dtype=np.int64)
                 links.append(forest(own[i], own[j]))
                 held += len(links[-1][0])
@@ -265,12 +286,13 @@ def verified(members: DataFrame, threshold: float) -> DataFrame:
                 up.clear()
 
         for batch in batches:
-            for bucket, k, line in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if bucket != now:
-                    close()
-                    now, ks, texts = bucket, [], []
-                ks.append(k)
-                texts.append(line)
+            for at in range(0, batch.num_rows, 256):
+                for bucket, k, line in zip(*(c.to_pylist() for c in batch.slice(at, 256).columns), strict=True):
+                    if bucket != now:
+                        close()
+                        now, ks, texts = bucket, [], []
+                    ks.append(k)
+                    texts.append(line)
             if held > 200_000:
                 a, b = forest(*(np.concatenate(x) for x in zip(*links, strict=True)))
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
@@ -284,26 +306,37 @@ def verified(members: DataFrame, threshold: float) -> DataFrame:
     return checkpointed(map_arrow(dealt.select("bucket", "k", "line"), run, "a long, b long"))
 
 
+def divided(buckets: DataFrame) -> DataFrame:
+    """(bucket, k, lead) of buckets that a task can compare.
+
+    A bucket of more than ``BUCKET`` lines or ``BUCKET_CHARS`` characters is
+    divided by hash, and every two of its divisions are one bucket, so all its
+    pairs are still compared. Buckets of a lead that has many are dealt to
+    several tasks.
+    """
+    sizes = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.sum("chars").alias("chars"), F.first("lead").alias("lead"))
+    wanted = F.greatest(F.ceil(F.col("n") / BUCKET), F.least(F.ceil(F.col("chars") / BUCKET_CHARS), F.col("n")))
+    large = checkpointed(sizes.where((F.col("n") > BUCKET) | (F.col("chars") > BUCKET_CHARS)).where("n > 2").select("bucket", wanted.alias("c")))
+    own, other = F.pmod(F.xxhash64("k"), F.col("c")), F.explode(F.sequence(F.lit(0).cast("long"), F.col("c") - 1)).alias("j")
+    cut = buckets.join(large, "bucket").select("bucket", "k", own.alias("i"), other).select(F.xxhash64("bucket", F.least("i", "j"), F.greatest("i", "j")).alias("bucket"), "k").distinct().withColumn("lead", F.col("bucket"))
+    whole = buckets.join(large, "bucket", "left_anti").select("bucket", "k", "lead")
+    crowded = checkpointed(whole.groupBy("lead").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > LEAD_ROWS).select("lead", F.ceil(F.col("n") / LEAD_ROWS).alias("tasks")))
+    spread = whole.join(crowded, "lead", "left").select("bucket", "k", F.when(F.col("tasks").isNull(), F.col("lead")).otherwise(F.xxhash64("lead", F.pmod(F.xxhash64("bucket"), F.col("tasks")))).alias("lead"))
+    return spread.union(cut)
+
+
 def exploded(docs: DataFrame, text_col: str, *cols: str) -> DataFrame:
     """A row for each line, with its number; a null text has none."""
     return docs.select(*cols, F.posexplode(F.split(text_col, "\n")).alias("line_no", "line")).withColumn("k", F.xxhash64("line"))
 
 
 def line_components(docs: DataFrame, text_col: str, threshold: float = THRESHOLD) -> DataFrame:
-    """(node, root) of lines that are alike, by ``line_id``.
-
-    A bucket of more than ``BUCKET`` lines is divided by hash, and every two of
-    its divisions are one bucket, so all its pairs are still compared.
-    """
+    """(node, root) of lines that are alike, by ``line_id``."""
     buckets = bucketed(docs, text_col)
     wanted = checkpointed(buckets.select("k").distinct())
     lines = docs.select(F.explode(F.split(text_col, "\n")).alias("line")).withColumn("k", F.xxhash64("line"))
     texts = stored(lines.join(wanted, "k", "left_semi").groupBy("k").agg(F.min("line").alias("line")))
-    large = checkpointed(buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BUCKET).select("bucket", F.ceil(F.col("n") / BUCKET).alias("c")))
-    own, other = F.pmod(F.xxhash64("k"), F.col("c")), F.explode(F.sequence(F.lit(0).cast("long"), F.col("c") - 1)).alias("j")
-    divided = buckets.join(large, "bucket").select("bucket", "k", own.alias("i"), other).select(F.xxhash64("bucket", F.least("i", "j"), F.greatest("i", "j")).alias("bucket"), "k").distinct().withColumn("lead", F.col("bucket"))
-    members = buckets.join(large, "bucket", "left_anti").select("bucket", "k", "lead").union(divided)
-    links = verified(members.join(texts, "k"), threshold)
+    links = verified(divided(buckets).join(texts, "k"), threshold)
     roots = checkpointed(components(links, "a", "b"))
     for table in (buckets, texts):
         drop_stored(table)
@@ -322,7 +355,7 @@ def line_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ``docs``; else rows are numbered here.
     """
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), (F.monotonically_increasing_id() if row_col is None else F.col(row_col)).alias("_row"))
-    found = stored(exploded(rows, "_text", "_id", "_row").where(F.btrim("line", F.lit(" \t\r\x0b\x0c")) != "").select("_id", "_row", "line_no", "k"))
+    found = stored(exploded(rows, "_text", "_id", "_row").where(F.btrim("line", F.lit(BLANK)) != "").select("_id", "_row", "line_no", "k"))
     roots = line_components(rows, "_text", threshold)
     place = F.struct(F.col("_id").isNull().alias("n"), F.col("_id").alias("d"), F.col("_row").alias("r"), F.col("line_no").alias("i"))
     firsts = checkpointed(found.groupBy("k").agg(F.min(place).alias("first")))

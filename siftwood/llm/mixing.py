@@ -3,37 +3,81 @@
 Token totals of the cells source x language x topic are raked until the
 source, language and topic marginals meet their targets; a document is kept
 with a probability proportional to its cell's factor.
+
+Topics are learned where documents have no column for them: spherical k-means
+over hashed word counts of all whole texts.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+import zlib
+from collections.abc import Iterator, Mapping
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checkpointed
+from .common import checkpointed, collected, drop_stored, free_prefix, map_arrow, stored
 
-OTHER, MISSING = "<other>", "<none>"
-#: Categories of a marginal that get a target of their own by default; the rest share one.
-CATEGORIES, TEMPER, SEED = 1_000, 0.7, "mix-1"
+MISSING = "<none>"
+TEMPER, SEED = 0.7, "mix-1"
+#: Topics, word buckets of a text's features, and rounds in which topics are learned.
+TOPICS, DIMS, TOPIC_ROUNDS = 8, 64, 10
+#: Cells up to which the driver rakes; more are raked as a table.
+LOCAL_CELLS = 200_000
 MARGINS = ("source", "lang", "topic")
+ADDED = ("source", "lang", "topic", "tokens", "weight", "probability", "sampled")
+
 
+def features(text: str | None) -> tuple[int, np.ndarray]:
+    """(words, features) of a whole text: roots of its word counts in ``DIMS`` hash
+    buckets, of length one; of a text without words, zeros."""
+    words = (text or "").encode().lower().split()
+    if not words:
+        return 0, np.zeros(DIMS, dtype=np.float32)
+    x = np.sqrt(np.bincount(np.fromiter(map(zlib.crc32, words), dtype=np.int64, count=len(words)) % DIMS, minlength=DIMS))
+    return len(words), (x / np.linalg.norm(x)).astype(np.float32)
 
-def n_tokens(text: Column) -> Column:
-    """Words between ASCII white space; a null text has none."""
-    return F.coalesce(F.regexp_count(text, F.lit("[^\\x20\\x09-\\x0D]+")), F.lit(0)).cast("long")
 
+def learned_topics(told: DataFrame, topics: int = TOPICS, rounds: int = TOPIC_ROUNDS) -> np.ndarray:
+    """Centres of the topics of rows (n, x), a row each: k-means by cosine over all
+    rows with words, from the first distinct ones by hash, until the rows' mean
+    likeness to their centres rises no more."""
+    some = told.where("n > 0")
+    first = some.orderBy(F.xxhash64("x"), "x").limit(topics * 16).select("x").collect()
+    start = list(dict.fromkeys(bytes(r["x"]) for r in first))[:topics]
+    centres = np.frombuffer(b"".join(start), np.float32).reshape(-1, DIMS).astype(float)
+    last = -1.0
+    for _ in range(rounds if len(centres) > 1 else 0):
 
-def topic_of(text: Column) -> Column:
-    """A topic by the form of the text, first match: table, markup, list, lines, short, prose."""
-    t, n = F.coalesce(text, F.lit("")), F.length(F.coalesce(text, F.lit("")))
-    bars = n - F.length(F.replace(t, F.lit("|"), F.lit("")))
-    signs = n - F.length(F.regexp_replace(t, "[%&$*#{}<>=_]", ""))
-    breaks = n - F.length(F.replace(t, F.lit("\n"), F.lit("")))
-    return F.when(bars * 50 > n, "table").when(signs * 25 > n, "markup").when(t.rlike("(^|\\n)[-*•] "), "list").when(breaks * 60 > n, "lines").when(n < 400, "short").otherwise("prose")
+        def tally(batches: Iterator[pa.RecordBatch], centres: np.ndarray = centres) -> Iterator[pa.RecordBatch]:
+            sums, near, rows = np.zeros_like(centres), 0.0, 0
+            for batch in batches:
+                for at in range(0, batch.num_rows, 4096):
+                    part = batch.column(0).slice(at, 4096)
+                    x = np.frombuffer(b"".join(part.to_pylist()), np.float32).reshape(-1, DIMS).astype(float)
+                    like = x @ centres.T
+                    own = like.argmax(axis=1)
+                    near, rows = near + float(like.max(axis=1).sum()), rows + len(x)
+                    np.add.at(sums, own, x)
+            values = np.concatenate([sums.ravel(), [near, rows]])
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(values))), pa.array(values)], ["i", "v"])
+
+        got = collected(map_arrow(some.select("x"), tally, "i long, v double").groupBy("i").agg(F.sum("v").alias("v")))  # topics x DIMS rows
+        values = np.zeros(centres.size + 2)
+        for r in got:
+            values[r["i"]] = r["v"]
+        sums = values[:-2].reshape(centres.shape)
+        size = np.linalg.norm(sums, axis=1, keepdims=True)
+        # rounded, as sums differ in their last digits with the order of rows
+        centres = np.where(size > 0, np.round(sums / np.maximum(size, 1e-12), 6), centres)
+        now = values[-2] / max(values[-1], 1.0)
+        if now - last < 1e-5:
+            break
+        last = now
+    return centres
 
 
 def tempered(totals: Mapping[str, float], power: float = TEMPER) -> dict[str, float]:
@@ -104,9 +148,81 @@ def kept_share(cells: Mapping[tuple[str, ...], float], targets: tuple[Mapping[st
     return factors, keep
 
 
-def with_cells(docs: DataFrame, id_col: str, text_col: str, source_col: str, lang_col: str, topic: Column | None) -> DataFrame:
-    label = lambda c: F.coalesce(c.cast("string"), F.lit(MISSING))
-    return docs.withColumns({"_tokens": n_tokens(F.col(text_col)), "_source": label(F.col(source_col)), "_lang": label(F.col(lang_col)), "_topic": label(topic_of(F.col(text_col)) if topic is None else topic)})
+def _rake_far(cells: DataFrame, targets: Mapping[str, DataFrame], rounds: int = 500, close: float = 1e-10) -> DataFrame:
+    """``rake`` over a table (source, lang, topic, t): a join and a sum a marginal
+    and round, so every category keeps its target however many there are."""
+    total = cells.where("t > 0")
+    for name in MARGINS:
+        total = total.join(targets[name].where("aim > 0").select(F.col("k").alias(name)), name, "left_semi")
+    total = checkpointed(total.select(*MARGINS, "t"))
+    whole = float(total.agg(F.sum("t")).first()[0] or 0)
+    fitted = total.withColumn("w", F.col("t") / F.lit(whole or 1.0))
+    scales = {}
+    for name in MARGINS:
+        own = targets[name].join(total.select(F.col(name).alias("k")).distinct(), "k")
+        sum_ = float(own.agg(F.sum("aim")).first()[0] or 1.0)
+        scales[name] = checkpointed(own.select(F.col("k").alias(name), (F.col("aim") / F.lit(sum_)).alias("aim")))
+    for _ in range(rounds):
+        off = 0.0
+        for name in MARGINS:
+            now = fitted.groupBy(name).agg(F.sum("w").alias("now")).join(scales[name], name).select(name, (F.col("aim") / F.col("now")).alias("scale"))
+            now = checkpointed(now)
+            off = max(off, float(now.agg(F.max(F.abs(F.col("scale") - 1))).first()[0] or 0.0))
+            fitted = checkpointed(fitted.join(now, name).select(*MARGINS, "t", (F.col("w") * F.col("scale")).alias("w")))
+        if off < close:
+            break
+    return fitted.select(*MARGINS, "t", (F.col("w") * F.lit(whole) / F.col("t")).alias("factor"))
+
+
+def _factors_far(cells: DataFrame, targets: Mapping[str, Mapping[str, float]], keep: float | None) -> DataFrame:
+    """(source, lang, topic, weight, probability) as ``mix`` wants them, of any number of cells."""
+    spark = cells.sparkSession
+    aims, own = {}, {}
+    for name in MARGINS:
+        shares = checkpointed(cells.where("t > 0").groupBy(F.col(name).alias("k")).agg(F.sum("t").cast("double").alias("share")))
+        sum_ = float(shares.agg(F.sum("share")).first()[0] or 1.0)
+        if name in targets:
+            aims[name] = checkpointed(spark.createDataFrame(list(targets[name].items()), "k string, aim double"))
+        else:
+            aims[name] = checkpointed(shares.select("k", F.pow("share", F.lit(TEMPER)).alias("aim")))
+        own[name] = checkpointed(shares.join(aims[name], "k").select("k", (F.col("share") / F.lit(sum_)).alias("share"), "aim"))
+    most = lambda x: float(x.agg(F.max("factor")).first()[0] or 0.0)
+    raked = _rake_far(cells, aims)
+    common = 1 / (most(raked) or 1.0)
+    if keep is not None:
+        sums = {name: float(own[name].agg(F.sum("aim")).first()[0] or 1.0) for name in MARGINS}
+        has, every = (float(x.agg(F.sum("t")).first()[0] or 1.0) for x in (raked, cells))
+        common = min(1.0, keep * every / has)
+        if common * most(raked) > 1 + 1e-9:
+            low, high = 0.0, 1.0
+            best = raked.withColumn("factor", F.lit(1.0))
+            for _ in range(12):
+                x = (low + high) / 2
+                drawn = {name: own[name].select("k", (F.pow("share", F.lit(1 - x)) * F.pow(F.col("aim") / F.lit(sums[name]), F.lit(x))).alias("aim")) for name in MARGINS}
+                tried = _rake_far(cells, drawn)
+                if common * most(tried) <= 1 + 1e-9:
+                    low, best = x, tried
+                else:
+                    high = x
+            raked = best
+    return raked.select(*MARGINS, F.col("factor").alias("weight"), F.least(F.lit(1.0), F.col("factor") * F.lit(common)).alias("probability"))
+
+
+def _factors(cells: DataFrame, targets: Mapping[str, Mapping[str, float]], keep: float | None) -> DataFrame:
+    """As ``_factors_far``, raked by the driver."""
+    held = {tuple(r[n] for n in MARGINS): float(r["t"]) for r in cells.collect()}  # at most LOCAL_CELLS
+    wanted = []
+    for i, name in enumerate(MARGINS):
+        totals: dict[str, float] = {}
+        for k, v in held.items():
+            totals[k[i]] = totals.get(k[i], 0.0) + v
+        wanted.append(targets.get(name) or tempered(totals))
+    factors = rake(held, tuple(wanted))
+    common = 1 / max(factors.values()) if factors else 0.0
+    if keep is not None and factors:
+        factors, common = kept_share(held, tuple(wanted), factors, keep)
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in MARGINS] + [T.StructField("weight", T.DoubleType()), T.StructField("probability", T.DoubleType())])
+    return F.broadcast(cells.sparkSession.createDataFrame([(*k, f, min(1.0, common * f)) for k, f in factors.items()], schema))
 
 
 def uniform(id_col: Column) -> Column:
@@ -115,49 +231,68 @@ def uniform(id_col: Column) -> Column:
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / F.lit(2.0**52)
 
 
+def added(docs: DataFrame) -> dict[str, str]:
+    """The names that ``mix`` gives the columns it adds: those of ``ADDED`` behind a free prefix."""
+    prefix = free_prefix(docs.columns, list(ADDED))
+    return {n: prefix + n for n in ADDED}
+
+
 def mix(docs: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = None, keep: float | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", topic: Column | None = None) -> DataFrame:
-    """Adds _source, _lang, _topic, _tokens, _weight, _probability and _sampled to ``docs``.
+    """``docs`` with the source, lang, topic, tokens, weight, probability and sampled
+    columns named by ``added``.
 
     ``targets`` gives shares for "source", "lang" and "topic"; where one is
-    missing, it is the tempered share of the ``CATEGORIES`` categories with most
-    tokens, and the others share the target of "<other>". So the cells the
-    driver rakes are bounded by the targets' sizes, and only totals that were
-    aggregated before the shuffle reach it. ``_weight`` is the cell's factor,
-    ``_probability`` the factor times a common number: without ``keep`` the
-    largest at which none passes one, so the expected mix meets the targets
-    exactly; with ``keep`` this share of the tokens in expectation (all that
-    have a target, if those are fewer), with targets drawn towards the shares that are there where they
-    can't be met so (``kept_share``). A null label is "<none>", a null
-    text has no tokens; a row whose cell has no weight (only texts without
-    tokens) has probability 0. Equal ids are kept or dropped together.
+    missing, it is the tempered share of every category. Up to ``LOCAL_CELLS``
+    cells are raked by the driver, which gets their totals only, more as a table,
+    with the same result. ``weight`` is the cell's factor, ``probability`` the
+    factor times a common number: without ``keep`` the largest at which none
+    passes one, so the expected mix meets the targets exactly; with ``keep`` this
+    share of the tokens in expectation (all that have a target, if those are
+    fewer), with targets drawn towards the shares that are there where they can't
+    be met so (``kept_share``). ``topic`` names a column; without it topics are
+    learned from the texts (``learned_topics``). A null label is "<none>", a null
+    text has no tokens; a row whose cell has no weight (only texts without tokens)
+    has probability 0. Equal ids are kept or dropped together. No rows: no rows.
     """
-    spark = docs.sparkSession
-    rows = with_cells(docs, id_col, text_col, source_col, lang_col, topic)
     targets = dict(targets or {})
-    grouped = checkpointed(rows.groupBy("_source", "_lang", "_topic").agg(F.sum("_tokens").alias("_t")))  # the texts are read here and where rows are marked
-    for name in MARGINS:
-        if name not in targets:
-            totals = grouped.groupBy(f"_{name}").agg(F.sum("_t").alias("t"))
-            most = {r[f"_{name}"]: float(r["t"]) for r in totals.orderBy(F.desc("t"), f"_{name}").limit(CATEGORIES).collect()}
-            every = float(totals.agg(F.sum("t")).first()[0] or 0)
-            rest = every - sum(most.values())
-            targets[name] = tempered(most | ({OTHER: rest} if rest > 0 else {}))
-    folded = grouped
-    for name in MARGINS:
-        known = [k for k in targets[name] if k != OTHER]
-        listed = spark.createDataFrame([(k,) for k in known] or [(OTHER,)], "_k string")
-        folded = folded.join(F.broadcast(listed), F.col(f"_{name}") == F.col("_k"), "left").withColumn(f"_{name}", F.coalesce("_k", F.lit(OTHER))).drop("_k")
-    cells = {(r["_source"], r["_lang"], r["_topic"]): float(r["t"]) for r in folded.groupBy("_source", "_lang", "_topic").agg(F.sum("_t").alias("t")).collect()}
-    wanted = tuple(targets[n] for n in MARGINS)
-    factors = rake(cells, wanted)
-    common = 1 / max(factors.values()) if factors else 0.0
-    if keep is not None and factors:
-        factors, common = kept_share(cells, wanted, factors, keep)
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in ("_s", "_l", "_o")] + [T.StructField("_weight", T.DoubleType()), T.StructField("_probability", T.DoubleType())])
-    table = spark.createDataFrame([(*k, f, min(1.0, common * f)) for k, f in factors.items()], schema)
-    for name in MARGINS:
-        known = spark.createDataFrame([(k,) for k in targets[name] if k != OTHER] or [(OTHER,)], "_k string")
-        rows = rows.join(F.broadcast(known), F.col(f"_{name}") == F.col("_k"), "left").withColumn(f"_f_{name}", F.coalesce("_k", F.lit(OTHER))).drop("_k")
-    rows = rows.join(F.broadcast(table), (F.col("_f_source") == F.col("_s")) & (F.col("_f_lang") == F.col("_l")) & (F.col("_f_topic") == F.col("_o")), "left")
-    rows = rows.withColumns({"_weight": F.coalesce("_weight", F.lit(0.0)), "_probability": F.coalesce("_probability", F.lit(0.0))}).withColumn("_sampled", uniform(F.col(id_col)) < F.col("_probability"))
-    return rows.select(*docs.columns, "_source", "_lang", "_topic", "_tokens", "_weight", "_probability", "_sampled")
+    names = added(docs)
+    label = lambda c: F.coalesce(c.cast("string"), F.lit(MISSING))
+    given = docs.select(label(F.col(source_col)).alias("source"), label(F.col(lang_col)).alias("lang"), (F.lit(None).cast("string") if topic is None else label(topic)).alias("topic"), F.col(text_col).alias("text"))
+
+    def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            told = [features(x.as_py()) for x in batch.column(3)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([n for n, _ in told], pa.int64()), pa.array([x.tobytes() for _, x in told], pa.binary())], ["source", "lang", "topic", "n", "x"])
+
+    told = stored(map_arrow(given, measured, "source string, lang string, topic string, n long, x binary"))
+    centres = learned_topics(told) if topic is None else np.zeros((0, DIMS))
+
+    def named(x: np.ndarray) -> list[str]:
+        return [f"topic{i}" for i in (x @ centres.T).argmax(axis=1)] if len(centres) else [MISSING] * len(x)
+
+    def assigned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = np.frombuffer(b"".join(batch.column(4).to_pylist()), np.float32).reshape(-1, DIMS).astype(float)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(named(x), pa.string()), batch.column(3)], ["source", "lang", "topic", "n"])
+
+    labelled = told.select("source", "lang", "topic", "n") if topic is not None else map_arrow(told, assigned, "source string, lang string, topic string, n long")
+    cells = checkpointed(labelled.groupBy(*MARGINS).agg(F.sum("n").alias("t")))  # aggregated before the shuffle
+    drop_stored(told)
+    table = (_factors if cells.count() <= LOCAL_CELLS else _factors_far)(cells, targets, keep)
+    at = docs.columns.index(text_col)
+
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got = [features(x.as_py()) for x in batch.column(at)]
+            x = np.array([v for _, v in got], dtype=float).reshape(-1, DIMS)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([n for n, _ in got], pa.int64()), pa.array(named(x), pa.string())], [*batch.schema.names, names["tokens"], names["topic"]])
+
+    schema = T.StructType([*docs.schema.fields, T.StructField(names["tokens"], T.LongType()), T.StructField(names["topic"], T.StringType())])
+    rows = map_arrow(docs, marked, schema).withColumns({names["source"]: label(F.col(source_col)), names["lang"]: label(F.col(lang_col))})
+    if topic is not None:
+        rows = rows.withColumn(names["topic"], label(topic))
+    table = table.select(*[F.col(n).alias(f"{names[n]}_of_cell") for n in MARGINS], F.col("weight").alias(names["weight"]), F.col("probability").alias(names["probability"]))
+    same = [F.col(names[n]) == F.col(f"{names[n]}_of_cell") for n in MARGINS]
+    rows = rows.join(table, same[0] & same[1] & same[2], "left")
+    rows = rows.withColumns({c: F.coalesce(c, F.lit(0.0)) for c in (names["weight"], names["probability"])}).withColumn(names["sampled"], uniform(F.col(id_col)) < F.col(names["probability"]))
+    return rows.select(*docs.columns, *names.values())

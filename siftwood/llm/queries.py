@@ -69,8 +69,9 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with their raked weight, probability and whether they are sampled."""
-    found = mixing.mix(read(spark, sf_dir, "documents"))
-    return found.select("doc_id", F.col("_source").alias("source"), F.col("_lang").alias("lang"), F.col("_topic").alias("topic"), F.col("_tokens").alias("n_tokens"), F.col("_weight").alias("weight"), F.col("_probability").alias("probability"), F.col("_sampled").alias("sampled"))
+    docs = read(spark, sf_dir, "documents")
+    names = mixing.added(docs)
+    return mixing.mix(docs).select("doc_id", *[F.col(names[n]).alias("n_tokens" if n == "tokens" else n) for n in mixing.ADDED])
 
 
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,6 +6,11 @@ fingerprint emits all variants within ``radius // 2`` bits, the variants are
 shuffled, and fingerprints that meet on one are linked. As any two that meet
 are within ``radius`` of each other, a bucket needs one link a member, to its
 smallest, not one a pair; the components are the same.
+
+``similar`` finds texts by the likeness of their shingle sets in the same way:
+a pair of likeness 0.8 differs in one bit of seven, too far for a ball over one
+long fingerprint, so balls are laid around several short ones, each kept apart by
+MinHash anchors of its table, and texts that meet are verified exactly.
 """
 
 from __future__ import annotations
@@ -21,10 +26,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checkpointed, map_arrow, parts, stored
+from .common import checkpointed, drop_stored, free_prefix, map_arrow, parts, stored
 from .graph import components, forest
+from .lines import divided, meet, mix, verified
 
 BITS, RADIUS, WIDTH, SEED, PASSES = 64, 4, 4, 42, 8
+#: Of ``similar``: tables, MinHash anchors in each, bits of its fingerprint, and the radius
+#: around that; a pair of likeness 0.8 meets in some table with a probability of 0.99.
+TABLES, ANCHORS, SHORT, REACH, LIKENESS = 8, 3, 16, 4, 0.8
 #: Bytes of variants that one reducing task should hold.
 TASK_BYTES = 24_000_000
 #: Fingerprints whose variants one mapping task emits at a time.
@@ -51,22 +60,9 @@ def simhash(text: str | None, width: int = WIDTH) -> int:
     return int(np.packbits(2 * ones > len(starts), bitorder="little").view("<u8")[0])
 
 
-def with_fingerprint(docs: DataFrame, text_col: str = "text", width: int = WIDTH, into: str = "_fp", row: str = "_row") -> DataFrame:
-    """``docs`` with the fingerprint as a signed long in ``into`` and a row number in ``row``, stored."""
-    at = docs.columns.index(text_col)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            fps = np.array([simhash(x.as_py(), width) for x in batch.column(at)], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fps)], [*batch.schema.names, into])
-
-    schema = T.StructType([*docs.schema.fields, T.StructField(into, T.LongType())])
-    return stored(map_arrow(docs, run, schema).withColumn(row, F.monotonically_increasing_id()))
-
-
-def ball(radius: int) -> np.ndarray:
-    """All 64-bit masks of at most ``radius`` ones."""
-    one = [1 << i for i in range(BITS)]
+def ball(radius: int, bits: int = BITS) -> np.ndarray:
+    """All masks of at most ``radius`` ones among ``bits`` bits."""
+    one = [1 << i for i in range(bits)]
     return np.array([sum(c) for n in range(radius + 1) for c in itertools.combinations(one, n)], dtype=np.uint64)
 
 
@@ -151,28 +147,23 @@ def ball_links(fps: DataFrame, col: str, radius: int = RADIUS, passes: int = PAS
     return out
 
 
-def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, width: int = WIDTH, keep_columns: bool = False) -> DataFrame:
+def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, width: int = WIDTH) -> DataFrame:
     """Near-duplicate groups: components of fingerprints within ``radius`` bits.
 
     Equal fingerprints count once, pre-aggregated, so copies cost nothing more.
     Texts without words have fingerprint zero and are linked like any other.
     Returns for every row doc_id, fingerprint (long), component_id (smallest id
     of the group; null only if all its ids are null) and kept: true for one row
-    of each group, that of the smallest id, of equal ids the first read. With
-    ``keep_columns`` the columns of ``docs`` come instead of doc_id, the other
-    three named _fp, _component and _kept.
+    of each group, that of the smallest id, of equal ids the first read. Other
+    columns aren't read.
     """
-    wanted = docs if keep_columns else docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    ident, body = (id_col, text_col) if keep_columns else ("_id", "_text")
-    rows = with_fingerprint(wanted, body, width) if keep_columns else _narrow(wanted, width)
-    first = checkpointed(rows.groupBy("_fp").agg(F.min(F.struct(F.col(ident).isNull().alias("n"), F.col(ident).alias("d"), F.col("_row").alias("r"))).alias("_first")))
+    rows = _narrow(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")), width)
+    first = checkpointed(rows.groupBy("_fp").agg(F.min(F.struct(F.col("_id").isNull().alias("n"), F.col("_id").alias("d"), F.col("_row").alias("r"))).alias("_first")))
     linked = components(ball_links(first, "_fp", radius), "a", "b")
     rooted = checkpointed(first.join(linked.withColumnRenamed("node", "_fp"), "_fp", "left").select("_fp", "_first", F.coalesce("root", "_fp").alias("_root")))
     heads = checkpointed(rooted.groupBy("_root").agg(F.min("_first").alias("_head")))
     labels = checkpointed(rooted.select("_fp", "_root").join(heads, "_root").select("_fp", F.col("_head.d").alias("_component"), F.col("_head.r").alias("_head_row")))
     out = rows.join(labels, "_fp").withColumn("_kept", F.col("_row") == F.col("_head_row"))
-    if keep_columns:
-        return out.select(*docs.columns, "_fp", "_component", "_kept")
     return out.select(F.col("_id").alias("doc_id"), F.col("_fp").alias("fingerprint"), F.col("_component").alias("component_id"), F.col("_kept").alias("kept"))
 
 
@@ -188,6 +179,125 @@ def _narrow(docs: DataFrame, width: int) -> DataFrame:
     return stored(map_arrow(docs, run, schema).withColumn("_row", F.monotonically_increasing_id()))
 
 
+def shingle_set(text: str | None, width: int) -> np.ndarray:
+    """Distinct hashes of the runs of ``width`` words of a whole text (fewer words:
+    of them all), in order; of a text without words, none."""
+    words = (text or "").encode().lower().split()
+    if not words:
+        return np.zeros(0, dtype=np.uint64)
+    joined = b" ".join(words)
+    stops = np.cumsum([len(w) + 1 for w in words]) - 1
+    starts = np.concatenate([[0], stops[:-1] + 1])
+    stops = stops[min(width, len(words)) - 1 :].tolist()
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts.tolist(), stops, strict=False)), dtype=np.uint64, count=len(stops)))
+
+
+def table_keys(h: np.ndarray) -> np.ndarray:
+    """A key for each table: a hash of its anchors, the least hashes of the set by
+    its orders, above a fingerprint of ``SHORT`` bits."""
+    ones = np.zeros(TABLES * SHORT, dtype=np.int64)
+    for at in range(0, len(h), 65_536):
+        seeds = mix(np.arange(1, TABLES * SHORT // 64 + 1, dtype=np.uint64))
+        some = mix(h[at : at + 65_536, None] ^ seeds[None, :])
+        ones += np.unpackbits(some.view(np.uint8).reshape(len(some), -1), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    short = np.packbits(2 * ones > len(h), bitorder="little").view("<u2").astype(np.uint64)
+    keys = np.arange(TABLES, dtype=np.uint64) + np.uint64(1)
+    for i in range(ANCHORS):
+        seeds = mix(np.arange(TABLES, dtype=np.uint64) * np.uint64(ANCHORS) + np.uint64(1_000 + i))
+        keys = mix(keys ^ np.array([mix(h ^ s).min() for s in seeds]))
+    return (keys & ~np.uint64(2**SHORT - 1)) | short
+
+
+def _sent(keys: np.ndarray, ids: np.ndarray, sizes: np.ndarray, component: np.ndarray, n: int) -> pa.RecordBatch:
+    """Keys and what goes with them, packed for each of ``n`` reducers."""
+    part = _part(keys, n)
+    order = np.argsort(part, kind="stable")
+    rows = np.split(order, np.flatnonzero(np.diff(part[order])) + 1) if len(keys) else []
+    return pa.RecordBatch.from_arrays([pa.array([int(part[r[0]]) for r in rows], pa.int32()), *(pa.array([x[r].tobytes() for r in rows], pa.binary()) for x in (keys, ids, sizes, component))], ["part", "keys", "ks", "sizes", "components"])
+
+
+def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", likeness: float = LIKENESS, width: int = 5) -> DataFrame:
+    """``docs`` with the component of each row and whether it is kept, in columns
+    named component and kept behind a free prefix (see ``free_prefix``).
+
+    Texts whose sets of ``width``-word shingles have a Jaccard likeness of at
+    least ``likeness`` are linked. Equal sets are one class, so copies cost
+    nothing more. Texts meet that share a key of a table, first, and then a
+    variant of one within half the radius; all pairs that meet are compared
+    exactly where they meet, but for those connected already. Texts without words
+    are alike. component is the smallest id of the group (null only if all are
+    null); kept is true for one row of each, of the smallest id, of equal ids the
+    first read. No rows: no rows.
+    """
+    spark = docs.sparkSession
+    prefix = free_prefix(docs.columns, ["row", "component", "kept"])
+    row = f"{prefix}row"
+    rows = stored(docs.withColumn(row, F.monotonically_increasing_id()))
+    narrow = rows.select(F.col(row).alias("_row"), F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            digests, chars, keys = [], [], []
+            for x in batch.column(2):
+                text = x.as_py()
+                h = shingle_set(text, width)
+                digests.append(xxhash.xxh128_digest(h.tobytes()))
+                chars.append(min(len(text or ""), 2**31))
+                keys.append(table_keys(h).view(np.int64) if len(h) else np.zeros(0, dtype=np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(digests, pa.binary()), pa.array(chars, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["_row", "_id", "_set", "_chars", "_keys"])
+
+    kind = narrow.schema["_id"].dataType.simpleString()
+    signed = stored(map_arrow(narrow, sign, f"_row long, _id {kind}, _set binary, _chars long, _keys array<long>"))
+    place = F.struct(F.col("_id").isNull().alias("n"), F.col("_id").alias("d"), F.col("_row").alias("r"))
+    first = signed.groupBy("_set").agg(F.min(place).alias("first"))
+    classes = checkpointed(first.join(signed.select(F.col("_row").alias("cls"), "_chars", "_keys"), F.col("first.r") == F.col("cls")).select("cls", "first", "_set", "_chars", "_keys"))
+    n = classes.count()
+    masks = ball(REACH // 2, SHORT)
+
+    def met(df: DataFrame, turn: int | None) -> DataFrame:
+        """Buckets of (cls, chars, component, keys): of equal keys, or of variants of the keys of one table."""
+        each = TABLES if turn is None else len(masks)
+        reducers = max(parts(spark), math.ceil(n * each * 28 / TASK_BYTES))
+
+        def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for at in range(0, batch.num_rows, TASK_FPS):
+                    some = batch.slice(at, TASK_FPS)
+                    ids, sizes, component = (some.column(i).to_numpy() for i in range(3))
+                    keys = some.column(3).flatten().to_numpy().view(np.uint64).reshape(some.num_rows, TABLES)
+                    variants = keys if turn is None else keys[:, turn, None] ^ masks[None, :]
+                    yield _sent(variants.ravel(), np.repeat(ids, each), np.repeat(sizes.astype(np.uint32), each), np.repeat(component, each), reducers)
+
+        sent = map_arrow(df, emit, "part int, keys binary, ks binary, sizes binary, components binary")
+        return checkpointed(map_arrow(sent.repartition(reducers, "part"), meet, "bucket long, k long, lead long, chars long"))
+
+    def linked(buckets: DataFrame) -> DataFrame:
+        buckets = checkpointed(buckets.distinct())
+        texts = rows.select(F.col(row).alias("k"), F.coalesce(F.col(text_col), F.lit("")).alias("line")).join(buckets.select("k").distinct(), "k", "left_semi")
+
+        def shingled(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+            sets = [shingle_set(x, width) for x in lines]
+            return np.repeat(np.arange(len(sets)), [len(x) for x in sets]), np.concatenate(sets)
+
+        return verified(divided(buckets).join(texts, "k"), likeness, shingled)
+
+    asked = classes.where(F.size("_keys") > 0).select("cls", F.col("_chars").cast("long").alias("chars"), F.col("cls").alias("component"), "_keys")
+    links = linked(met(asked, None))
+    roots = checkpointed(components(links, "a", "b"))
+    asked = checkpointed(asked.drop("component").join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "chars", F.coalesce("root", "cls").alias("component"), "_keys"))
+    buckets = met(asked, 0)
+    for turn in range(1, TABLES):
+        buckets = buckets.union(met(asked, turn))
+    roots = components(links.union(linked(buckets)), "a", "b")
+    rooted = checkpointed(classes.select("cls", "first", "_set").join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("_set", "first", F.coalesce("root", "cls").alias("root")))
+    heads = checkpointed(rooted.groupBy("root").agg(F.min("first").alias("head")))
+    labels = checkpointed(rooted.select("_set", "root").join(heads, "root").select("_set", F.col("head.d").alias("component"), F.col("head.r").alias("head")))
+    told = checkpointed(signed.select("_row", "_set").join(labels, "_set").select(F.col("_row").alias(row), F.col("component").alias(f"{prefix}component"), (F.col("_row") == F.col("head")).alias(f"{prefix}kept")))
+    drop_stored(signed)
+    return rows.join(told, row).select(*docs.columns, f"{prefix}component", f"{prefix}kept")
+
+
 def hex_of(fp: Column) -> Column:
     """16 lower-case hex digits of a signed long."""
     return F.lpad(F.lower(F.hex(fp)), BITS // 4, "0")

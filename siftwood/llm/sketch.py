@@ -92,13 +92,16 @@ def with_next_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Ids fall into buckets by quantiles; the first rows of each bucket are
     repeated as ghosts (``_ghost`` = 1) behind the bucket before it, so each
     bucket's window has the row that follows. The text is shuffled once. Equal
-    ids follow each other by hash of the text; a null id comes last.
+    ids follow each other by hash of the text; a null id comes last. Rows that
+    share an id are in one bucket, as nothing but the id orders them.
     """
     base = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     key = F.col("doc_id").cast("long")
     ids = docs.select(F.col(id_col).cast("long").alias("k"))
-    bucket = bucket_of(key, quantile_bounds(ids, "k", 4 * parts(docs.sparkSession)))
-    first = ids.groupBy(bucket_of(F.col("k"), quantile_bounds(ids, "k", 4 * parts(docs.sparkSession))).alias("_at")).agg(F.max("k").alias("_head")).orderBy(F.desc("_at")).collect()
+    # drawn once: approximate quantiles may differ from call to call
+    bounds = quantile_bounds(ids, "k", 4 * parts(docs.sparkSession))
+    bucket = bucket_of(key, bounds)
+    first = ids.groupBy(bucket_of(F.col("k"), bounds).alias("_at")).agg(F.max("k").alias("_head")).orderBy(F.desc("_at")).collect()
     # one row a bucket: the head of each goes to the bucket before it in this order, that of the first to the last
     goes = [(first[i]["_head"], first[i - 1]["_at"]) for i in range(len(first))]
     if not goes:

@@ -13,6 +13,7 @@ import zlib
 import numpy as np
 import pytest
 import xxhash
+import zstandard
 from fixtures import awkward, empty, prose
 from pyspark.sql import functions as F
 
@@ -123,6 +124,17 @@ def test_dedup_lines(spark, docs, rows):
     assert lines.dedup_lines(empty(spark)).count() == 0 and lines.line_groups(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("more", [{"BUCKET": 4}, {"BUCKET_CHARS": 2_000}, {"LEAD_ROWS": 3}])
+def test_divided_buckets_lose_no_line(docs, rows, monkeypatch, more):
+    want = line_brute(rows)
+    for name, value in more.items():
+        monkeypatch.setattr(lines, name, value)
+    got = {r["line_id"]: r["component_id"] for r in lines.line_groups(docs).collect()}
+    at = {np.uint64(lines.line_id(x)).view(np.int64).item(): c for x, c in want.items()}
+    pairs = {(at[k], c) for k, c in got.items()}
+    assert len(pairs) == len({a for a, _ in pairs}) == len({b for _, b in pairs})
+
+
 # --- 2 --------------------------------------------------------------------------------------
 
 
@@ -453,7 +465,29 @@ def test_audit(spark):
     assert warc.audit(primary, make(rows)).count() == 0
     whole = warc.report(primary, make(damaged), fanout=4)
     assert whole.count() == len(rows) + 1 and whole.where("state = 'intact'").count() == len(rows) - 6
-    assert warc.audit(make([]) if False else primary.limit(0), primary.limit(0)).count() == 0
+    nothing = make(rows).limit(0)
+    assert warc.audit(nothing, nothing).count() == 0
+    assert {r["state"] for r in warc.audit(nothing, primary).collect()} == {"extra"}
+    assert {r["state"] for r in warc.audit(primary, nothing).collect()} == {"lost"}
+
+
+def test_audit_pairs_copies_by_digest(spark):
+    make = lambda x: warc.manifest(spark.createDataFrame(x, "id long, record string").repartition(3), "id", "record")
+    primary = make([(1, "a"), (1, "b"), (1, "b"), (1, "c"), (-5, "x"), (2**62, "far")])
+    found = warc.audit(primary, make([(1, "b"), (1, "b"), (1, "c"), (-5, "y"), (2**62, "far"), (1, "b")]), fanout=4)
+    digest = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    assert sorted((r["id"], r["digest"], r["replica_digest"], r["state"]) for r in found.collect()) == sorted([(1, digest("a"), digest("b"), "altered"), (-5, digest("x"), digest("y"), "altered")])
+
+
+def test_audit_reads_differing_ranges_only(spark):
+    make = lambda x: warc.manifest(spark.createDataFrame(x, "id long, record string"), "id", "record")
+    rows = [(i, f"r{i}") for i in range(300)]
+    a, b = make(rows), make([(i, t + "!" if i == 77 else t) for i, t in rows if i != 140])
+    height = warc._height([a, b], 2)
+    left, right = warc.tree(a, height, 4), warc.tree(b, height, 4)
+    assert [x.count() for x in left] == [75, 19, 5, 2, 1] and left[-1].first()["bytes"] == sum(len(t) for _, t in rows)
+    assert sorted(r["node"] for r in warc.differing(left, right, 4).collect()) == [19, 35]
+    assert warc.differing(left, warc.tree(make(rows), height, 4), 4).count() == 0
 
 
 # --- 7 --------------------------------------------------------------------------------------
@@ -478,8 +512,54 @@ def test_simhash_groups(spark, docs, rows):
     assert collections.Counter((r["doc_id"], r["fingerprint"] % 2**64, r["component_id"]) for r in got) == want
     assert sum(r["kept"] for r in got) == len(set(root))
     assert simhash.groups(empty(spark)).count() == 0
-    kept = simhash.groups(docs, width=5, keep_columns=True).where("_kept").select(*docs.columns)
-    assert kept.columns == docs.columns
+
+
+def similar_slowly(rows):
+    """Component of each row by all pairs of five-word shingle sets, 0.8 alike or more."""
+    sets = []
+    for r in rows:
+        w = [x.lower() for x in WORD.findall((r["text"] or "").encode())]
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    alike = lambda a, b: len(a & b) >= 0.8 * len(a | b)
+    return parts_of(len(rows), [(i, j) for i, j in itertools.combinations(range(len(rows)), 2) if alike(sets[i], sets[j])])
+
+
+def check_similar(rows, got, component="_component", kept="_kept"):
+    root = similar_slowly(rows)
+    least = {r: min((rows[i]["doc_id"] for i in range(len(rows)) if root[i] == r and rows[i]["doc_id"] is not None), default=None) for r in root}
+    assert collections.Counter((r["doc_id"], r["text"], r[component]) for r in got) == collections.Counter((r["doc_id"], r["text"], least[root[i]]) for i, r in enumerate(rows))
+    assert sum(r[kept] for r in got) == len(set(root))
+
+
+def test_similar(spark, docs, rows):
+    out = simhash.similar(docs)
+    assert out.columns == [*docs.columns, "_component", "_kept"]
+    check_similar(rows, out.collect())
+    assert simhash.similar(empty(spark)).count() == 0
+
+
+@pytest.mark.parametrize("more", [{}, {"BUCKET": 3, "LEAD_ROWS": 2}])
+def test_similar_near_the_threshold(spark, monkeypatch, more):
+    """Edited copies that are alike to their source and not to each other, in small and large groups;
+    also where buckets are divided and leads spread."""
+    for name, value in more.items():
+        monkeypatch.setattr(lines, name, value)
+    rng = random.Random(21)
+    texts = []
+    for _ in range(25):
+        source = prose(rng, 200).split()
+        texts.append(" ".join(source))
+        for _ in range(rng.choice([1, 2, 9])):
+            changed = list(source)
+            for at in rng.sample(range(200), rng.choice([1, 2, 4])):
+                changed[at] = f"other{rng.random()}"
+            texts.append(" ".join(changed))
+    rng.shuffle(texts)
+    rows = [{"doc_id": i, "text": t, "_kept": 5, "_row": 1, "_KEPT": 2} for i, t in enumerate(texts)]
+    df = spark.createDataFrame([(r["doc_id"], r["text"], 5, 1) for r in rows], "doc_id long, text string, _KEPT long, _row long").repartition(4)
+    out = simhash.similar(df)
+    assert out.columns == [*df.columns, "__component", "__kept"] and out.agg(F.sum("_KEPT"), F.sum("_row")).first()[:] == (5 * len(rows), len(rows))
+    check_similar(rows, out.collect(), "__component", "__kept")
 
 
 def test_ball_finds_every_pair_within_four_bits(spark):
@@ -511,11 +591,38 @@ def labelled(rng, n):
     return rows
 
 
+def slow_score(model, text):
+    """Every window compressed alone by each dictionary, and the logistic sum written out."""
+    runs = toxicity.windows(text)
+    size = lambda content, run: len(zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT), level=toxicity.LEVEL, write_content_size=False, write_checksum=False, write_dict_id=False).compress(run))
+    x = []
+    for other in (model.base, model.control + model.base):
+        saved = [size(other, r) - size(model.toxic + model.base, r) for r in runs]
+        if saved:
+            x += [max(-5, min(20, sum(saved) / len(saved))), *(sum(s >= n for s in saved) / len(saved) for n in range(1, 7)), math.log1p(sum(s for s in saved if s >= 3)), max(-5, min(12, max(saved)))]
+        else:
+            x += [0.0] * 9
+    z = model.weights[0] + sum(w * (v - m) / s for w, v, m, s in zip(model.weights[1:], x, model.mean, model.scale, strict=True))
+    return 1 / (1 + math.exp(-z))
+
+
+def test_labels_of_equal_texts_and_the_order_of_rows_are_settled():
+    rows = [(t, y) for _, t, y in labelled(random.Random(6), 120)]
+    more = [*rows, (rows[0][0], 1 - rows[0][1]), (rows[5][0], 0), (rows[5][0], 1)]
+    a, b = toxicity.fit(more), toxicity.fit(list(reversed(more)))
+    assert vars(a) == vars(b) and a.weights
+
+
 def test_toxicity(spark):
     rows = labelled(random.Random(4), 900)
     docs = spark.createDataFrame([r[:2] for r in rows] + [(5000, None), (5001, ""), (5002, " \n"), (5003, "w" * 9000), (None, "no id"), (3, rows[3][1])], "doc_id long, text string")
     labels = spark.createDataFrame([(r[0], r[2], 0) for r in rows] + [(None, 1, 0), (1, None, 0)], "doc_id long, toxic int, quality int")
     model = toxicity.fit(toxicity.sample(docs, labels, toxicity.fold() != 1))
+    slow = lambda text: slow_score(model, text)
+    for r in toxicity.score(docs, model, keep_columns=True, into="likely").collect():
+        assert r["likely"] == pytest.approx(slow(r["text"]), abs=1e-9)
+    with pytest.raises(ValueError, match="text"):
+        toxicity.score(docs, model, keep_columns=True, into="text")
     got = {r["doc_id"]: r["score"] for r in toxicity.score(docs, model).collect()}
     assert len(got) == 905 and all(0 <= s <= 1 for s in got.values())
     held = [(got[i], y) for i, _, y in rows if zlib.crc32(str(i).encode()) % 3 == 1]
@@ -549,6 +656,38 @@ def test_rake_meets_the_marginals():
     assert mixing.rake({}, targets) == {} and mixing.rake({("a", "x", "p"): 0.0}, targets) == {}
 
 
+@pytest.mark.parametrize("keep", [None, 0.6])
+def test_many_cells_are_raked_as_a_table(spark, monkeypatch, keep):
+    rng = random.Random(3)
+    texts = [(i, "w " * rng.randint(1, 30), f"s{i % 5}", rng.choice(["en", "fr"])) for i in range(60)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string, source string, lang string")
+    wanted = {"lang": {"en": 0.5, "fr": 0.4, "none": 0.1}}
+    told = lambda: {r["doc_id"]: (r["_weight"], r["_probability"]) for r in mixing.mix(docs, wanted, keep, topic=F.lit("t")).collect()}
+    near = told()
+    monkeypatch.setattr(mixing, "LOCAL_CELLS", 0)
+    far = told()
+    for i, x in near.items():
+        assert far[i] == pytest.approx(x, rel=1e-3 if keep else 1e-6)
+
+
+def test_topics_follow_the_words(spark):
+    rng = random.Random(2)
+    sets = [[f"{a}{i}" for i in range(30)] for a in ("sea", "law", "ore")]
+    rows = [(i, " ".join(rng.choice(sets[i % 3]) for _ in range(80)), "s", "en") for i in range(150)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")).collect()
+    by = collections.defaultdict(set)
+    for r in got:
+        by[r["_topic"]].add(r["doc_id"] % 3)
+    assert len(by) >= 3 and all(len(x) == 1 for x in by.values())
+
+
+def test_mix_leaves_other_columns_alone(spark):
+    docs = spark.createDataFrame([(i, "some words here", "s", "en", "x", 7) for i in range(5)], "doc_id long, text string, source string, lang string, _Source string, _tokens long")
+    out = mixing.mix(docs)
+    assert out.columns == [*docs.columns, *("__" + n for n in mixing.ADDED)]
+    assert {(r["_Source"], r["_tokens"], r["__source"], r["__tokens"]) for r in out.collect()} == {("x", 7, "s", 3)}
+
+
 def test_mix(spark, docs, rows):
     got = mixing.mix(docs).collect()
     assert len(got) == len(rows) and all(0 <= r["_probability"] <= 1 for r in got)
@@ -561,9 +700,14 @@ def test_mix(spark, docs, rows):
     tokens = collections.Counter()
     for r in got:
         tokens[r["_source"]] += r["_tokens"]
-    aim, total = mixing.tempered(tokens), sum(tokens.values())
-    for s, share in aim.items():
-        assert weight["source", s] / total == pytest.approx(share, rel=1e-6)
+    total = sum(tokens.values())
+    for name in mixing.MARGINS:
+        own, weighed = collections.Counter(), collections.Counter()
+        for r in got:
+            own[r[f"_{name}"]] += r["_tokens"]
+            weighed[r[f"_{name}"]] += r["_tokens"] * r["_weight"]
+        for label, share in mixing.tempered(own).items():
+            assert weighed[label] / total == pytest.approx(share, rel=1e-3)
     kept = mixing.mix(docs, keep=0.5).agg(F.sum(F.col("_tokens") * F.col("_probability")) / F.sum("_tokens")).first()[0]
     assert kept == pytest.approx(0.5, abs=1e-6)
     assert mixing.mix(empty(spark)).count() == 0
