@@ -10,10 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftwood.llm import lines, mixing, packing, simhash, toxicity
-from siftwood.llm.common import read, stored
+from siftwood.llm.common import free_prefix, read, stored
 
-#: Words in a shingle of near duplicates, and the share of tokens that mixing keeps.
-SHINGLE_WORDS, KEEP = 5, 0.75
+#: The share of tokens that mixing keeps.
+KEEP = 0.75
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,8 +22,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     It learns from the labels of two of three folds, as the query does.
     """
     model = toxicity.fit(toxicity.sample(docs, read(spark, sf_dir, "labels"), toxicity.fold() != 1))
-    scored = toxicity.score(docs, model, keep_columns=True, into="_toxicity")
-    return scored.where(F.col("_toxicity") < toxicity.THRESHOLD).select(*docs.columns)
+    into = free_prefix(docs.columns, ["toxicity"]) + "toxicity"
+    return toxicity.score(docs, model, keep_columns=True, into=into).where(F.col(into) < toxicity.THRESHOLD).select(*docs.columns)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,13 +32,15 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each group of SimHash near duplicates."""
-    return simhash.groups(docs, width=SHINGLE_WORDS, keep_columns=True).where("_kept").select(*docs.columns)
+    """One document, that of the smallest id, of each group whose five-word shingles
+    are 0.8 alike or more, met by balls around SimHash fingerprints."""
+    kept = free_prefix(docs.columns, ["row", "component", "kept"]) + "kept"
+    return simhash.similar(docs).where(kept).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents sampled to tempered source, language and topic shares."""
-    return mixing.mix(docs, keep=KEEP).where("_sampled").select(*docs.columns)
+    return mixing.mix(docs, keep=KEEP).where(mixing.added(docs)["sampled"]).select(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
