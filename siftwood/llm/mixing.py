@@ -148,7 +148,7 @@ def kept_share(cells: Mapping[tuple[str, ...], float], targets: tuple[Mapping[st
     return factors, keep
 
 
-def _rake_far(cells: DataFrame, targets: Mapping[str, DataFrame], rounds: int = 500, close: float = 1e-10) -> DataFrame:
+def _rake_far(cells: DataFrame, targets: Mapping[str, DataFrame], rounds: int = 100, close: float = 1e-6) -> DataFrame:
     """``rake`` over a table (source, lang, topic, t): a join and a sum a marginal
     and round, so every category keeps its target however many there are."""
     total = cells.where("t > 0")
