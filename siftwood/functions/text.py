@@ -89,12 +89,59 @@ def without_control(text: Column) -> Column:
     return F.regexp_replace(text, r"[\x00-\x08\x0b\x0c\x0e-\x1f]", "")
 
 
+def windows(text: Column, width: int, step: int) -> Column:
+    """Runs (start, text) of ``width`` characters every ``step``, which is at least half
+    of that. The text is cut into steps once and a run is a step and the start of the
+    next, so the work grows with the text's length, not its square."""
+    steps = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"(?s)(.{{1,{step}}})"), F.lit(1))
+    ahead = F.concat(F.slice(steps, F.lit(2), F.greatest(F.size(steps), F.lit(1))), F.array(F.lit("")))
+    return F.transform(F.arrays_zip(steps.alias("a"), ahead.alias("b")), lambda p, i: F.struct((i * step).alias("start"), F.concat(p["a"], F.substring(p["b"], 1, width - step)).alias("text")))
+
+
 def passages(text: Column, width: int = 1200, overlap: int = 200, least: int = 120) -> Column:
     """Overlapping runs (start, text) of more than ``least`` characters."""
-    n = F.length(text)
-    starts = F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), F.lit(width - overlap))
-    runs = F.transform(starts, lambda s: F.struct(s.alias("start"), F.substring(text, s + 1, F.lit(width)).alias("text")))
-    return F.filter(runs, lambda r: F.length(r["text"]) > least)
+    return F.filter(windows(text, width, width - overlap), lambda r: F.length(r["text"]) > least)
+
+
+# Words that don't narrow a question, and what is added to one of a kind.
+FILLERS = ("the", "a", "an", "of", "to", "in", "for", "on", "and", "or", "is", "are", "what", "how", "why", "when", "where", "who", "with", "from", "vs", "versus")
+EXPANSIONS = {
+    "comparison": "comparison benchmark",
+    "howto": "step by step guide",
+    "research": "paper benchmark results",
+    "code": "code example implementation",
+    "reference": "official documentation reference",
+    "news": "latest news release",
+    "factual": "technical details numbers",
+}
+
+
+def expanded(query: Column) -> Column:
+    """A question and, for one of 2 to 14 telling words and a known kind, its expansion."""
+    plain = F.trim(F.regexp_replace(F.coalesce(query, F.lit("")), r"\s+", " "))
+    telling = F.size(F.filter(tokens(plain), lambda w: ~w.isin(*FILLERS)))
+    kind = intent(plain)
+    more = F.coalesce(*[F.when(kind == k, F.lit(v)) for k, v in EXPANSIONS.items()])
+    return F.when(plain == "", F.array().cast("array<string>")).when(telling.between(2, 14) & more.isNotNull(), F.array(plain, F.concat_ws(" ", plain, more))).otherwise(F.array(plain))
+
+
+def coherence_terms(query: Column) -> Column:
+    """A question's distinct words of more than three letters, in order."""
+    return F.filter(F.array_distinct(tokens(query)), lambda w: F.length(w) > 3)
+
+
+def opaque_identifiers(query: Column) -> Column:
+    """Words of twelve characters or more that hold a digit and a dash, underscore or dot."""
+    found = F.regexp_extract_all(F.coalesce(query, F.lit("")), F.lit(r"([\w.-]{12,})"), F.lit(1))
+    return F.filter(found, lambda w: w.rlike("[0-9]") & w.rlike("[-_.]"))
+
+
+def anchors(query: Column, said: Column, most: int = 12, clip: int = 64) -> Column:
+    """(matched, unmatched) terms of a question in a passage, in order, and their counts."""
+    asked, held = terms(query), terms(said)
+    short = lambda x: F.transform(F.slice(F.array_sort(x), 1, most), lambda w: F.substring(w, 1, clip))
+    both, left = F.array_intersect(asked, held), F.array_except(asked, held)
+    return F.struct(F.size(both).alias("matched_count"), F.size(left).alias("unmatched_count"), short(both).alias("matched"), short(left).alias("unmatched"))
 
 
 def intent(query: Column) -> Column:
@@ -102,6 +149,8 @@ def intent(query: Column) -> Column:
     q = F.lower(F.coalesce(query, F.lit("")))
     # Rules in order.
     rules = (
+        ("comparison", r"\b(vs\.?|versus|compare|difference between|better than)\b"),
+        ("howto", r"\b(how to|tutorial|guide|install|configure|setup|set up)\b"),
         ("research", r"\b(paper|research|study|benchmark|evaluation|arxiv)\b"),
         ("code", r"\b(code|api|sdk|library|function|implementation|example)\b"),
         ("reference", r"\b(docs?|documentation|reference|manual|specification)\b"),

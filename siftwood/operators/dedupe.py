@@ -25,9 +25,11 @@ def collapse(rows: DataFrame, key: str, position: str, listed: str, most: int =
 
 
 def exact_duplicates(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Texts that are the same but for case and punctuation: digest, first id, copies."""
-    own = docs.select(F.col(id_col).alias("doc_id"), X.digest(F.col(text_col)).alias("digest")).where("digest <> ''")
-    return own.groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
+    """Texts that are the same but for case and punctuation: digest, first id, copies.
+    Texts without words are left out after they are aggregated, so each text is
+    normalized once."""
+    own = docs.groupBy(F.sha2(X.normalized(F.col(text_col)), 256).alias("digest")).agg(F.min(id_col).alias("first_id"), F.count(F.lit(1)).alias("copies"))
+    return own.where((F.col("copies") > 1) & (F.col("digest") != F.sha2(F.lit(""), 256)))
 
 
 def fingerprints(docs: DataFrame, id_col: str, text_col: str, least: int = 1, most: int | None = None) -> DataFrame:

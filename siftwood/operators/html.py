@@ -123,30 +123,47 @@ def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -
     return pages.select(F.col(id_col).cast("long").alias("page_id"), html_col).mapInArrow(run, schema)
 
 
-HEADING = re.compile(r"(?m)^#{1,6}\s+(.+)")
+HEADING, PAGE_HEADING = re.compile(r"#{1,6}\s+(.+)"), re.compile(r"## Page \d+\s*$")
+
+
+def _segments(text: str, most: int) -> Iterator[tuple[int, int]]:
+    """(start, end) of a text's lines, ends included; longer ones by runs of words, and longer words cut."""
+    for line in re.finditer(r"[^\n]*\n|[^\n]+", text):
+        if line.end() - line.start() <= most:
+            yield line.span()
+            continue
+        for run in re.finditer(rf"(?s).{{0,{most - 1}}}(?:\s|$)|.{{{most}}}", line[0]):
+            if run.end() > run.start():
+                yield line.start() + run.start(), line.start() + run.end()
 
 
 def chunk_text(text: str, most: int = 900) -> list[tuple[int, int, str, str]]:
     """(start, end, text, heading) of runs that cover a text without a gap.
 
-    A run ends at a paragraph or line end in its last two thirds, else at a
-    blank in its last half, else where it is full; its heading is the one in
-    force where it starts.
+    Lines are added to a run while it has room. A full run ends behind its last
+    empty line, where that leaves a third of the room, else where the next line
+    begins; a page heading begins a new one. A run's heading is its own where it
+    begins with one, else the last before it.
     """
-    out, start, heading = [], 0, ""
-    while start < len(text):
-        stop = min(len(text), start + most)
-        if stop < len(text):
-            cut = max(text.rfind("\n\n", start + most // 3, stop), -1)
-            cut = cut if cut >= 0 else text.rfind("\n", start + most // 3, stop)
-            cut = cut if cut >= 0 else text.rfind(" ", start + most // 2, stop)
-            stop = cut + 1 if cut >= 0 else stop
-        piece = text[start:stop]
-        marks = list(HEADING.finditer(piece))
-        own = marks[0][1].strip() if marks and marks[0].start() == 0 else heading
-        out.append((start, stop, piece, own))
-        heading = marks[-1][1].strip() if marks else heading
-        start = stop
+    cuts, begin, gap = [0], 0, None
+    for start, end in _segments(text, most):
+        if start > begin and PAGE_HEADING.match(text, start, end):
+            cuts.append(start)
+            begin, gap = start, None
+        while end - begin > most:
+            begin = gap if gap is not None and gap - begin >= most // 3 else start
+            cuts.append(begin)
+            gap = None
+        if not text[start:end].strip():
+            gap = end
+    ends = [*cuts[1:], len(text)]
+    out, heading = [], ""
+    for start, end in zip(cuts, ends, strict=True):
+        if end > start:
+            titles = [m[1].strip() for m in (HEADING.match(line) for line in text[start:end].split("\n")) if m]
+            own = HEADING.match(text[start:end].split("\n", 1)[0])
+            out.append((start, end, text[start:end], own[1].strip() if own else heading))
+            heading = titles[-1] if titles else heading
     return out
 
 

@@ -7,25 +7,27 @@ from pyspark.sql import functions as F
 
 from siftwood.functions import text as X
 
+from .order import numbered_within
+
 
 def distributed(rows: DataFrame, key: str, position: str, most: int) -> DataFrame:
     """Evenly spaced rows of each key, both ends included; all where there are few."""
     if most <= 0:
         return rows.limit(0)
-    w = Window.partitionBy(key)
-    placed = rows.withColumn("_i", F.row_number().over(w.orderBy(position)) - 1).withColumn("_n", F.count(F.lit(1)).over(w))
+    placed = numbered_within(rows, key, [F.col(position).asc()], "_i")
+    sizes = rows.groupBy(F.col(key).alias("_k")).agg(F.count(F.lit(1)).alias("_n"))
+    placed = placed.join(sizes, placed[key].eqNullSafe(sizes["_k"])).withColumn("_i", F.col("_i") - 1)
     if most == 1:
-        return placed.where("_i = 0").drop("_i", "_n")
-    picks = F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda i: F.bround(i * (F.col("_n") - 1) / (most - 1)).cast("int"))
-    return placed.where((F.col("_n") <= most) | F.array_contains(picks, F.col("_i"))).drop("_i", "_n")
+        return placed.where("_i = 0").select(*rows.columns)
+    picks = F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda i: F.bround(i * (F.col("_n") - 1) / (most - 1)).cast("long"))
+    return placed.where((F.col("_n") <= most) | F.array_contains(picks, F.col("_i"))).select(*rows.columns)
 
 
 def evidence_windows(text: Column, terms: Column, width: int = 600, most: int = 3) -> Column:
     """Up to ``most`` windows (offset, matches) that hold most distinct terms and
     don't overlap: best first, earlier ones win ties."""
-    step = max(width - 150, 200)
-    starts = F.sequence(F.lit(0), F.greatest(F.length(text) - 1, F.lit(0)), F.lit(step))
-    scored = F.transform(starts, lambda s: F.struct((-F.size(F.filter(terms, lambda t: F.contains(F.lower(F.substring(text, s + 1, F.lit(width))), t)))).alias("minus"), s.alias("offset")))
+    runs = X.windows(text, width, max(width - 150, 200))
+    scored = F.transform(runs, lambda r: F.struct((-F.size(F.filter(terms, lambda t: F.contains(F.lower(r["text"]), t)))).alias("minus"), r["start"].alias("offset")))
     ordered = F.array_sort(F.filter(scored, lambda r: r["minus"] < 0))
     none = F.array().cast("array<struct<minus:int,offset:int>>")
     kept = F.aggregate(ordered, none, lambda had, r: F.when((F.size(had) < most) & F.forall(had, lambda h: F.abs(h["offset"] - r["offset"]) >= width), F.array_append(had, r)).otherwise(had))
@@ -92,3 +94,13 @@ def merge_read(found: DataFrame, read: DataFrame, key: str, cols: list[str]) ->
 def same_version(a: Column, b: Column) -> Column:
     """Whether two digests are of one version: same, different or unknown."""
     return F.when(a.isNull() | b.isNull() | (a == "") | (b == ""), "unknown").when(a == b, "same").otherwise("different")
+
+
+def shared_terms(queries: DataFrame, docs: DataFrame, least: int = 2) -> DataFrame:
+    """(item_id, doc_id, shared): documents that hold at least ``least`` of a question's
+    terms, or all where it has fewer. One join of terms, aggregated; ``queries`` has
+    item_id and text, ``docs`` doc_id and text."""
+    asked = queries.select("item_id", X.terms(F.col("text")).alias("t")).select("item_id", F.size("t").alias("n"), F.explode("t").alias("term"))
+    held = docs.select("doc_id", X.terms(F.col("text")).alias("t")).select("doc_id", F.explode_outer("t").alias("term"))
+    met = asked.join(held, "term").groupBy("item_id", "doc_id", "n").agg(F.count(F.lit(1)).alias("shared"))
+    return met.where(F.col("shared") >= F.least(F.lit(least), F.col("n"))).select("item_id", "doc_id", "shared")

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from siftwood import streaming
 from siftwood.functions import dates, signals, urls
+from siftwood.functions import pages as page_functions
 from siftwood.functions import text as X
-from siftwood.operators import dedupe, html, menu, rank, retrieval, selectors, state
+from siftwood.operators import dedupe, html, menu, order, rank, retrieval, selectors, state
 from siftwood.sources import register, table
 from siftwood.streaming import state as stream_state
 
@@ -98,7 +99,7 @@ def blocked_hosts(spark, sf_dir):
 
 _TOK = r"list_filter(regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}]+'), lambda x: length(x) > 2)"
 _BM25 = rf"""
-WITH d AS (SELECT doc_id, len(regexp_extract_all(lower(substr(text, 1, 600)), '[\p{{L}}\p{{N}}]+')) AS len, regexp_extract_all(lower(substr(text, 1, 600)), '[\p{{L}}\p{{N}}]+') AS w FROM documents),
+WITH d AS (SELECT doc_id, len(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+')) AS len, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') AS w FROM documents),
 st AS (SELECT count(*) AS n, greatest(avg(len), 1.0) AS avg FROM d),
 t AS (SELECT doc_id, len, unnest(w) AS term FROM d),
 p AS (SELECT doc_id, len, term, count(*) AS tf FROM t WHERE length(term) > 2 GROUP BY ALL),
@@ -111,14 +112,14 @@ s AS (SELECT q.item_id AS query_id, p.doc_id, round(sum(ln(1 + (n - df + 0.5) /
 
 def _bm25(spark, sf_dir) -> DataFrame:
     asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    return rank.bm25(table(spark, sf_dir, "documents"), asked, head=rank.HEAD)
+    return rank.bm25(table(spark, sf_dir, "documents"), asked)
 
 
 @query(_BM25 + "SELECT doc_id, score FROM s WHERE query_id = (SELECT min(item_id) FROM benchmark) ORDER BY score DESC, doc_id LIMIT 20")
 def bm25_topk(spark, sf_dir):
     asked = table(spark, sf_dir, "benchmark")
     first = asked.orderBy("item_id").limit(1).select(F.col("item_id").alias("query_id"), "text")
-    return rank.bm25(table(spark, sf_dir, "documents"), first, head=rank.HEAD).select("doc_id", "score").orderBy(F.desc("score"), "doc_id").limit(20)
+    return rank.bm25(table(spark, sf_dir, "documents"), first).select("doc_id", "score").orderBy(F.desc("score"), "doc_id").limit(20)
 
 
 @query(_BM25 + ", r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS place FROM s) SELECT query_id, doc_id, score, place FROM r WHERE place <= 10")
@@ -167,7 +168,7 @@ def rrf_hybrid(spark, sf_dir):
     """Reciprocal-rank fusion of the lexical and the vector top 100."""
     by = lambda df, i, s: df.orderBy(F.desc(s), i).limit(100).withColumn("rank", F.row_number().over(Window.orderBy(F.desc(s), i))).select(F.col(i).alias("id"), "rank")
     first = table(spark, sf_dir, "benchmark").orderBy("item_id").limit(1).select(F.col("item_id").alias("query_id"), "text")
-    lexical = by(rank.bm25(table(spark, sf_dir, "documents"), first, head=rank.HEAD), "doc_id", "score")
+    lexical = by(rank.bm25(table(spark, sf_dir, "documents"), first), "doc_id", "score")
     vector = by(_similar(spark, sf_dir), "vec_id", "cosine")
     return rank.reciprocal_rank_fusion(lexical.union(vector)).withColumn("score", F.round("score", 9))
 
@@ -235,7 +236,7 @@ def query_anchors(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select("item_id", F.size(t).cast("long").alias("n_terms"), F.array_join(F.array_sort(t), " ").alias("terms"))
 
 
-@query("SELECT item_id, CASE WHEN regexp_matches(lower(text), '\\b(paper|research|study|benchmark|evaluation|arxiv)\\b') THEN 'research' WHEN regexp_matches(lower(text), '\\b(code|api|sdk|library|function|implementation|example)\\b') THEN 'code' WHEN regexp_matches(lower(text), '\\b(docs?|documentation|reference|manual|specification)\\b') THEN 'reference' WHEN regexp_matches(lower(text), '\\b(news|latest|today|release|announcement)\\b') THEN 'news' WHEN regexp_matches(lower(text), '\\b(architecture|parameter|dimension|throughput|latency|memory|version|config|specification)\\b') THEN 'factual' ELSE 'general' END AS intent FROM benchmark")
+@query("SELECT item_id, CASE WHEN regexp_matches(lower(text), '\\b(vs\\.?|versus|compare|difference between|better than)\\b') THEN 'comparison' WHEN regexp_matches(lower(text), '\\b(how to|tutorial|guide|install|configure|setup|set up)\\b') THEN 'howto' WHEN regexp_matches(lower(text), '\\b(paper|research|study|benchmark|evaluation|arxiv)\\b') THEN 'research' WHEN regexp_matches(lower(text), '\\b(code|api|sdk|library|function|implementation|example)\\b') THEN 'code' WHEN regexp_matches(lower(text), '\\b(docs?|documentation|reference|manual|specification)\\b') THEN 'reference' WHEN regexp_matches(lower(text), '\\b(news|latest|today|release|announcement)\\b') THEN 'news' WHEN regexp_matches(lower(text), '\\b(architecture|parameter|dimension|throughput|latency|memory|version|config|specification)\\b') THEN 'factual' ELSE 'general' END AS intent FROM benchmark")
 def query_intent(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select("item_id", X.intent(F.col("text")).alias("intent"))
 
@@ -243,14 +244,21 @@ def query_intent(spark, sf_dir):
 # --- menus --------------------------------------------------------------------------------------
 
 same_sql("menu_family_caps", "SELECT source, doc_id, place FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS place FROM documents) t WHERE place <= 3", "documents")
-same_sql("round_robin_interleave", "SELECT doc_id, source, turn, row_number() OVER (ORDER BY turn, source) AS position FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS turn FROM documents) t WHERE turn <= 5", "documents")
+
+@query("SELECT doc_id, source, turn, row_number() OVER (ORDER BY turn, source) AS position FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS turn FROM documents) t")
+def round_robin_interleave(spark, sf_dir):
+    """All documents in the order in which their sources take turns."""
+    turns = order.numbered_within(table(spark, sf_dir, "documents").select("doc_id", "source"), "source", [F.col("doc_id").asc()], "turn")
+    return order.numbered(turns, [F.col("turn").asc(), F.col("source").asc()])
+
+
 
 
 @query("WITH d AS (SELECT doc_id, (lang <> 'en')::INTEGER AS extra, row_number() OVER (PARTITION BY lang <> 'en' ORDER BY doc_id) AS place FROM documents) SELECT doc_id, (CASE WHEN extra = 1 THEN place * 3 ELSE place END)::DOUBLE AS major, extra AS minor FROM d")
 def supplement_splice(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "lang")
-    placed = docs.withColumn("place", F.row_number().over(Window.partitionBy(F.col("lang") != "en").orderBy("doc_id")))
-    return menu.splice(placed.where("lang = 'en'"), placed.where("lang <> 'en'")).select("doc_id", "major", "minor")
+    docs = table(spark, sf_dir, "documents").select("doc_id", (F.col("lang") != "en").alias("other"))
+    placed = order.numbered_within(docs, "other", [F.col("doc_id").asc()])
+    return menu.splice(placed.where("not other"), placed.where("other")).select("doc_id", "major", "minor")
 
 
 @query(_URL_CTE + ", s AS (SELECT page_id, regexp_replace(host, '^.*\\.(example\\.[a-z]+)$', '\\1') AS base, host, row_number() OVER (PARTITION BY host ORDER BY page_id) AS rn FROM k) SELECT page_id, host, (rn > 2)::INTEGER AS follows FROM s")
@@ -269,7 +277,17 @@ def decoy_bucket_filter(spark, sf_dir):
 
 
 same_sql("consensus_score", "SELECT text_key, engines, round(engines + 5e-1 * (variants - 1), 3) AS score FROM (SELECT md5(text) AS text_key, count(DISTINCT source) AS engines, count(DISTINCT lang) AS variants FROM documents GROUP BY md5(text)) t WHERE engines > 1", "documents")
-same_sql("preference_bands", "SELECT doc_id, CASE WHEN source IN ('src1', 'src2') THEN 0 WHEN source IN ('src0', 'src19') THEN 2 ELSE 1 END AS band, row_number() OVER (ORDER BY CASE WHEN source IN ('src1', 'src2') THEN 0 WHEN source IN ('src0', 'src19') THEN 2 ELSE 1 END, doc_id) AS position FROM documents", "documents")
+
+_BAND = "CASE WHEN source IN ('src1', 'src2') THEN 0 WHEN source IN ('src0', 'src19') THEN 2 ELSE 1 END"
+
+
+@query(f"SELECT doc_id, {_BAND} AS band, row_number() OVER (ORDER BY {_BAND}, doc_id) AS position FROM documents")
+def preference_bands(spark, sf_dir):
+    """Preferred sources first, junk last, the order kept within each."""
+    banded = table(spark, sf_dir, "documents").select("doc_id", F.expr(_BAND).alias("band"))
+    return order.numbered(banded, [F.col("band").asc(), F.col("doc_id").asc()])
+
+
 same_sql("candidate_ceiling", "SELECT text_key, first_id FROM (SELECT md5(text) AS text_key, min(doc_id) AS first_id FROM documents GROUP BY md5(text)) t ORDER BY first_id LIMIT 24", "documents")
 
 # --- pages --------------------------------------------------------------------------------------
@@ -334,17 +352,41 @@ def rolling_budget(spark, sf_dir):
 
 
 same_sql("throttle_gaps", "SELECT event_id, user_id, coalesce(ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL '1' HOUR, false) AS too_soon FROM events", "events")
-same_sql("minute_quota", "SELECT user_id, date_trunc('hour', ts) AS bucket, count(*) AS used FROM events GROUP BY user_id, date_trunc('hour', ts)", "events")
+same_sql("minute_quota", "SELECT user_id, date_trunc('minute', ts) AS bucket, count(*) AS used FROM events GROUP BY user_id, date_trunc('minute', ts)", "events")
 same_sql("cooldown_backoff", "SELECT user_id, fails, least(30 * pow(2, fails - 1), 1800) AS rest_seconds FROM (SELECT user_id, count(*) AS fails FROM events WHERE event_type = 'error' GROUP BY user_id) t", "events")
 same_sql("cache_latest_by_key", "SELECT user_id, event_type, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS rn FROM events) t WHERE rn = 1", "events")
-same_sql("cache_evict_to_budget", "SELECT doc_id, source, running FROM (SELECT doc_id, source, sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS running FROM documents) t WHERE running <= 50000", "documents")
+
+@query("SELECT doc_id, source, running FROM (SELECT doc_id, source, sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS running FROM documents) t WHERE running <= 50000")
+def cache_evict_to_budget(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars")
+    held = order.numbered_within(rows, "source", [F.col("doc_id").desc()], "place", {"running": "n_chars"})
+    return held.where("running <= 50000").select("doc_id", "source", "running")
+
+
 same_sql("corpus_retention", "SELECT event_id, user_id FROM (SELECT event_id, user_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events WHERE ts >= TIMESTAMP '2024-01-11 00:00:00') t WHERE rn <= 20", "events")
 same_sql("engine_demotion", "SELECT user_id, round(yield, 9) AS yield, n FROM (SELECT user_id, avg(CASE WHEN event_type = 'purchase' THEN 1e0 ELSE 0e0 END) AS yield, count(*) AS n FROM events GROUP BY user_id) t WHERE n >= 10 AND yield < 25e-2 * (SELECT max(y) FROM (SELECT avg(CASE WHEN event_type = 'purchase' THEN 1e0 ELSE 0e0 END) AS y FROM events GROUP BY user_id HAVING count(*) >= 10) m)", "events")
 same_sql("json_metric_rollup", "SELECT event_type, sum(CAST(get_json_object(props, '$.k') AS BIGINT)) AS k_sum, count(*) AS n FROM events GROUP BY event_type", "events", oracle="SELECT event_type, sum(CAST(json_extract_string(props, '$.k') AS BIGINT))::BIGINT AS k_sum, count(*) AS n FROM events GROUP BY event_type")
 same_sql("model_stats", "SELECT label, count(*) AS vectors, count(DISTINCT vec_id) AS sources FROM embeddings GROUP BY label", "embeddings")
 same_sql("job_state_counts", "SELECT event_type AS state, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY event_type", "events")
 same_sql("provider_outcomes", "SELECT source, bool_or(quality = 1) AS any_useful, bool_and(toxic = 1) AS all_rejected, count(*) AS n FROM documents JOIN labels ON documents.doc_id = labels.doc_id GROUP BY source", "documents", "labels")
-same_sql("coverage_ledger", "SELECT b.item_id, CASE WHEN d.n IS NULL THEN 'no_candidates' WHEN d.n > 1 THEN 'evidence_available' ELSE 'unread' END AS state, coalesce(d.n, 0) AS candidates FROM benchmark b LEFT JOIN (SELECT b2.item_id, count(*) AS n FROM benchmark b2 JOIN labels l ON l.doc_id % 40 = b2.item_id AND l.quality = 1 GROUP BY b2.item_id) d ON b.item_id = d.item_id", "benchmark", "labels")
+
+_SHARED = "WITH q AS (SELECT item_id, list_filter(list_distinct(regexp_extract_all(replace(lower(text), 'ß', 'ss'), '[\\p{L}\\p{N}_]+')), lambda x: x NOT IN (" + ", ".join(f"'{w}'" for w in X.STOP_WORDS) + ")) AS w FROM benchmark), asked AS (SELECT item_id, len(w) AS n, unnest(w) AS term FROM q), held AS (SELECT doc_id, unnest(list_filter(list_distinct(regexp_extract_all(replace(lower(text), 'ß', 'ss'), '[\\p{L}\\p{N}_]+')), lambda x: x NOT IN (" + ", ".join(f"'{w}'" for w in X.STOP_WORDS) + "))) AS term FROM documents), met AS (SELECT item_id, doc_id, n, count(*) AS shared FROM asked JOIN held USING (term) GROUP BY ALL HAVING count(*) >= least(2, n))"
+
+
+def _shared(spark, sf_dir) -> DataFrame:
+    return retrieval.shared_terms(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"))
+
+
+@query(_SHARED + ", c AS (SELECT item_id, count(*) AS candidates, bool_or(quality = 1) AS good, bool_or(quality = 0) AS bad FROM met LEFT JOIN labels USING (doc_id) GROUP BY item_id) SELECT item_id, CASE WHEN good THEN 'evidence_available' WHEN bad THEN 'read_failed' WHEN candidates > 0 THEN 'unread' ELSE 'no_candidates' END AS state, coalesce(candidates, 0) AS candidates FROM benchmark LEFT JOIN c USING (item_id)")
+def coverage_ledger(spark, sf_dir):
+    """What is known of each item's candidates, the documents that share its terms:
+    one of quality is evidence, a poor one a failed read, one without a label unread."""
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
+    found = _shared(spark, sf_dir).join(labels, "doc_id", "left").groupBy("item_id").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("quality") == 1).alias("good"), F.max(F.col("quality") == 0).alias("bad"))
+    state = F.when(F.col("good"), "evidence_available").when(F.col("bad"), "read_failed").when(F.col("n") > 0, "unread").otherwise("no_candidates")
+    return table(spark, sf_dir, "benchmark").select("item_id").join(found, "item_id", "left").select("item_id", state.alias("state"), F.coalesce("n", F.lit(0)).cast("long").alias("candidates"))
+
+
 
 
 @query("SELECT conv_id, turn, role, length(text) AS n_chars, sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING)::BIGINT AS running FROM conversations QUALIFY running <= 4000")
@@ -450,13 +492,11 @@ def representative_passages(spark, sf_dir):
     return retrieval.representative(table(spark, sf_dir, "conversations"), "conv_id", "turn", "text", 3).select("conv_id", "turn")
 
 
-@query("WITH q AS (SELECT item_id, list_filter(list_distinct(regexp_extract_all(replace(lower(text), 'ß', 'ss'), '[\\p{L}\\p{N}_]+')), lambda x: x NOT IN (" + ", ".join(f"'{w}'" for w in X.STOP_WORDS) + ")) AS w FROM benchmark), d AS (SELECT doc_id, doc_id % (SELECT count(*) FROM benchmark) AS item_id, list_distinct(regexp_extract_all(replace(lower(text), 'ß', 'ss'), '[\\p{L}\\p{N}_]+')) AS w FROM documents) SELECT doc_id, CASE WHEN len(q.w) > 0 AND len(list_intersect(q.w, d.w)) >= least(2, len(q.w)) THEN 'query_terms' ELSE 'unconfirmed' END AS support FROM d JOIN q USING (item_id)")
+@query(_SHARED + " SELECT item_id, doc_id, shared FROM met WHERE shared >= 0.5 * n")
 def support_status(spark, sf_dir):
-    """Support of each document for the benchmark item that its id falls to."""
-    items = table(spark, sf_dir, "benchmark").select(F.col("item_id"), X.terms(F.col("text")).alias("asked"))
-    n = items.count()
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.pmod("doc_id", F.lit(n)).alias("item_id"), "text")
-    return docs.join(items, "item_id").select("doc_id", retrieval.support(F.array(F.lit("minilm")), F.col("asked"), F.col("text")).alias("support"))
+    """Documents that hold at least half of an item's terms, of all pairs that share two."""
+    asked = table(spark, sf_dir, "benchmark").select("item_id", F.size(X.terms(F.col("text"))).alias("n"))
+    return _shared(spark, sf_dir).join(asked, "item_id").where(F.col("shared") >= 0.5 * F.col("n")).select("item_id", "doc_id", "shared")
 
 
 @query()
@@ -483,28 +523,56 @@ def latest_version_per_host(spark, sf_dir):
     return state.latest(counted, ["host"], [F.desc("page_id")]).select("host", "page_id", "versions")
 
 
-@query(_URL_CTE + "SELECT k.page_id, coalesce(d.lang, 'unread') AS read_as, k.host FROM k LEFT JOIN (SELECT doc_id AS page_id, lang FROM documents WHERE doc_id % 3 = 0) d USING (page_id)")
+@query(_URL_CTE + "SELECT k.page_id, coalesce(d.lang, 'unread') AS read_as, k.host FROM k LEFT JOIN (SELECT doc_id AS page_id, lang FROM documents WHERE lang <> 'en') d USING (page_id)")
 def search_and_read(spark, sf_dir):
     """Pages with what was read of them, where something was."""
     found = table(spark, sf_dir, "pages").select("page_id", F.lit("unread").alias("read_as"), urls.host(F.col("url")).alias("host"))
-    read = table(spark, sf_dir, "documents").where("doc_id % 3 = 0").select(F.col("doc_id").alias("page_id"), F.col("lang").alias("read_as"))
+    read = table(spark, sf_dir, "documents").where("lang <> 'en'").select(F.col("doc_id").alias("page_id"), F.col("lang").alias("read_as"))
     return retrieval.merge_read(found, read, "page_id", ["read_as"])
 
 
 same_sql("changed_and_stale", "SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, CASE WHEN a.doc_id IS NULL THEN 'new' WHEN b.doc_id IS NULL THEN 'stale' WHEN a.h = b.h THEN 'same' ELSE 'changed' END AS state FROM (SELECT doc_id, md5(text) AS h FROM documents WHERE doc_id % 5 <> 0) a FULL OUTER JOIN (SELECT doc_id, md5(CASE WHEN doc_id % 7 = 0 THEN concat(text, '.') ELSE text END) AS h FROM documents WHERE doc_id % 4 <> 0) b ON a.doc_id = b.doc_id", "documents")
 same_sql("model_gaps", "SELECT DISTINCT e.label FROM embeddings e WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = e.vec_id AND l.quality = 1) AND e.label >= 0", "embeddings", "labels")
 same_sql("keyset_page", "SELECT doc_id, lang FROM documents WHERE doc_id > 100 ORDER BY doc_id LIMIT 50", "documents")
-same_sql("retry_failed_items", "SELECT event_id, row_number() OVER (ORDER BY event_id) AS place FROM events WHERE event_type = 'error'", "events")
+
+@query("SELECT event_id, row_number() OVER (ORDER BY event_id) AS place FROM events WHERE event_type = 'error'")
+def retry_failed_items(spark, sf_dir):
+    failed = table(spark, sf_dir, "events").where("event_type = 'error'").select("event_id")
+    return order.numbered(failed, [F.col("event_id").asc()], "place")
+
+
 same_sql("fan_back_by_key", "SELECT o.o_orderkey, f.first_key FROM orders o JOIN (SELECT o_custkey, min(o_orderkey) AS first_key FROM orders GROUP BY o_custkey) f ON o.o_custkey = f.o_custkey", "orders")
 same_sql("capacity_by_namespace", "SELECT user_id, count(*) AS active, count(*) >= 2 AS at_capacity FROM events WHERE event_type = 'signup' GROUP BY user_id", "events")
 same_sql("health_verdict", "SELECT CASE WHEN bool_and(share < 0.5) THEN 'ok' WHEN bool_or(share < 0.5) THEN 'degraded' ELSE 'down' END AS verdict FROM (SELECT user_id, avg(CASE WHEN event_type = 'error' THEN 1e0 ELSE 0e0 END) AS share FROM events GROUP BY user_id) t", "events")
 same_sql("observation_freshness", "SELECT user_id, CASE WHEN max(ts) >= TIMESTAMP '2024-01-29 23:00:00' THEN 'current' WHEN max(ts) >= TIMESTAMP '2024-01-28 00:00:00' THEN 'stale' ELSE 'unknown' END AS freshness FROM events GROUP BY user_id", "events")
 same_sql("byte_totals", "SELECT source, sum(octet_length(text)) AS bytes FROM documents GROUP BY source", "documents", oracle="SELECT source, sum(strlen(text))::BIGINT AS bytes FROM documents GROUP BY source")
 same_sql("domain_stats_worst", "SELECT user_id, round(avg(CASE WHEN event_type = 'error' THEN 0e0 ELSE 1e0 END), 9) AS success, count(*) AS n FROM events GROUP BY user_id ORDER BY success, user_id LIMIT 20", "events")
-same_sql("garbage_text_layer", "SELECT doc_id, length(text) - length(replace(text, '%%%', '')) >= 30 AS garbage FROM documents", "documents")
-same_sql("order_for_reading", "SELECT doc_id, row_number() OVER (ORDER BY CASE WHEN quality = 0 THEN 1 ELSE 0 END, doc_id) AS position FROM labels", "labels")
+
+@query(r"WITH p AS (SELECT page_id, regexp_replace(html, '%%%', '(cid:' || page_id || ')', 'g') AS t FROM pages), m AS (SELECT page_id, t, regexp_extract_all(t, '(?i)\(cid:\d+\)') AS marks FROM p) SELECT page_id, len(marks) >= 10 OR (len(marks) >= 3 AND length(array_to_string(marks, '')) >= 0.02 * length(t)) AS garbage FROM m")
+def garbage_text_layer(spark, sf_dir):
+    """Pages whose noise signs stand for glyph numbers of a broken text layer."""
+    marked = F.replace(F.col("html"), F.lit("%%%"), F.concat(F.lit("(cid:"), F.col("page_id").cast("string"), F.lit(")")))
+    return table(spark, sf_dir, "pages").select("page_id", page_functions.garbage_layer(marked).alias("garbage"))
+
+
+
+@query("SELECT doc_id, row_number() OVER (ORDER BY CASE WHEN quality = 0 THEN 1 ELSE 0 END, doc_id) AS position FROM labels")
+def order_for_reading(spark, sf_dir):
+    """Poor documents last, the order kept."""
+    rows = table(spark, sf_dir, "labels").select("doc_id", F.when(F.col("quality") == 0, 1).otherwise(0).alias("poor"))
+    return order.numbered(rows, [F.col("poor").asc(), F.col("doc_id").asc()]).drop("poor")
+
+
 same_sql("join_theta", "SELECT a.n_nationkey AS a, b.n_nationkey AS b FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey", "nation")
-same_sql("exists_newer_version", "SELECT o_orderkey FROM orders a WHERE EXISTS (SELECT 1 FROM orders b WHERE b.o_custkey = a.o_custkey AND b.o_orderdate > a.o_orderdate)", "orders")
+
+@query("SELECT o_orderkey FROM orders a WHERE EXISTS (SELECT 1 FROM orders b WHERE b.o_custkey = a.o_custkey AND b.o_orderdate > a.o_orderdate)")
+def exists_newer_version(spark, sf_dir):
+    """Orders that aren't their customer's last: a later one exists where the last is later."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    last = orders.groupBy("o_custkey").agg(F.max("o_orderdate").alias("last"))
+    return orders.join(last, "o_custkey").where("o_orderdate < last").select("o_orderkey")
+
+
 same_sql("reading_gap", "SELECT doc_id, CASE WHEN length(text) = 0 THEN 'empty' WHEN length(text) < 350 THEN 'thin' WHEN length(text) < 600 THEN 'short' ELSE 'ok' END AS gap FROM documents", "documents")
 same_sql("csv_safe_cells", "SELECT doc_id, CASE WHEN regexp_like(ltrim(text), '^[=+@-]') THEN 1 ELSE 0 END AS escaped FROM documents", "documents", oracle="SELECT doc_id, CASE WHEN regexp_matches(ltrim(text), '^[=+@-]') THEN 1 ELSE 0 END AS escaped FROM documents")
 
@@ -513,7 +581,7 @@ same_sql("csv_safe_cells", "SELECT doc_id, CASE WHEN regexp_like(ltrim(text), '^
 def stream_first_seen(spark, sf_dir):
     """Each user and event type once within the watermark's delay."""
     rows = streaming.first_seen(streaming.events(spark, f"{sf_dir}/events*.parquet", "40 days"))
-    return streaming.drained(spark, rows.select("user_id", "event_type"), "stream_first_seen", "append")
+    return streaming.drained(spark, rows.select("user_id", "event_type"), "stream_first_seen", "append").select("user_id", "event_type")
 
 
 @query()
@@ -525,7 +593,7 @@ def selector_fields(spark, sf_dir):
 @query("WITH s AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events) SELECT event_type, round(sum(value * pow(0.9, n - i) * CASE WHEN i = 1 THEN 1.0 ELSE 0.1 END), 6) AS average, count(*) AS n FROM s GROUP BY event_type")
 def stream_moving_average(spark, sf_dir):
     """The moving average as a stream keeps it: the last row of each key."""
-    rows = stream_state.moving_averages(streaming.events(spark, f"{sf_dir}/events*.parquet"), "event_type", "value", "ts")
+    rows = stream_state.moving_averages(streaming.events(spark, f"{sf_dir}/events*.parquet"), "event_type", "value", ["ts", "event_id"])
     told = streaming.drained(spark, rows, "stream_averages", "update")
     return state.latest(told, ["event_type"], [F.desc("n")]).select("event_type", F.round("average", 6).alias("average"), "n")
 
@@ -534,5 +602,5 @@ def stream_moving_average(spark, sf_dir):
 def stream_cooldowns(spark, sf_dir):
     """Failures in a row and the rest they ask for, as a stream keeps them."""
     rows = streaming.events(spark, f"{sf_dir}/events*.parquet").withColumn("failed", F.col("event_type") == "error")
-    told = streaming.drained(spark, stream_state.cooldowns(rows, "user_id", "ts", "failed"), "stream_cooldowns", "update")
-    return told.select("user_id", "streak", "rest_seconds")
+    told = streaming.drained(spark, stream_state.cooldowns(rows, "user_id", ["ts", "event_id"], "failed"), "stream_cooldowns", "update")
+    return state.latest(told, ["user_id"], [F.desc("batch")]).select("user_id", "streak", "rest_seconds")

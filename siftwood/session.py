@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,10 +23,21 @@ def session(master: str = "local[*]", partitions: int = 8, **more: str) -> Spark
     return builder.getOrCreate()
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written once to the folder in ``spark.checkpoint.dir`` (a temporary
-    one only where that is unset), its lineage cut."""
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: that of ``spark.checkpoint.dir``; a
+    temporary one is made only where Spark runs in this machine alone."""
+    sc = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not found:
+        if not re.fullmatch(r"local(\[[^,\]]*(,[^\]]*)?\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        found = f"file://{tempfile.mkdtemp(prefix='siftwood-')}"
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='siftwood-')}")
+        sc.setCheckpointDir(found)
+    return found.rstrip("/")
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` written once to the shared folder, its lineage cut."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()

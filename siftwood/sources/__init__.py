@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from siftwood.functions.dates import parse_date
 from siftwood.functions.text import csv_cell
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
@@ -27,10 +28,11 @@ def manifest(spark: SparkSession, path: str) -> DataFrame:
 
 
 def feed(spark: SparkSession, path: str, most: int = 60) -> DataFrame:
-    """Items of RSS files, newest first, undated last."""
-    items = spark.read.format("xml").option("rowTag", "item").schema("title string, link string, description string, pubDate string").load(path)
-    when = F.try_to_timestamp(F.regexp_replace("pubDate", r"^[A-Za-z]{3},\s*", ""), F.lit("d MMM yyyy HH:mm:ss Z"))
-    return items.withColumn("published", when).orderBy(F.desc_nulls_last("published"), "link").limit(most)
+    """Items of RSS and Atom files, newest first, undated last."""
+    rss = spark.read.format("xml").option("rowTag", "item").schema("title string, link string, description string, pubDate string").load(path)
+    atom = spark.read.format("xml").option("rowTag", "entry").schema("title string, link struct<_href:string>, summary string, published string, updated string").load(path)
+    items = rss.select("title", "link", F.col("description").alias("summary"), F.col("pubDate").alias("dated")).union(atom.select("title", "link._href", "summary", F.coalesce("published", "updated")))
+    return items.withColumn("published", parse_date(F.col("dated"))).drop("dated").orderBy(F.desc_nulls_last("published"), "link").limit(most)
 
 
 def blocklist(spark: SparkSession, path: str) -> DataFrame:
@@ -56,9 +58,7 @@ def write_csv(df: DataFrame, path: str) -> None:
 def upsert(spark: SparkSession, path: str, rows: DataFrame, key: list[str], order: list) -> DataFrame:
     """What a keyed table holds after ``rows``: the last version of each key. The
     caller writes it to a new folder and then points readers at that one."""
-    try:
-        had = spark.read.schema(rows.schema).parquet(path)
-    except Exception:  # no table yet
-        had = rows.limit(0)
-    both = had.unionByName(rows)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there = place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+    both = spark.read.schema(rows.schema).parquet(path).unionByName(rows) if there else rows
     return both.withColumn("_rn", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where("_rn = 1").drop("_rn")

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from siftwood.session import shared_folder
+
 EVENTS = T.StructType([T.StructField("event_id", T.LongType()), T.StructField("ts", T.TimestampNTZType()), T.StructField("user_id", T.LongType()), T.StructField("event_type", T.StringType()), T.StructField("value", T.DoubleType()), T.StructField("props", T.StringType())])
 
 
@@ -33,7 +37,23 @@ def first_seen(rows: DataFrame) -> DataFrame:
 
 
 def drained(spark: SparkSession, rows: DataFrame, name: str, mode: str = "complete") -> DataFrame:
-    """Runs a stream over what is there and returns the result as a batch table."""
-    query = rows.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    """Runs a stream over what is there and returns the result as a batch table.
+
+    Each micro-batch is written to the shared folder (by number, so a replayed one
+    replaces what it wrote; with a complete mode the last stands for all), where the
+    stream's state is kept as well; no row passes the driver. Results in update mode
+    have the number of their batch in ``batch``.
+    """
+    folder = f"{shared_folder(spark)}/stream-{name}-{uuid.uuid4().hex}"
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/rows" if mode == "complete" else f"{folder}/rows/batch={number}")
+
+    query = rows.writeStream.foreachBatch(put).outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.table(name)
+    place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.deleteOnExit(place)
+    if not fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/rows")):
+        return spark.createDataFrame([], rows.schema if mode == "complete" else T.StructType([*rows.schema.fields, T.StructField("batch", T.IntegerType())]))
+    return spark.read.parquet(f"{folder}/rows")

@@ -12,7 +12,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 KEEP, HALF_LIFE_DAYS, STREAK_CAP = 0.9, 14.0, 3600
 
 
-def moving_averages(events: DataFrame, key: str, value: str, order: str) -> DataFrame:
+def moving_averages(events: DataFrame, key: str, value: str, order: list[str]) -> DataFrame:
     """Moving average of each key, events of a micro-batch taken in order; emits
     (key, average, n) for the keys that a batch touches."""
 
@@ -29,7 +29,7 @@ def moving_averages(events: DataFrame, key: str, value: str, order: str) -> Data
     return events.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, average double, n long", "average double, n long", "update", GroupStateTimeout.NoTimeout)
 
 
-def cooldowns(events: DataFrame, key: str, order: str, failed: str, first: int = 300, most: int = STREAK_CAP) -> DataFrame:
+def cooldowns(events: DataFrame, key: str, order: list[str], failed: str, first: int = 300, most: int = STREAK_CAP) -> DataFrame:
     """Failures in a row of each key and how long it rests: ``first`` seconds,
     doubled with every further failure, at most ``most``; an answer resets it."""
 

@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from siftwood.plans import catalogue
+from siftwood.plans import evidence as catalogue
 
 SF = "/root/testdata/sf0.001"
 
