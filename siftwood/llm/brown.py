@@ -33,11 +33,12 @@ from pyspark.sql import functions as F
 from .common import checkpointed, collected, dealt_by, drop_stored, map_arrow, parts, stored
 
 CLASSES, FOLDS = 64, 10
-#: Sweeps end when one raises the likelihood by less than this share of the rise so far, or after so many.
-SETTLED, SWEEPS = 0.01, 16
+#: Sweeps end when a pair of them (even and odd words) raises the likelihood by less than this
+#: share of all it has moved by, or after so many.
+SETTLED, SWEEPS = 0.02, 16
 END, REST = 0, CLASSES - 1
 #: Tokens or distinct words after which a block is closed, and asked words of one reducing task.
-BLOCK_TOKENS, BLOCK_WORDS, TASK_WORDS = 1_000_000, 60_000, 400_000
+BLOCK_TOKENS, BLOCK_WORDS, TASK_WORDS = 1_000_000, 60_000, 300_000
 #: Counts up to which gains are looked up, and distinct words that are moved at a time.
 SMALL, CHUNK = 48, 1024
 
@@ -51,14 +52,36 @@ def part_of(wids: np.ndarray, n: int) -> np.ndarray:
     return (((wids >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)).astype(np.int32)
 
 
+def word_part(wids: np.ndarray, n: int) -> np.ndarray:
+    """The part of ``2 n`` that a word is in; words of even and odd parts move in turns."""
+    return part_of(wids, n) * 2 + ((wids >> np.uint64(7)) & np.uint64(1)).astype(np.int32)
+
+
 def dealt(wids: np.ndarray, n: int) -> list[tuple[int, np.ndarray]]:
     """(part, numbers of the words in it, in order) for each part that has words."""
-    part = part_of(wids, n)
+    part = word_part(wids, n)
     order = np.argsort(part, kind="stable")
     cuts = np.flatnonzero(np.diff(part[order])) + 1
     return [(int(part[x[0]]), x) for x in np.split(order, cuts)] if len(wids) else []
 
 
+def by_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of each part, of batches in order of part (their second column)."""
+    held: list[pa.RecordBatch] = []
+    now = None
+    for batch in batches:
+        marks = batch.column(1).to_numpy()
+        cuts = [0, *(np.flatnonzero(marks[1:] != marks[:-1]) + 1).tolist(), len(marks)] if len(marks) else []
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            if held and marks[a] != now:
+                yield pa.Table.from_batches(held)
+                held = []
+            now = marks[a]
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 BLOCKS = "block long, n_train long, n_words long, doc_ids array<long>, lengths array<int>, held array<boolean>, ids binary, wids binary, words binary, counts binary"
 
 
@@ -120,28 +143,29 @@ def word_counts(cut: DataFrame, reducers: int) -> DataFrame:
                 out = dealt(np.frombuffer(wids, np.uint64), reducers)
                 yield pa.RecordBatch.from_arrays([pa.array([block] * len(out), pa.int64()), pa.array([p for p, _ in out], pa.int32()), pa.array([b" ".join([words[j] for j in x]) for _, x in out], pa.binary()), pa.array([counts[x].tobytes() for _, x in out], pa.binary())], ["block", "part", "words", "counts"])
 
+    schema = pa.schema([("block", pa.int64()), ("part", pa.int32()), ("counts", pa.binary()), ("v", pa.int64()), ("n1", pa.int64()), ("n2", pa.int64()), ("lead", pa.list_(pa.struct([("wid", pa.int64()), ("n", pa.int64())])))])
+
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names: dict = defaultdict(count().__next__)
-        asked = []
-        for batch in batches:
-            for block, part, words, counts in zip(*batch.columns, strict=True):
+        for held in by_part(batches):
+            names: dict = defaultdict(count().__next__)
+            asked = []
+            for block, words, counts in zip(held.column("block"), held.column("words"), held.column("counts"), strict=True):
                 own = words.as_py().split()
-                asked.append((block.as_py(), part.as_py(), np.fromiter(map(names.__getitem__, own), dtype=np.int32, count=len(own)), np.frombuffer(counts.as_py(), "<u4")))
-        total = np.zeros(len(names), dtype=np.int64)
-        for _, _, own, counts in asked:
-            total[own] += counts
-        schema = pa.schema([("block", pa.int64()), ("part", pa.int32()), ("counts", pa.binary()), ("v", pa.int64()), ("n1", pa.int64()), ("n2", pa.int64()), ("lead", pa.list_(pa.struct([("wid", pa.int64()), ("n", pa.int64())])))])
-        for block, part, own, _ in asked:
-            yield pa.RecordBatch.from_pylist([{"block": block, "part": part, "counts": total[own].tobytes(), "v": 0, "n1": 0, "n2": 0, "lead": None}], schema)
-        if asked:
+                asked.append((block.as_py(), np.fromiter(map(names.__getitem__, own), dtype=np.int32, count=len(own)), np.frombuffer(counts.as_buffer(), "<u4")))
+            total = np.zeros(len(names), dtype=np.int64)
+            for _, own, counts in asked:
+                total[own] += counts
+            part = held.column("part")[0].as_py()
+            for block, own, _ in asked:
+                yield pa.RecordBatch.from_pylist([{"block": block, "part": part, "counts": total[own].tobytes(), "v": 0, "n1": 0, "n2": 0, "lead": None}], schema)
             at = np.argsort(-total, kind="stable")[: 4 * CLASSES]
             listed = list(names)
             found = sorted((-int(total[i]), int(np.uint64(xxhash.xxh64_intdigest(listed[i])).view(np.int64))) for i in at.tolist() if total[i])
             lead = [{"wid": wid, "n": -n} for n, wid in found[:CLASSES]]
-            yield pa.RecordBatch.from_pylist([{"block": None, "part": asked[0][1], "counts": None, "v": int((total > 0).sum()), "n1": int((total == 1).sum()), "n2": int((total == 2).sum()), "lead": lead}], schema)
+            yield pa.RecordBatch.from_pylist([{"block": None, "part": part, "counts": None, "v": int((total > 0).sum()), "n1": int((total == 1).sum()), "n2": int((total == 2).sum()), "lead": lead}], schema)
 
     asks = map_arrow(cut.select("block", "wids", "words", "counts"), ask, "block long, part int, words binary, counts binary")
-    return map_arrow(asks.repartition(reducers, "part"), answer, "block long, part int, counts binary, v long, n1 long, n2 long, lead array<struct<wid:long,n:long>>")
+    return map_arrow(asks.repartition(2 * reducers, "part").sortWithinPartitions("part"), answer, "block long, part int, counts binary, v long, n1 long, n2 long, lead array<struct<wid:long,n:long>>")
 
 
 class Block:
@@ -166,9 +190,10 @@ class Block:
 HEAVY = ("block", "doc_ids", "lengths", "held", "ids", "wids")
 
 
-def with_classes(base: DataFrame, answers: DataFrame | None, leads: np.ndarray, reducers: int, f: Callable[[Block, np.ndarray], pa.Table], schema: str) -> DataFrame:
+def with_classes(base: DataFrame, answers: list[DataFrame] | None, leads: np.ndarray, reducers: int, f: Callable[[Block, np.ndarray], pa.Table], schema: str) -> DataFrame:
     """``f`` of every block and the classes of its local words: the first ones, in
-    which each of the ``leads`` has its own and all others one, or those answered."""
+    which each of the ``leads`` has its own and all others one, or those answered,
+    to words of even and odd parts."""
     if answers is None:
         order = np.argsort(leads)
 
@@ -195,11 +220,11 @@ def with_classes(base: DataFrame, answers: DataFrame | None, leads: np.ndarray,
             cls[x + 1] = np.frombuffer(told[p].as_buffer(), np.uint8)
         return f(block, cls)
 
-    told = answers.where("block is not null").select("block", "part", "classes")
+    told = answers[0].union(answers[1]).where("block is not null").select("block", "part", "classes")
     return base.select(*HEAVY).groupBy("block").cogroup(told.groupBy("block")).applyInArrow(met, schema)
 
 
-def bigrams(base: DataFrame, answers: DataFrame | None, leads: np.ndarray, reducers: int) -> np.ndarray:
+def bigrams(base: DataFrame, answers: list[DataFrame] | None, leads: np.ndarray, reducers: int) -> np.ndarray:
     """Class bigrams of all training tokens."""
 
     def tally(block: Block, cls: np.ndarray) -> pa.Table:
@@ -245,7 +270,7 @@ class Exchange:
         self.m = np.concatenate([m, m.T])  # code x class of the word
         self.rows, self.cols = m.sum(axis=1), m.sum(axis=0)
         n = np.arange(SMALL + 1, dtype=float)
-        self.table = gain(self.m[:, None, :] + n[None, :, None]) - gain(self.m)[:, None, :]
+        self.table = (gain(self.m[:, None, :] + n[None, :, None]) - gain(self.m)[:, None, :]).astype(np.float32)
         self.row_table = gain(self.rows[None] + n[:, None]) - gain(self.rows)[None]
         self.col_table = gain(self.cols[None] + n[:, None]) - gain(self.cols)[None]
 
@@ -262,7 +287,7 @@ class Exchange:
         large = np.flatnonzero(n > SMALL)
         base = self.m[code[large]]
         worth[large] = gain(base + n[large, None]) - gain(base)
-        score = np.add.reduceat(worth, starts, axis=0)
+        score = np.add.reduceat(worth, starts, axis=0).astype(float)
         left = np.add.reduceat(np.where(code < CLASSES, n, 0), starts)
         right = np.add.reduceat(np.where(code >= CLASSES, n, 0), starts)
         score -= self._looked(self.row_table, self.rows, right) + self._looked(self.col_table, self.cols, left)
@@ -276,59 +301,62 @@ class Exchange:
         return np.where(score[i, found] > stay + 1e-9, found, own).astype(np.uint8)
 
 
-def sweep(base: DataFrame, answers: DataFrame | None, leads: np.ndarray, reducers: int, m: np.ndarray, turn: int) -> DataFrame:
-    """Answers (block, part, classes) after one exchange of every word, and from
-    each reducer the number of its words in each class (block null).
+def sweep(base: DataFrame, answers: list[DataFrame] | None, leads: np.ndarray, reducers: int, m: np.ndarray, turn: int) -> list[DataFrame]:
+    """Answers (block, part, classes) to words of even and of odd parts after an
+    exchange, and from each reducer the number of its words in each class (block null).
 
-    Words move at once, so after the first sweep half of them do, by hash and turn.
+    Words move at once, so after the first sweep those of even and odd parts move
+    in turns; only they are asked for.
     """
+    moving = None if turn == 0 else turn % 2
 
     def ask(block: Block, cls: np.ndarray) -> pa.Table:
         now, before = block.training()
-        n_words = len(block.wids)
-        codes = np.concatenate([now.astype(np.int64) * 2 * CLASSES + cls[before], before.astype(np.int64) * 2 * CLASSES + CLASSES + cls[now]])
-        if n_words < 65_535:
-            every = np.bincount(codes, minlength=(n_words + 1) * 2 * CLASSES)
-            every[: 2 * CLASSES] = 0  # the end token isn't moved
+        part = word_part(block.wids, reducers)
+        which = np.arange(len(part)) if moving is None else np.flatnonzero(part % 2 == moving)
+        which = which[np.argsort(part[which], kind="stable")]
+        # the words that move are numbered in order of part; the end token isn't moved
+        place = np.full(len(part) + 1, -1, dtype=np.int64)
+        place[which + 1] = np.arange(len(which))
+        a, b = place[now], place[before]
+        own, ahead = a >= 0, b >= 0
+        codes = np.concatenate([a[own] * (2 * CLASSES) + cls[before[own]], b[ahead] * (2 * CLASSES) + CLASSES + cls[now[ahead]]])
+        if len(which) < 65_535:
+            every = np.bincount(codes, minlength=len(which) * 2 * CLASSES)
             codes = np.flatnonzero(every)
-            n = every[codes]
+            n = every[codes].astype("<u4")
+            del every
         else:
-            codes, n = np.unique(codes[codes >= 2 * CLASSES], return_counts=True)
-        lo = np.searchsorted(codes, np.arange(1, n_words + 2) * 2 * CLASSES)
-        part = part_of(block.wids, reducers)
-        order = np.argsort(part, kind="stable")
-        each = np.diff(lo)[order]
-        ends = np.cumsum(each)
-        take = np.repeat(lo[:-1][order] - (ends - each), each) + np.arange(int(ends[-1]) if len(ends) else 0)
-        code, n = (codes[take] % (2 * CLASSES)).astype(np.uint8), n[take].astype("<u4")
-        wids, own, part, each = block.wids[order], cls[1:][order], part[order], each.astype(np.uint8)
-        cuts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if n_words else np.zeros(0, dtype=np.int64)
-        spans = list(zip(cuts.tolist(), [*cuts[1:].tolist(), n_words], strict=False))
-        entry = np.concatenate([[0], ends])
+            codes, n = np.unique(codes, return_counts=True)
+            n = n.astype("<u4")
+        entry = np.searchsorted(codes, np.arange(len(which) + 1) * 2 * CLASSES)
+        each, code = np.diff(entry).astype(np.uint8), (codes % (2 * CLASSES)).astype(np.uint8)
+        wids, classes, part = block.wids[which], cls[1:][which], part[which]
+        cuts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(which) else np.zeros(0, dtype=np.int64)
+        spans = list(zip(cuts.tolist(), [*cuts[1:].tolist(), len(which)], strict=False))
         return pa.table(
             [
                 pa.array([block.number] * len(spans), pa.int64()),
-                pa.array([int(part[a]) for a, _ in spans], pa.int32()),
-                pa.array([wids[a:b].tobytes() for a, b in spans], pa.binary()),
-                pa.array([own[a:b].tobytes() for a, b in spans], pa.binary()),
-                pa.array([each[a:b].tobytes() for a, b in spans], pa.binary()),
-                pa.array([code[entry[a] : entry[b]].tobytes() for a, b in spans], pa.binary()),
-                pa.array([n[entry[a] : entry[b]].tobytes() for a, b in spans], pa.binary()),
+                pa.array([int(part[x]) for x, _ in spans], pa.int32()),
+                pa.array([wids[x:y].tobytes() for x, y in spans], pa.binary()),
+                pa.array([classes[x:y].tobytes() for x, y in spans], pa.binary()),
+                pa.array([each[x:y].tobytes() for x, y in spans], pa.binary()),
+                pa.array([code[entry[x] : entry[y]].tobytes() for x, y in spans], pa.binary()),
+                pa.array([n[entry[x] : entry[y]].tobytes() for x, y in spans], pa.binary()),
             ],
             names=["block", "part", "wids", "own", "each", "codes", "counts"],
         )
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [b for b in batches if b.num_rows]
-        if not got:
-            return
-        held = pa.Table.from_batches(got)
+        exchange = Exchange(m)
+        for held in by_part(batches):
+            yield from answered(held, exchange)
+
+    def answered(held: pa.Table, exchange: Exchange) -> Iterator[pa.RecordBatch]:
         flat = lambda c, kind: np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in held.column(c)])
-        wids, first = flat("wids", np.uint64), flat("own", np.uint8)
-        words, place = np.unique(wids, return_inverse=True)
-        del wids
+        words, place = np.unique(flat("wids", np.uint64), return_inverse=True)
         own = np.zeros(len(words), dtype=np.int64)
-        own[place] = first
+        own[place] = flat("own", np.uint8)
         key = np.repeat(place, flat("each", np.uint8)) * (2 * CLASSES) + flat("codes", np.uint8)
         order = np.argsort(key)
         key, n = key[order], flat("counts", "<u4")[order].astype(np.int64)
@@ -343,26 +371,25 @@ def sweep(base: DataFrame, answers: DataFrame | None, leads: np.ndarray, reducer
             listed = word[starts]
             known[listed] = True
             ends = np.append(starts[1:], len(word))
-            exchange = Exchange(m)
             for at in range(0, len(starts), CHUNK):
                 lo, hi = starts[at], ends[min(at + CHUNK, len(starts)) - 1]
                 new[listed[at : at + CHUNK]] = exchange.best(starts[at : at + CHUNK] - lo, code[lo:hi], n[lo:hi], own[listed[at : at + CHUNK]])
-        if turn:
-            stays = ((words >> np.uint64(7)) & np.uint64(1)) == turn % 2
-            new[stays] = own[stays]
-        at = 0
-        for i in range(held.num_rows):
-            size = held.column("own")[i].as_buffer().size
-            yield pa.RecordBatch.from_arrays([pa.array([held.column("block")[i].as_py()], pa.int64()), pa.array([held.column("part")[i].as_py()], pa.int32()), pa.array([new[place[at : at + size]].tobytes()], pa.binary())], ["block", "part", "classes"])
+        at, part = 0, held.column("part")[0].as_py()
+        for block, blob in zip(held.column("block"), held.column("own"), strict=True):
+            size = blob.as_buffer().size
+            yield pa.RecordBatch.from_arrays([pa.array([block.as_py()], pa.int64()), pa.array([part], pa.int32()), pa.array([new[place[at : at + size]].tobytes()], pa.binary())], ["block", "part", "classes"])
             at += size
         sizes = np.bincount(new[known], minlength=CLASSES).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([held.column("part")[0].as_py()], pa.int32()), pa.array([sizes.tobytes()], pa.binary())], ["block", "part", "classes"])
+        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([part], pa.int32()), pa.array([sizes.tobytes()], pa.binary())], ["block", "part", "classes"])
 
     asks = with_classes(base, answers, leads, reducers, ask, "block long, part int, wids binary, own binary, each binary, codes binary, counts binary")
-    return checkpointed(map_arrow(asks.repartition(reducers, "part"), answer, "block long, part int, classes binary"))
+    told = checkpointed(map_arrow(asks.repartition(2 * reducers, "part").sortWithinPartitions("part"), answer, "block long, part int, classes binary"))
+    if moving is None:
+        return [told.where("part % 2 = 0"), told.where("part % 2 = 1")]
+    return [told, answers[1]] if moving == 0 else [answers[0], told]
 
 
-def cluster(base: DataFrame, leads: np.ndarray, reducers: int, sweeps: int) -> tuple[DataFrame | None, np.ndarray, list[float]]:
+def cluster(base: DataFrame, leads: np.ndarray, reducers: int, sweeps: int) -> tuple[list[DataFrame] | None, np.ndarray, list[float]]:
     """Answers with the classes of the most likely sweep, their bigrams, and the
     likelihood after each sweep."""
     answers, best, history = None, None, []
@@ -371,8 +398,8 @@ def cluster(base: DataFrame, leads: np.ndarray, reducers: int, sweeps: int) -> t
         history.append(likelihood(m))
         if best is None or history[-1] > best[0]:
             best = history[-1], answers, m
-        risen = best[0] - history[0]
-        if turn == sweeps or turn > 2 and history[-1] - history[-3] < SETTLED * risen or turn > 1 and risen <= 0:
+        span = max(history) - min(history)
+        if turn == sweeps or turn > 3 and history[-1] - history[-3] <= SETTLED * span:
             break
         answers = sweep(base, answers, leads, reducers, m, turn)
     return best[1], best[2], history
@@ -422,7 +449,7 @@ def discount(n1: int, n2: int) -> float:
     return min(0.9, max(0.1, n1 / (n1 + 2 * n2) if n1 else 0.1))
 
 
-def _class_words(answers: DataFrame | None, leads: np.ndarray, v: int) -> np.ndarray:
+def _class_words(answers: list[DataFrame] | None, leads: np.ndarray, v: int) -> np.ndarray:
     """Distinct training words of each class, the end token aside."""
     out = np.zeros(CLASSES)
     if answers is None:
@@ -437,7 +464,7 @@ def _class_words(answers: DataFrame | None, leads: np.ndarray, v: int) -> np.nda
                 total += np.frombuffer(x.as_buffer(), np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(CLASSES)), pa.array(total)], ["i", "n"])
 
-    for row in map_arrow(answers.where("block is null").select("classes"), add, "i long, n long").groupBy("i").agg(F.sum("n").alias("n")).collect():
+    for row in map_arrow(answers[0].union(answers[1]).where("block is null").select("classes"), add, "i long, n long").groupBy("i").agg(F.sum("n").alias("n")).collect():
         out[row["i"]] = row["n"]
     return out
 
@@ -458,7 +485,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sweep
     cut = stored(blocks(docs, id_col, text_col))
     sums = cut.agg(F.sum("n_train").alias("n"), F.sum("n_words").alias("words"), F.sum(F.size(F.filter("held", lambda x: ~x))).alias("ends")).first()
     total, ends = int(sums["n"] or 0), int(sums["ends"] or 0)
-    reducers = max(parts(spark), math.ceil(int(sums["words"] or 0) / TASK_WORDS))
+    # words are in twice as many parts, even and odd ones
+    reducers = max(1, math.ceil(max(parts(spark), int(sums["words"] or 0) / TASK_WORDS) / 2))
     counts = stored(word_counts(cut, reducers))
     figures = counts.where("block is null")
     vocabulary = figures.agg(F.sum("v").alias("v"), F.sum("n1").alias("n1"), F.sum("n2").alias("n2")).first()
@@ -508,5 +536,5 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sweep
     answered = answers is not None
     blobs = counts.where("block is not null").select("block", "part", F.lit(0).alias("kind"), F.col("counts").alias("blob"))
     if answered:
-        blobs = blobs.union(answers.where("block is not null").select("block", "part", F.lit(1), "classes"))
+        blobs = blobs.union(answers[0].union(answers[1]).where("block is not null").select("block", "part", F.lit(1), "classes"))
     return base.groupBy("block").cogroup(blobs.groupBy("block")).applyInArrow(met, schema)
