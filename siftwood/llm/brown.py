@@ -35,7 +35,7 @@ from .common import checkpointed, collected, dealt_by, drop_stored, map_arrow, p
 CLASSES, FOLDS = 64, 10
 #: Sweeps end when a pair of them (even and odd words) raises the likelihood by less than this
 #: share of all it has moved by, or after so many.
-SETTLED, SWEEPS = 0.02, 16
+SETTLED, SWEEPS = 0.05, 16
 END, REST = 0, CLASSES - 1
 #: Tokens or distinct words after which a block is closed, and asked words of one reducing task.
 BLOCK_TOKENS, BLOCK_WORDS, TASK_WORDS = 1_000_000, 60_000, 300_000
@@ -305,8 +305,9 @@ def sweep(base: DataFrame, answers: list[DataFrame] | None, leads: np.ndarray, r
     """Answers (block, part, classes) to words of even and of odd parts after an
     exchange, and from each reducer the number of its words in each class (block null).
 
-    Words move at once, so after the first sweep those of even and odd parts move
-    in turns; only they are asked for.
+    Words move at once, so the first sweep moves those that share the class of all
+    others only, and then those of even and odd parts move in turns; only they are
+    asked for.
     """
     moving = None if turn == 0 else turn % 2
 
@@ -374,6 +375,8 @@ def sweep(base: DataFrame, answers: list[DataFrame] | None, leads: np.ndarray, r
             for at in range(0, len(starts), CHUNK):
                 lo, hi = starts[at], ends[min(at + CHUNK, len(starts)) - 1]
                 new[listed[at : at + CHUNK]] = exchange.best(starts[at : at + CHUNK] - lo, code[lo:hi], n[lo:hi], own[listed[at : at + CHUNK]])
+        if moving is None:
+            new = np.where(own == REST, new, own).astype(np.uint8)
         at, part = 0, held.column("part")[0].as_py()
         for block, blob in zip(held.column("block"), held.column("own"), strict=True):
             size = blob.as_buffer().size
