@@ -90,7 +90,7 @@ def promoted(spark: SparkSession, rows: DataFrame, folder: str, version: str) ->
     rows.write.mode("overwrite").parquet(f"{folder}/version={version}")
     path = spark._jvm.org.apache.hadoop.fs.Path
     fs = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
-    new, pointer = path(f"{folder}/_pointer.new"), path(f"{folder}/_pointer")
+    new, pointer = path(f"{folder}/pointer.new"), path(f"{folder}/pointer")
     out = fs.create(new, True)
     out.write(bytearray(version.encode()))
     out.close()
@@ -101,7 +101,7 @@ def promoted(spark: SparkSession, rows: DataFrame, folder: str, version: str) ->
 
 def active(spark: SparkSession, folder: str) -> DataFrame:
     """The version that the pointer names."""
-    version = spark.read.text(f"{folder}/_pointer").first()[0]
+    version = spark.read.text(f"{folder}/pointer").first()[0]
     return spark.read.parquet(f"{folder}/version={version}")
 
 
