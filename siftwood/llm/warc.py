@@ -35,8 +35,8 @@ def manifest(records: DataFrame, id_col: str, record_col: str) -> DataFrame:
 
 
 def _key(level: int, fanout_bits: int) -> Column:
-    """The number of the range of ids that a record is in; a null id is in the lowest."""
-    return F.shiftright(F.coalesce(F.col("id").cast("long"), F.lit(-(2**63))), min(63, fanout_bits * level))
+    """The number of the range of ids that a record is in; a null id is with 0."""
+    return F.shiftright(F.coalesce(F.col("id").cast("long"), F.lit(0)), min(63, fanout_bits * level))
 
 
 def _height(manifests: list[DataFrame], fanout_bits: int) -> int:

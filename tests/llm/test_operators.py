@@ -460,10 +460,10 @@ def test_audit(spark):
     for i, r in enumerate(sorted(found, key=lambda r: r["place"])):
         assert (r["place"], r["offset"]) == (i, at)
         at += r["length"]
-    got = {(r["id"], r["state"]) for r in warc.audit(primary, make(damaged), fanout=4).collect()}
+    got = {(r["id"], r["state"]) for r in warc.audit(primary, make(damaged), fanout=16).collect()}
     assert got == {(3, "altered"), (64, "altered"), (499, "altered"), (10, "lost"), (11, "lost"), (600, "lost"), (9999, "extra")}
     assert warc.audit(primary, make(rows)).count() == 0
-    whole = warc.report(primary, make(damaged), fanout=4)
+    whole = warc.report(primary, make(damaged), fanout=16)
     assert whole.count() == len(rows) + 1 and whole.where("state = 'intact'").count() == len(rows) - 6
     nothing = make(rows).limit(0)
     assert warc.audit(nothing, nothing).count() == 0
@@ -473,8 +473,8 @@ def test_audit(spark):
 
 def test_audit_pairs_copies_by_digest(spark):
     make = lambda x: warc.manifest(spark.createDataFrame(x, "id long, record string").repartition(3), "id", "record")
-    primary = make([(1, "a"), (1, "b"), (1, "b"), (1, "c"), (-5, "x"), (2**62, "far")])
-    found = warc.audit(primary, make([(1, "b"), (1, "b"), (1, "c"), (-5, "y"), (2**62, "far"), (1, "b")]), fanout=4)
+    primary = make([(1, "a"), (1, "b"), (1, "b"), (1, "c"), (-5, "x"), (2**20, "far")])
+    found = warc.audit(primary, make([(1, "b"), (1, "b"), (1, "c"), (-5, "y"), (2**20, "far"), (1, "b")]))
     digest = lambda t: hashlib.sha256(t.encode()).hexdigest()
     assert sorted((r["id"], r["digest"], r["replica_digest"], r["state"]) for r in found.collect()) == sorted([(1, digest("a"), digest("b"), "altered"), (-5, digest("x"), digest("y"), "altered")])
 
