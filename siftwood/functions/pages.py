@@ -206,3 +206,16 @@ def news_tier(url: Column, title: Column, published: Column, now: Column, fresh_
     """0 fresh, 1 undated, 2 stale, 3 a front page, social post or roundup."""
     age = (F.unix_micros(now) - F.unix_micros(published)) / 86_400e6
     return F.when(urls.landing_path(url) | signals.is_social(url) | F.coalesce(title.rlike(ROUNDUP), F.lit(False)), 3).when(published.isNull(), 1).when(age <= fresh_days, 0).otherwise(2)
+
+
+SPACES = " \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
+
+
+def listed_title(html: Column) -> Column:
+    """The first title of a page as a list of results has it: white space folded, and
+    the four named references that end in a semicolon written out, once each."""
+    out = F.regexp_extract(html, r"(?s)<title[^>]*>(.*?)</title>", 1)
+    for name, sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&amp;", "&")):
+        out = F.replace(out, F.lit(name), F.lit(sign))
+    # ends are free of all Unicode space separators, as trimmed by the SQL
+    return F.btrim(F.regexp_replace(out, r"[\t\n\f\r ]+", " "), F.lit(SPACES))

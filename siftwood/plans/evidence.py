@@ -94,10 +94,7 @@ def greedy_collapse(spark, sf_dir):
 @query(_URL_CTE + rf", t AS (SELECT k.page_id, host, key, array_to_string(regexp_extract_all(lower(trim(regexp_replace({_TITLE}, '\s+', ' ', 'g'))), '[\p{{L}}\p{{N}}]+'), ' ') AS title FROM k JOIN pages USING (page_id)), i AS (SELECT page_id AS item_id, host, array_to_string(list_slice(string_split(title, ' '), 1, 5), ' ') AS wanted FROM t), m AS (SELECT item_id, key FROM i JOIN t USING (host) WHERE wanted <> '' AND title <> '' AND (wanted = title OR (len(string_split(CASE WHEN length(wanted) <= length(title) THEN wanted ELSE title END, ' ')) >= 4 AND starts_with(CASE WHEN length(wanted) <= length(title) THEN title ELSE wanted END, CASE WHEN length(wanted) <= length(title) THEN wanted ELSE title END)))) SELECT item_id, min(key) AS url_key FROM m GROUP BY item_id HAVING count(DISTINCT key) = 1")
 def recovered_destinations(spark, sf_dir):
     """Results listed with a cut title and a host only, and the one page that each plainly is."""
-    from siftwood.operators import html
-
-    pages = table(spark, sf_dir, "pages")
-    titled = html.extract(pages).select("page_id", "title").join(pages.select("page_id", "url"), "page_id")
+    titled = table(spark, sf_dir, "pages").select("page_id", "url", P.listed_title(F.col("html")).alias("title"))
     cut = F.array_join(F.slice(F.split(merge.title_words(F.col("title")), " "), 1, 5), " ")
     items = titled.select(F.col("page_id").alias("item_id"), urls.host(F.col("url")).alias("domain"), cut.alias("title"))
     return merge.recovered(items, titled.select("url", "title"))
