@@ -14,7 +14,7 @@ from siftwood.functions import pages as P
 from siftwood.functions import text as X
 from siftwood.operators import dedupe, merge, metadata, order, store
 from siftwood.plans.catalogue import _TITLE, _URL_CTE, NOW, ORACLES, QUERIES, now, query
-from siftwood.session import checkpointed
+from siftwood.session import checkpointed, drop_stored, stored
 from siftwood.sources import table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -83,9 +83,10 @@ def bounded_menu(spark, sf_dir):
 def greedy_collapse(spark, sf_dir):
     """Each document and the earlier one it was folded into: same text or shingles 0.65
     alike, compared with survivors only, in order."""
-    prints = checkpointed(dedupe.fingerprints(table(spark, sf_dir, "documents"), "doc_id", "text"))
+    prints = stored(dedupe.fingerprints(table(spark, sf_dir, "documents"), "doc_id", "text"))
     near = dedupe.near_pairs(prints).select("a", "b")
     same = checkpointed(dedupe.shingle_representatives(prints))
+    drop_stored(prints)
     # copies follow their first; only firsts are compared
     kept = merge.survivors(same.select(F.col("id")).distinct(), near)
     return same.join(kept, "id").select("doc_id", "survivor")

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import re
 import tempfile
+import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,7 +40,41 @@ def shared_folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+@contextlib.contextmanager
+def _own_shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Frames made here remove their shuffle files when their action ends."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if was is None else spark.conf.set(key, was)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` written once to the shared folder, its lineage cut."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+    spark = df.sparkSession
+    shared_folder(spark)
+    with _own_shuffles_removed(spark):
+        return df.select("*").checkpoint()
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` as a compressed Parquet table in the shared folder; removed when the
+    session ends, or by ``drop_stored``."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/siftwood-{uuid.uuid4().hex}"
+    with _own_shuffles_removed(spark):
+        df.select("*").write.parquet(path)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._siftwood_path = path
+    return out
+
+
+def drop_stored(df: DataFrame) -> None:
+    spark = df.sparkSession
+    place = spark._jvm.org.apache.hadoop.fs.Path(df._siftwood_path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
