@@ -15,6 +15,7 @@ MinHash anchors of its table, and texts that meet are verified exactly.
 
 from __future__ import annotations
 
+import functools
 import itertools
 import math
 from collections.abc import Iterator
@@ -31,6 +32,10 @@ from .graph import components, forest
 from .lines import divided, meet, mix, verified
 
 BITS, RADIUS, WIDTH, SEED, PASSES = 64, 4, 4, 42, 8
+#: Classes of variants, and the mark of a mask number whose fingerprint has another's root.
+FINE, LED = 64, np.uint16(2**15)
+#: Links that make up for telling components anew, or a hundredth of the fingerprints if that is more.
+LINKS = 4096
 #: Of ``similar``: tables, MinHash anchors in each, bits of its fingerprint, and the radius
 #: around that; a pair of likeness 0.8 meets in some table with a probability of 0.99.
 TABLES, ANCHORS, SHORT, REACH, LIKENESS = 8, 3, 16, 4, 0.8
@@ -79,50 +84,72 @@ def _part(x: np.ndarray, n: int) -> np.ndarray:
     return ((((x * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)).astype(np.uint16 if n <= 65_536 else np.uint32)
 
 
+def turns(passes: int = PASSES) -> list[range]:
+    """Classes of variants by turn: one, one more, as many as before, and so on up
+    to a ``passes``-th of all."""
+    out = [range(0, 1)]
+    while out[-1].stop < FINE:
+        at = out[-1].stop
+        out.append(range(at, min(2 * at, at + FINE // passes)))
+    return out
+
+
 def ball_links(fps: DataFrame, col: str, radius: int = RADIUS, passes: int = PASSES) -> DataFrame:
     """Links (a, b) that connect all distinct fingerprints within ``radius`` bits.
 
-    Variants go through the shuffle in ``passes`` rounds, by a linear class of
-    the variant, so disk holds one round's at a time; the number of rounds is
-    fixed. They travel as packed arrays of variant and mask number.
+    Variants go through the shuffle in turns, by a linear class of the variant, so
+    disk holds one turn's at a time, a ``passes``-th at most; the number of turns is
+    fixed. They travel as packed arrays of variant and mask number. What the small
+    first turns connect is one later: only fingerprints of different components are
+    linked, so a dense group makes links in proportion to its size.
     """
     spark, masks = fps.sparkSession, ball(radius // 2)
-    of = _class(masks, passes)
+    of = _class(masks, FINE)
     n = fps.count()
     reducers = max(parts(spark), math.ceil(n * len(masks) * 10 / passes / TASK_BYTES))
-    spread = checkpointed(fps.select(F.col(col).cast("long").alias("fp")).repartition(max(1, math.ceil(n / TASK_FPS))))
-    found = []
-    for turn in range(passes):
+    tasks = max(1, math.ceil(n / TASK_FPS))
+    spread = checkpointed(fps.select(F.col(col).cast("long").alias("fp"), F.col(col).cast("long").alias("root")).repartition(tasks))
+    found, told, waiting = [], 0, 0
+    for turn in turns(passes):
 
-        def emit(batches: Iterator[pa.RecordBatch], turn: int = turn) -> Iterator[pa.RecordBatch]:
+        def emit(batches: Iterator[pa.RecordBatch], turn: range = turn) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for at in range(0, batch.num_rows, TASK_FPS):
-                    own = batch.column(0).to_numpy()[at : at + TASK_FPS].view(np.uint64)
-                    group = _class(own, passes)
-                    variants, numbers = [], []
-                    for g in range(passes):
-                        which = np.flatnonzero(of == turn ^ g)
-                        mine = own[group == g]
-                        variants.append((mine[:, None] ^ masks[which][None, :]).ravel())
+                    own, root = (batch.column(i).to_numpy()[at : at + TASK_FPS].view(np.uint64) for i in (0, 1))
+                    group = _class(own, FINE)
+                    variants, numbers, whose = [], [], []
+                    for g in range(FINE):
+                        mine = np.flatnonzero(group == g)
+                        if not len(mine):
+                            continue
+                        now = of ^ np.uint8(g)
+                        which = np.flatnonzero((now >= turn.start) & (now < turn.stop))
+                        variants.append((own[mine][:, None] ^ masks[which][None, :]).ravel())
                         numbers.append(np.tile(which.astype(np.uint16), len(mine)))
-                    v, m = np.concatenate(variants), np.concatenate(numbers)
-                    del variants, numbers
+                        whose.append(np.repeat(mine.astype(np.uint16), len(which)))
+                    v, m, w = np.concatenate(variants), np.concatenate(numbers), np.concatenate(whose)
+                    del variants, numbers, whose
                     part = _part(v, reducers)
                     order = np.argsort(part, kind="stable")
-                    v, m, part = v[order], m[order], part[order]
+                    v, m, w, part = v[order], m[order], w[order], part[order]
+                    # a root travels only with what isn't its own
+                    led = (root != own)[w]
+                    roots, passed = root[w[led]], np.append(0, np.cumsum(led))
+                    m = np.where(led, m | LED, m)
                     starts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else []
-                    ends = [*starts[1:], len(part)]
-                    yield pa.RecordBatch.from_arrays([pa.array([int(part[x]) for x in starts], pa.int32()), pa.array([v[x:y].tobytes() for x, y in zip(starts, ends, strict=False)], pa.binary()), pa.array([m[x:y].tobytes() for x, y in zip(starts, ends, strict=False)], pa.binary())], ["part", "variants", "masks"])
+                    spans = list(zip(starts, [*starts[1:], len(part)], strict=False))
+                    yield pa.RecordBatch.from_arrays([pa.array([int(part[x]) for x in starts], pa.int32()), *(pa.array(x, pa.binary()) for x in ([v[x:y].tobytes() for x, y in spans], [m[x:y].tobytes() for x, y in spans], [roots[passed[x] : passed[y]].tobytes() for x, y in spans]))], ["part", "variants", "masks", "roots"])
 
         def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            v, m = [], []
+            v, m, r = [], [], []
             for batch in batches:
                 v += [np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in batch.column(1)]
                 m += [np.frombuffer(x.as_buffer(), dtype=np.uint16) for x in batch.column(2)]
+                r += [np.frombuffer(x.as_buffer(), dtype=np.int64) for x in batch.column(3)]
             if not v:
                 return
-            variants, numbers = np.concatenate(v), np.concatenate(m)
-            del v, m
+            variants, numbers, roots = np.concatenate(v), np.concatenate(m), np.concatenate(r)
+            del v, m, r
             order = np.argsort(variants)
             variants = variants[order]
             same = variants[1:] == variants[:-1]
@@ -132,19 +159,30 @@ def ball_links(fps: DataFrame, col: str, radius: int = RADIUS, passes: int = PAS
             variants, order = variants[member], order[member]
             if not len(variants):
                 return
-            own = (variants ^ masks[numbers[order]]).view(np.int64)
+            led = numbers >= LED
+            passed = np.cumsum(led) - led
+            own = (variants ^ masks[numbers[order] & ~LED]).view(np.int64)
+            root = own.copy()
+            root[led[order]] = roots[passed[order[led[order]]]]
             starts = np.flatnonzero(np.concatenate([[True], variants[1:] != variants[:-1]]))
-            least = np.repeat(np.minimum.reduceat(own, starts), np.diff(np.append(starts, len(own))))
-            near = (least != own) & (np.bitwise_count((least ^ own).view(np.uint64)) <= radius)
-            a, b = forest(least[near], own[near])
+            sizes = np.diff(np.append(starts, len(own)))
+            # in order of fingerprint within a bucket, so that its first is its smallest
+            first = np.repeat(starts, sizes)
+            place = np.lexsort((own, first))
+            own, root = own[place], root[place]
+            near = (root[first] != root) & (np.bitwise_count((own[first] ^ own).view(np.uint64)) <= radius)
+            a, b = forest(root[first][near], root[near])
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-        sent = map_arrow(spread, emit, "part int, variants binary, masks binary")
+        sent = map_arrow(spread, emit, "part int, variants binary, masks binary, roots binary")
         found.append(checkpointed(map_arrow(sent.repartition(reducers, "part"), meet, "a long, b long")))
-    out = found[0]
-    for more in found[1:]:
-        out = out.union(more)
-    return out
+        waiting += found[-1].count()
+        if turn.stop < FINE and waiting > max(n // 100, LINKS):
+            new = functools.reduce(DataFrame.union, found[told:])
+            roots = components(new, "a", "b").select(F.col("node").alias("root"), F.col("root").alias("top"))
+            spread = checkpointed(spread.join(roots, "root", "left").select("fp", F.coalesce("top", "root").alias("root")).repartition(tasks))
+            told, waiting = len(found), 0
+    return functools.reduce(DataFrame.union, found)
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, width: int = WIDTH) -> DataFrame:

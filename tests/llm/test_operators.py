@@ -762,3 +762,27 @@ def test_sketch_estimates_and_merges(spark):
     whole = sketch.with_sketch(spark.createDataFrame([(" ".join(f"{x:x}" for x in a),)], "t string"), "t", "s", width=1).first()["s"]
     assert got[3] == whole
     assert sketch.merged(df.withColumn("g", F.lit(1)), ["g"], "s").first()["s"] == whole
+
+
+def test_ball_links_of_a_dense_group_are_few(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "LINKS", 100, raising=False)
+    rng = random.Random(12)
+    base = rng.getrandbits(63)
+    dense = {base} | {base ^ 1 << rng.randrange(62) ^ 1 << rng.randrange(62) for _ in range(300)}
+    pairs = [rng.getrandbits(63) for _ in range(20)]
+    fps = sorted(dense | set(pairs) | {x ^ 0b1111 for x in pairs})
+    links = simhash.ball_links(spark.createDataFrame([(x,) for x in fps], "f long"), "f")
+    found = links.collect()
+    assert len(found) < 5 * len(fps)
+    up = {x: x for x in fps}
+
+    def top(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for r in found:
+        a, b = sorted((top(r["a"]), top(r["b"])))
+        up[b] = a
+    assert len({top(x) for x in dense}) == 1 and all(top(x) == top(x ^ 0b1111) != top(base) for x in pairs)
+    assert len({top(x) for x in fps}) == 21
