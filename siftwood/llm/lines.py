@@ -168,6 +168,11 @@ def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     keys, ks, sizes = np.concatenate(a), np.concatenate(b), np.concatenate(c)
     component = np.concatenate(d) if d else None
     del a, b, c, d
+    yield from bucketed_keys(keys, ks, sizes, component)
+
+
+def bucketed_keys(keys: np.ndarray, ks: np.ndarray, sizes: np.ndarray, component: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+    """The buckets that ``meet`` makes of keys and what goes with them."""
     order = np.argsort(keys)
     sorted_keys = keys[order]
     same = sorted_keys[1:] == sorted_keys[:-1]

@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 
 from .common import checkpointed, drop_stored, free_prefix, map_arrow, parts, stored
 from .graph import components, forest
-from .lines import divided, meet, mix, verified
+from .lines import bucketed_keys, divided, meet, mix, verified
 
 BITS, RADIUS, WIDTH, SEED, PASSES = 64, 4, 4, 42, 8
 #: Classes of variants, and the mark of a mask number whose fingerprint has another's root.
@@ -43,6 +43,8 @@ TABLES, ANCHORS, SHORT, REACH, LIKENESS = 8, 3, 16, 4, 0.8
 TASK_BYTES = 24_000_000
 #: Fingerprints whose variants one mapping task emits at a time.
 TASK_FPS = 4096
+#: Keys whose variants one task of ``similar`` compares at a time.
+NEAR_KEYS = 16_384
 
 
 def simhash(text: str | None, width: int = WIDTH) -> int:
@@ -247,14 +249,53 @@ def table_keys(h: np.ndarray) -> np.ndarray:
     return (keys & ~np.uint64(2**SHORT - 1)) | short
 
 
-def _sent(keys: np.ndarray, ids: np.ndarray, sizes: np.ndarray, component: np.ndarray, n: int) -> pa.RecordBatch:
-    """Keys and what goes with them, packed for each of ``n`` reducers."""
-    part = _part(keys, n)
+def _sent(keys: np.ndarray, by: np.ndarray, ids: np.ndarray, sizes: np.ndarray, component: np.ndarray, n: int) -> pa.RecordBatch:
+    """Keys and what goes with them, packed for each of ``n`` reducers, dealt ``by`` numbers."""
+    part = _part(by, n)
     order = np.argsort(part, kind="stable")
     rows = np.split(order, np.flatnonzero(np.diff(part[order])) + 1) if len(keys) else []
     return pa.RecordBatch.from_arrays([pa.array([int(part[r[0]]) for r in rows], pa.int32()), *(pa.array([x[r].tobytes() for r in rows], pa.binary()) for x in (keys, ids, sizes, component))], ["part", "keys", "ks", "sizes", "components"])
 
 
+def meet_near(batches: Iterator[pa.RecordBatch], masks: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Rows (part, keys, ks, sizes, components) of packed arrays -> buckets, as ``meet``
+    has them, of what has a variant of its key in common: keys with the same anchors
+    are in one task, and their variants are made there, some at a time."""
+    held = [np.concatenate(x) for x in zip(*([np.frombuffer(x.as_buffer(), kind) for x, kind in zip(row, (np.uint64, np.uint64, np.uint32, np.int64), strict=True)] for batch in batches for row in zip(*batch.columns[1:5], strict=True)), strict=True)]
+    if not held:
+        return
+    order = np.argsort(held[0], kind="stable")
+    keys, ks, sizes, component = (x[order] for x in held)
+    del held, order
+    anchors = keys >> np.uint64(SHORT)
+    starts = np.flatnonzero(np.concatenate([[True], anchors[1:] != anchors[:-1]]))
+    apart = np.minimum.reduceat(component, starts) != np.maximum.reduceat(component, starts)
+    rows = np.repeat(apart, np.diff(np.append(starts, len(keys))))
+    keys, ks, sizes, component, anchors = keys[rows], ks[rows], sizes[rows], component[rows], anchors[rows]
+    if not len(keys):
+        return
+    starts = np.flatnonzero(np.concatenate([[True], anchors[1:] != anchors[:-1]]))
+    ends = np.append(starts[1:], len(keys))
+    at = 0
+    while at < len(starts):
+        # as many anchors as fit, one at least
+        upto = max(at + 1, int(np.searchsorted(ends, starts[at] + NEAR_KEYS, side="right")))
+        lo, hi = starts[at], ends[upto - 1]
+        at = upto
+        rounds = 1 << max(0, math.ceil(math.log2((hi - lo) / NEAR_KEYS)))
+        rounds = min(rounds, FINE)
+        of, group = _class(masks, rounds), _class(keys[lo:hi], rounds)
+        for turn in range(rounds):
+            variants, whose = [], []
+            for g in range(rounds):
+                mine = lo + np.flatnonzero(group == g)
+                which = masks[of == turn ^ g]
+                variants.append((keys[mine][:, None] ^ which[None, :]).ravel())
+                whose.append(np.repeat(mine, len(which)))
+            w = np.concatenate(whose)
+            yield from bucketed_keys(np.concatenate(variants), ks[w], sizes[w], component[w])
+
+
 def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", likeness: float = LIKENESS, width: int = 5) -> DataFrame:
     """``docs`` with the component of each row and whether it is kept, in columns
     named component and kept behind a free prefix (see ``free_prefix``).
@@ -293,22 +334,22 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lik
     n = classes.count()
     masks = ball(REACH // 2, SHORT)
 
-    def met(df: DataFrame, turn: int | None) -> DataFrame:
-        """Buckets of (cls, chars, component, keys): of equal keys, or of variants of the keys of one table."""
-        each = TABLES if turn is None else len(masks)
-        reducers = max(parts(spark), math.ceil(n * each * 28 / TASK_BYTES))
+    def met(df: DataFrame, near: bool) -> DataFrame:
+        """Buckets of (cls, chars, component, keys): of equal keys, or of a variant in common.
+        Variants of a key have its anchors, so keys are dealt by these and variants don't travel."""
+        reducers = max(parts(spark), math.ceil(n * TABLES * 28 / TASK_BYTES))
 
         def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for at in range(0, batch.num_rows, TASK_FPS):
                     some = batch.slice(at, TASK_FPS)
                     ids, sizes, component = (some.column(i).to_numpy() for i in range(3))
-                    keys = some.column(3).flatten().to_numpy().view(np.uint64).reshape(some.num_rows, TABLES)
-                    variants = keys if turn is None else keys[:, turn, None] ^ masks[None, :]
-                    yield _sent(variants.ravel(), np.repeat(ids, each), np.repeat(sizes.astype(np.uint32), each), np.repeat(component, each), reducers)
+                    keys = some.column(3).flatten().to_numpy().view(np.uint64)
+                    yield _sent(keys, keys >> np.uint64(SHORT) if near else keys, np.repeat(ids, TABLES), np.repeat(sizes.astype(np.uint32), TABLES), np.repeat(component, TABLES), reducers)
 
-        sent = map_arrow(df, emit, "part int, keys binary, ks binary, sizes binary, components binary")
-        return checkpointed(map_arrow(sent.repartition(reducers, "part"), meet, "bucket long, k long, lead long, chars long"))
+        # few tasks of many keys each, so that packed arrays aren't many and short
+        sent = map_arrow(df.coalesce(max(1, math.ceil(n / TASK_FPS))), emit, "part int, keys binary, ks binary, sizes binary, components binary")
+        return checkpointed(map_arrow(sent.repartition(reducers, "part"), (lambda batches: meet_near(batches, masks)) if near else meet, "bucket long, k long, lead long, chars long"))
 
     def linked(buckets: DataFrame) -> DataFrame:
         buckets = checkpointed(buckets.distinct())
@@ -321,13 +362,10 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lik
         return verified(divided(buckets).join(texts, "k"), likeness, shingled)
 
     asked = classes.where(F.size("_keys") > 0).select("cls", F.col("_chars").cast("long").alias("chars"), F.col("cls").alias("component"), "_keys")
-    links = linked(met(asked, None))
+    links = linked(met(asked, near=False))
     roots = checkpointed(components(links, "a", "b"))
     asked = checkpointed(asked.drop("component").join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "chars", F.coalesce("root", "cls").alias("component"), "_keys"))
-    buckets = met(asked, 0)
-    for turn in range(1, TABLES):
-        buckets = buckets.union(met(asked, turn))
-    roots = components(links.union(linked(buckets)), "a", "b")
+    roots = components(links.union(linked(met(asked, near=True))), "a", "b")
     rooted = checkpointed(classes.select("cls", "first", "_set").join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("_set", "first", F.coalesce("root", "cls").alias("root")))
     heads = checkpointed(rooted.groupBy("root").agg(F.min("first").alias("head")))
     labels = checkpointed(rooted.select("_set", "root").join(heads, "root").select("_set", F.col("head.d").alias("component"), F.col("head.r").alias("head")))

@@ -786,3 +786,29 @@ def test_ball_links_of_a_dense_group_are_few(spark, monkeypatch):
         up[b] = a
     assert len({top(x) for x in dense}) == 1 and all(top(x) == top(x ^ 0b1111) != top(base) for x in pairs)
     assert len({top(x) for x in fps}) == 21
+
+
+def test_near_keys_meet_where_their_anchors_are(monkeypatch):
+    rng = np.random.default_rng(5)
+    anchors = rng.integers(1, 2**40, 5, dtype=np.uint64)
+    keys = (np.repeat(anchors, [300, 2, 1, 40, 2]) << np.uint64(16)) | rng.integers(0, 2**16, 345, dtype=np.uint64)
+    ids, sizes, component = np.arange(345, dtype=np.uint64), np.full(345, 9, np.uint32), np.arange(345) // 2
+    masks = simhash.ball(2, 16)
+    sent = simhash._sent(keys, keys >> np.uint64(16), ids.view(np.int64), sizes, component, 3)
+    assert sent.num_rows <= 3
+
+    def met(most):
+        monkeypatch.setattr(simhash, "NEAR_KEYS", most)
+        rows = [r for b in simhash.meet_near(iter([sent]), masks) for r in b.to_pylist()]
+        buckets = {}
+        for r in rows:
+            buckets.setdefault(r["bucket"], set()).add(r["k"])
+        return {(a, b) for x in buckets.values() for a in x for b in x if a < b}
+
+    near = (keys[:, None] >> np.uint64(16) == keys[None, :] >> np.uint64(16)) & (np.bitwise_count(keys[:, None] ^ keys[None, :]) <= 4)
+    want = {(a, b) for a, b in zip(*(x.tolist() for x in np.nonzero(np.triu(near, 1))), strict=True)}
+    # a bucket whose members are of one component already is none
+    apart = {(a, b) for a, b in want if component[a] != component[b]}
+    for most in (16_384, 100, 4):
+        got = met(most)
+        assert apart <= got <= want and len(apart) > 1000
