@@ -51,11 +51,20 @@ def _own_shuffles_removed(spark: SparkSession) -> Iterator[None]:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written once to the shared folder, its lineage cut."""
+    """``df`` written once to the shared folder, its lineage cut.
+
+    A checkpoint keeps the planner's estimate of its size, and a join's is the product
+    of its sides'. Through rounds of joins its digits would double each time until the
+    driver's memory is full, so estimates beyond a long are forgotten.
+    """
     spark = df.sparkSession
     shared_dir(spark)
     with _own_shuffles_removed(spark):
-        return df.select("*").checkpoint()
+        out = df.select("*").checkpoint()
+    plan = out._jdf.queryExecution().logical()
+    if plan.stats().sizeInBytes() < 2**63:
+        return out
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(plan.rdd(), out._jdf.schema(), False), spark)
 
 
 def collected(df: DataFrame) -> list:
