@@ -48,21 +48,38 @@ def _contract(batches):
         yield pa.RecordBatch.from_arrays([pa.array(v), pa.array(u)], ["v", "u"])
 
 
+def _joined(batches):
+    """Spanning forest of all of a task's links, which the caller bounds."""
+    kept = [(batch.column(0).to_numpy(), batch.column(1).to_numpy()) for batch in batches]
+    if kept:
+        v, u = forest(*(np.concatenate(x) for x in zip(*kept, strict=True)))
+        yield pa.RecordBatch.from_arrays([pa.array(v), pa.array(u)], ["v", "u"])
+
+
+def _whole(edges: DataFrame) -> DataFrame:
+    """(node, root) of links to roots: roots are nodes as well."""
+    return edges.select(F.col("v").alias("node"), F.col("u").alias("root")).union(edges.select(F.col("u").alias("node"), F.col("u").alias("root")).distinct())
+
+
 def _size(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first())
 
 
-def components(links: DataFrame, a: str, b: str, rounds: int = 60) -> DataFrame:
+def components(links: DataFrame, a: str, b: str, rounds: int = 60, few: int = 0) -> DataFrame:
     """(node, root): the smallest node reachable from each node with a link.
 
     Each task first replaces its links by a spanning forest (a union-find of
     its own rows); alternating small-star and large-star rounds then join the
     forests. All joins read checkpointed tables on both sides, so a node that
     holds most links is split by adaptive execution; minima are pre-aggregated.
-    Null ends are ignored, self links and repeats are harmless.
+    Null ends are ignored, self links and repeats are harmless. Where the forests
+    have no more than ``few`` links, one task joins them: rounds are some dozens of
+    jobs, whatever the size.
     """
     edges = links.select(F.greatest(a, b).cast("long").alias("v"), F.least(a, b).cast("long").alias("u")).where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col("u") != F.col("v")))
     edges = checkpointed(edges.mapInArrow(_contract, "v long, u long"))
+    if few and edges.count() <= few:
+        return _whole(checkpointed(edges.coalesce(1).mapInArrow(_joined, "v long, u long")))
     seen = None
     for _ in range(rounds):
         # small star: every node hands its smaller neighbours to the smallest of them
@@ -80,4 +97,4 @@ def components(links: DataFrame, a: str, b: str, rounds: int = 60) -> DataFrame:
         seen = now
     else:
         raise RuntimeError("components did not settle")
-    return edges.select(F.col("v").alias("node"), F.col("u").alias("root")).union(edges.select(F.col("u").alias("node"), F.col("u").alias("root")).distinct())
+    return _whole(edges)

@@ -36,6 +36,8 @@ BITS, RADIUS, WIDTH, SEED, PASSES = 64, 4, 4, 42, 8
 FINE, LED = 64, np.uint16(2**15)
 #: Links that make up for telling components anew, or a hundredth of the fingerprints if that is more.
 LINKS = 4096
+#: Links that one task joins, and links of a turn that one task reads.
+FEW, TASK_LINKS = 1_000_000, 65_536
 #: Of ``similar``: tables, MinHash anchors in each, bits of its fingerprint, and the radius
 #: around that; a pair of likeness 0.8 meets in some table with a probability of 0.99.
 TABLES, ANCHORS, SHORT, REACH, LIKENESS = 8, 3, 16, 4, 0.8
@@ -177,11 +179,14 @@ def ball_links(fps: DataFrame, col: str, radius: int = RADIUS, passes: int = PAS
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
         sent = map_arrow(spread, emit, "part int, variants binary, masks binary, roots binary")
-        found.append(checkpointed(map_arrow(sent.repartition(reducers, "part"), meet, "a long, b long")))
-        waiting += found[-1].count()
+        linked = checkpointed(map_arrow(sent.repartition(reducers, "part"), meet, "a long, b long"))
+        many = linked.coalesce(tasks).count()
+        # a turn has few links in many tasks
+        found.append(linked.coalesce(max(1, math.ceil(many / TASK_LINKS))))
+        waiting += many
         if turn.stop < FINE and waiting > max(n // 100, LINKS):
             new = functools.reduce(DataFrame.union, found[told:])
-            roots = components(new, "a", "b").select(F.col("node").alias("root"), F.col("root").alias("top"))
+            roots = components(new, "a", "b", few=FEW).select(F.col("node").alias("root"), F.col("root").alias("top"))
             spread = checkpointed(spread.join(roots, "root", "left").select("fp", F.coalesce("top", "root").alias("root")).repartition(tasks))
             told, waiting = len(found), 0
     return functools.reduce(DataFrame.union, found)
@@ -199,7 +204,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radi
     """
     rows = _narrow(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")), width)
     first = checkpointed(rows.groupBy("_fp").agg(F.min(F.struct(F.col("_id").isNull().alias("n"), F.col("_id").alias("d"), F.col("_row").alias("r"))).alias("_first")))
-    linked = components(ball_links(first, "_fp", radius), "a", "b")
+    linked = components(ball_links(first, "_fp", radius), "a", "b", few=FEW)
     rooted = checkpointed(first.join(linked.withColumnRenamed("node", "_fp"), "_fp", "left").select("_fp", "_first", F.coalesce("root", "_fp").alias("_root")))
     heads = checkpointed(rooted.groupBy("_root").agg(F.min("_first").alias("_head")))
     labels = checkpointed(rooted.select("_fp", "_root").join(heads, "_root").select("_fp", F.col("_head.d").alias("_component"), F.col("_head.r").alias("_head_row")))

@@ -61,6 +61,18 @@ def test_components(spark):
     assert got == {i: want[i] for i in range(3000) if any(i in x and x[0] != x[1] for x in links if None not in x)}
 
 
+def test_few_links_are_joined_at_once(spark):
+    links = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (7, 7), (None, 3)], "a long, b long").repartition(5)
+    sc = spark.sparkContext
+    sc.setJobGroup("few", "few")
+    try:
+        few = dict(graph.components(links, "a", "b", few=61).collect())
+        assert len(sc.statusTracker().getJobIdsForGroup("few")) < 10
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    assert few == {i: 0 for i in range(61)} | {100: 100, 101: 100} == dict(graph.components(links, "a", "b", few=5).collect())
+
+
 def test_rounds_of_joins_keep_estimates_small(spark):
     from siftwood import session
     from siftwood.llm import common
